@@ -1,12 +1,15 @@
 """Queries of this subpackage and, where SQL can say the same, their SQL."""
 
-from . import decontamination, mixing
+from . import decontamination, licenses, mixing, urls
 
 QUERIES = {
     "op1_decontaminate": decontamination.op1_decontaminate,
+    "op2_url_filter": urls.op2_url_filter,
+    "op6_licenses": licenses.op6_licenses,
     "op8_mix": mixing.op8_mix,
 }
 ORACLE_SQL = {
     "op1_decontaminate": decontamination.OP1_SQL,
+    "op6_licenses": licenses.OP6_SQL,
     "op8_mix": mixing.OP8_SQL,
 }
