@@ -15,6 +15,8 @@ SALTS = 1024
 OFFSET = 0.371
 #: So many documents of each source settle what rounding leaves over.
 LAST = 64
+#: Up to so many sources (one short row each) are broadcast to the documents.
+BROADCAST_SOURCES = 100_000
 NEWTON_STEPS = 60
 
 
@@ -85,6 +87,9 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0)) -> Data
     edge = ids.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("key"))).filter(F.col("n") <= LAST)
     edge = edge.groupBy("source").agg(F.max("key").alias("edge"))
     rates = rates.alias("r").join(edge.alias("e"), F.col("r.source").eqNullSafe(F.col("e.source")), "left").select("r.*", "edge")
+    rates = written(rates, "mix-tilts")
+    if rates.count() <= BROADCAST_SOURCES:  # a hot source's rows then stay where they are; beyond it AQE splits the skewed join
+        rates = F.broadcast(rates)
     rows = rows.alias("d").join(rates.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")))
     rows = rows.select("d.*", "source_size", "target", "rate", F.coalesce((key <= F.col("edge")) & F.col("doc_id").isNotNull() & (F.col("size") > 0), F.lit(False)).alias("aside"))
     rows = written(rows, "mix-rates")
