@@ -1,10 +1,11 @@
 """Queries of this subpackage and, where SQL can say the same, their SQL."""
 
-from . import decontamination, licenses, mixing, urls
+from . import decontamination, licenses, mixing, toxicity, urls
 
 QUERIES = {
     "op1_decontaminate": decontamination.op1_decontaminate,
     "op2_url_filter": urls.op2_url_filter,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op6_licenses": licenses.op6_licenses,
     "op8_mix": mixing.op8_mix,
 }
