@@ -81,10 +81,12 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0)) -> Data
     rows = written(rows.withColumn("bin", size_bin(F.col("size"))), "mix-sizes")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     rates = balanced_rates(cyclic_targets(totals, weights))
-    # Taken by order of a key and cut at LAST before the shuffle, as Spark limits each group where rows are read.
+    # First within (source, a sixteenth of the residues), then within the source: each time cut at LAST distinct ids before rows move, so a hot
+    # source is spread and its last task sees 16 * LAST ids at most.
     key = F.struct("salt", "doc_id")
-    ids = rows.filter(F.col("doc_id").isNotNull() & (F.col("size") > 0)).select("source", key.alias("key")).distinct()
-    edge = ids.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("key"))).filter(F.col("n") <= LAST)
+    ids = rows.filter(F.col("doc_id").isNotNull() & (F.col("size") > 0)).select("source", (F.col("salt") % 16).alias("part"), key.alias("key"))
+    edge = ids.withColumn("n", F.dense_rank().over(Window.partitionBy("source", "part").orderBy("key"))).filter(F.col("n") <= LAST)
+    edge = edge.withColumn("n", F.dense_rank().over(Window.partitionBy("source").orderBy("key"))).filter(F.col("n") <= LAST)
     edge = edge.groupBy("source").agg(F.max("key").alias("edge"))
     rates = rates.alias("r").join(edge.alias("e"), F.col("r.source").eqNullSafe(F.col("e.source")), "left").select("r.*", "edge")
     rates = written(rates, "mix-tilts")
