@@ -98,3 +98,10 @@ def found_grams(docs: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFram
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """Just the named columns, so that extra ones with clashing names cannot interfere."""
     return df.select(*(F.col(c) for c in columns))
+
+
+def sliced(batches, rows: int = 256):
+    """Arrow batches cut to so many rows, so that Python objects exist for a few texts at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sliced, written
 
 # Look-alike letters of other scripts, and digits and signs that stand in for letters.
 HOMOGLYPHS = {
@@ -104,22 +104,31 @@ def fitted_scale(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[flo
     return tuple(float(v) for v in b)
 
 
-def _word_counts(batches):
-    for batch in batches:
-        counts: list[Counter] = [Counter(), Counter()]
-        for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
-            counts[toxic].update(set(WORD.findall(fold(text or ""))))
-        words = [[w for w in c if SHORTEST <= len(w) <= 40] for c in counts]
-        yield pa.RecordBatch.from_pydict({
-            "word": words[0] + words[1],
-            "n0": pa.array([counts[0][w] for w in words[0]] + [0] * len(words[1]), pa.int64()),
-            "n1": pa.array([0] * len(words[0]) + [counts[1][w] for w in words[1]], pa.int64()),
+def _word_counts(batches, most: int = 200_000):
+    """(word, n0, n1) rows; counts are passed on whenever so many words have gathered."""
+    counts: list[Counter] = [Counter(), Counter()]
+
+    def rows():
+        words = [list(c) for c in counts]
+        zeros = [[0] * len(w) for w in words]
+        return pa.RecordBatch.from_pydict({
+            "word": pa.array(words[0] + words[1], pa.string()),
+            "n0": pa.array([counts[0][w] for w in words[0]] + zeros[1], pa.int64()),
+            "n1": pa.array(zeros[0] + [counts[1][w] for w in words[1]], pa.int64()),
         })
 
+    for batch in sliced(batches):
+        for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
+            counts[toxic].update({w for w in WORD.findall(fold(text or "")) if SHORTEST <= len(w) <= 40})
+        if sum(map(len, counts)) > most:
+            yield rows()
+            counts = [Counter(), Counter()]
+    yield rows()
+
 
 def _sketched(batches):
     """Adds a one-value minhash over words, so that near copies can count once."""
-    for batch in batches:
+    for batch in sliced(batches):
         mh = [min((xxhash.xxh64_intdigest(w) >> 1 for w in set(WORD.findall(fold(t or "")))), default=0) for t in batch["text"].to_pylist()]
         yield batch.append_column("mh", pa.array(mh, pa.int64()))
 
@@ -157,7 +166,7 @@ def learned(train: DataFrame) -> Model:
 
     def hits(batches):
         auto = model.automaton()
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [fold(t or "") for t in batch["text"].to_pylist()]
             found = [sorted({t[a:b] for a, b in s}) for t, s in zip(texts, features(auto, texts)[1], strict=True)]
             yield pa.RecordBatch.from_pydict({"toxic": batch["toxic"], "found": pa.array(found, pa.list_(pa.string()))})
@@ -178,7 +187,7 @@ def learned(train: DataFrame) -> Model:
 
     def measured(batches):
         auto = model.automaton()
-        for batch in batches:
+        for batch in sliced(batches):
             x, _ = features(auto, batch["text"].to_pylist())
             yield pa.RecordBatch.from_pydict({"a": pa.array(x[:, 0]), "b": pa.array(x[:, 1]), "toxic": batch["toxic"]})
 
@@ -197,7 +206,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
     def run(batches):
         auto = model.automaton()
-        for batch in batches:
+        for batch in sliced(batches):
             x, spans = features(auto, batch["text"].to_pylist())
             p = probability(x, model.scale)
             batch = batch.append_column("score", pa.array(p)).append_column("predicted", pa.array((p >= threshold).astype(np.int32)))
