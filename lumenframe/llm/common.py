@@ -40,7 +40,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; for a plain Parquet scan the size of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def bucketed(df: DataFrame, key: str, tag: str, mb: int = 16) -> tuple[DataFrame, int]:

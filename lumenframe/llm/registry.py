@@ -1,16 +1,19 @@
 """Queries of this subpackage and, where SQL can say the same, their SQL."""
 
-from . import decontamination, licenses, mixing, toxicity, urls
+from . import decontamination, licenses, mixing, suffix_arrays, suffix_automata, toxicity, urls
 
 QUERIES = {
     "op1_decontaminate": decontamination.op1_decontaminate,
     "op2_url_filter": urls.op2_url_filter,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_suffix_dedup": suffix_arrays.op5_suffix_dedup,
     "op6_licenses": licenses.op6_licenses,
     "op8_mix": mixing.op8_mix,
+    "op10_substring_dedup": suffix_automata.op10_substring_dedup,
 }
 ORACLE_SQL = {
     "op1_decontaminate": decontamination.OP1_SQL,
+    "op5_suffix_dedup": suffix_arrays.op5_suffix_dedup,
     "op6_licenses": licenses.OP6_SQL,
     "op8_mix": mixing.OP8_SQL,
 }
