@@ -25,6 +25,8 @@ from . import bulk
 from .common import bucketed
 
 LOW = np.uint64((1 << 48) - 1)
+#: Key shards for each bucket, so that what one shard gathers stays well below what a bucket holds.
+SHARDS = 8
 LAST_ID = (1 << 63) - 1
 
 
@@ -202,6 +204,7 @@ class Repeats:
         """doc_id, n (symbols), spans (array of start, end), kept (binary), one row for each input row."""
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("th", F.xxhash64("text"))
         table, n = bucketed(rows, "b", tag, mb=8)
+        n *= SHARDS
         sent = table.select("b", "text").mapInArrow(self.sent_keys(n), "s int, b int, once binary, more binary")
         shared = sent.groupBy("s").applyInArrow(lambda t: self.shared_keys(t), "s int, b int, keys binary")
         context = table.groupBy("b").cogroup(shared.groupBy("b")).applyInArrow(self.contexts(n), "s int, b int, data binary")

@@ -11,7 +11,7 @@ from .spans import Repeats
 WINDOW = 50
 GRAM = 16
 #: Bytes under one suffix array.
-SHARD = 4 << 20
+SHARD = 1 << 20
 
 
 def eights(text: np.ndarray) -> np.ndarray:

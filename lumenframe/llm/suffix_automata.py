@@ -11,7 +11,7 @@ from .spans import Repeats
 WINDOW = 50
 GRAM = 8
 #: Words under one automaton; a larger reference is several of them, and documents are streamed through each.
-SHARD = 100_000
+SHARD = 50_000
 
 
 class Automaton:
