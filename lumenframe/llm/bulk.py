@@ -154,7 +154,8 @@ def anchors(symbols: np.ndarray, rows: np.ndarray, window: int, gram: int):
     a = at[valid]
     first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (valid[1:] != valid[:-1] + 1)]))
     last = np.concatenate([first[1:], [len(a)]]) - 1
-    return g[a[first]], valid[first], valid[last]
+    # Least hashes are small numbers: mixed again, so that their high bits can deal them out evenly.
+    return mix(g[a[first]] + U(0x9E3779B97F4A7C15)), valid[first], valid[last]
 
 
 def ranges(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
