@@ -26,7 +26,9 @@ from .common import bucketed
 
 LOW = np.uint64((1 << 48) - 1)
 #: Key shards for each bucket, so that what one shard gathers stays well below what a bucket holds.
-SHARDS = 8
+SHARDS = 4
+#: Megabytes of (compressed) input in a bucket; a bucket's texts are held in memory while it is worked on.
+BUCKET_MB = 4
 LAST_ID = (1 << 63) - 1
 
 
@@ -123,7 +125,7 @@ class Repeats:
                         pick = pick[np.isin(key[pick] & LOW, merged[s], assume_unique=False)]
                         if not len(pick):
                             continue
-                        pick = pick[np.lexsort((first[pick], key[pick]))]
+                        pick = pick[np.argsort(key[pick], kind="stable")]
                         count = (last - first)[pick] + self.window
                         parts[int(s)].append((key[pick], doc[pick] + first_row, first[pick] - at[doc[pick]], (last - first)[pick] + 1, payload[bulk.ranges(first[pick], count)]))
                 for s, x in parts.items():
@@ -203,7 +205,7 @@ class Repeats:
     def run(self, docs: DataFrame, tag: str) -> DataFrame:
         """doc_id, n (symbols), spans (array of start, end), kept (binary), one row for each input row."""
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("th", F.xxhash64("text"))
-        table, n = bucketed(rows, "b", tag, mb=8)
+        table, n = bucketed(rows, "b", tag, mb=BUCKET_MB)
         n *= SHARDS
         sent = table.select("b", "text").mapInArrow(self.sent_keys(n), "s int, b int, once binary, more binary")
         shared = sent.groupBy("s").applyInArrow(lambda t: self.shared_keys(t), "s int, b int, keys binary")

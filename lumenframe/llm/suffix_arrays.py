@@ -28,7 +28,7 @@ def suffix_array(text: np.ndarray, depth: int, first: np.ndarray | None = None)
     the sorted length doubling every round. Groups that are settled are not touched again."""
     n = len(text)
     first = eights(text) if first is None else first
-    sa = np.argsort(first, kind="stable")
+    sa = np.argsort(first)
     new = np.concatenate([[True], first[sa[1:]] != first[sa[:-1]]]) if n else np.zeros(0, bool)
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
@@ -43,7 +43,7 @@ def suffix_array(text: np.ndarray, depth: int, first: np.ndarray | None = None)
         pos = sa[at]
         follow = rank[np.minimum(pos + h, n)] + 1
         key = rank[pos] * np.int64(n + 2) + follow
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         pos, key = pos[order], key[order]
         sa[at] = pos
         # Groups keep their places, so a group's rank is where its part of the array begins.
