@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can say the same, their SQL."""
 
-from . import decontamination, licenses, mixing, suffix_arrays, suffix_automata, toxicity, urls
+from . import decontamination, jaccard, licenses, mixing, suffix_arrays, suffix_automata, toxicity, urls
 
 QUERIES = {
     "op1_decontaminate": decontamination.op1_decontaminate,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_suffix_dedup": suffix_arrays.op5_suffix_dedup,
     "op6_licenses": licenses.op6_licenses,
     "op8_mix": mixing.op8_mix,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_substring_dedup": suffix_automata.op10_substring_dedup,
 }
 ORACLE_SQL = {
