@@ -23,7 +23,11 @@ COUNTERS = 1 << 18
 SLICES = 64
 #: Prefix tokens, or sets, that one shard of a shuffle gathers on average.
 SHARD_TOKENS, SHARD_SETS = 200_000, 1_000
+#: A group with more members is split into equal parts, each a group of its own.
+MOST_MEMBERS = 4_000
 LEVEL_BITS = 5
+#: Prefixes are longer than need be by this share of the set, and linked pairs share as many tokens more.
+EXTRA = 0.03
 
 
 def ceil_share(percent: int, n):
@@ -72,7 +76,9 @@ class JaccardJoin:
             yield first, last, *bulk.distinct_by_row(tokens, row)
 
     def signed(self, levels: np.ndarray):
-        """doc_id, th, b, size, s1, s2 (a 128-bit signature of the set), prefix: the rarest tokens, of which a linked pair shares one at least."""
+        """doc_id, th, b, size, s1, s2 (a 128-bit signature of the set), prefix: the rarest tokens. Of sets x and y, as long as their overlap must be at
+        least t, the first |x| - t + k and |y| - t + k tokens share k; t is at least percent of either size. Here k is 1 + EXTRA of the size, so of the
+        smaller set's size for a pair."""
 
         def run(batches):
             for batch in batches:
@@ -83,7 +89,7 @@ class JaccardJoin:
                     for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
                         c = np.concatenate([np.zeros(1, np.uint64), np.cumsum(bulk.mix(tokens ^ np.uint64(salt)))])
                         sums.append((c[at[1:]] - c[at[:-1]]).view(np.int64))
-                    p = np.where(n > 0, n - ceil_share(self.percent, n) + 1, 0)
+                    p = np.where(n > 0, np.minimum(n, n - ceil_share(self.percent, n) + 1 + (EXTRA * n).astype(np.int64)), 0)
                     prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(p)]), pa.int32()), pa.array(tokens[bulk.ranges(at[:-1], p)].astype(np.int64)))
                     part = batch.slice(first, last - first)
                     yield pa.RecordBatch.from_arrays([part["doc_id"], part["th"], part["b"], pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), prefix],
@@ -91,23 +97,37 @@ class JaccardJoin:
 
         return run
 
+    def leaders(self, table: pa.Table) -> pa.Table:
+        """q, leader, n, need: in how many of one shard's tokens (token, rid, size, like) document q meets the leader, the least rid among the documents
+        of like size that hold the token, and how many they would share if they were linked. As many rows as tokens at most, however often one
+        occurs."""
+        token, rid, size, like = (table[c].to_numpy() for c in ("token", "rid", "size", "like"))
+        order = np.lexsort((rid, like, token))
+        token, rid, size, like = (x[order].astype(np.int64) for x in (token, rid, size, like))
+        new = np.concatenate([[True], (token[1:] != token[:-1]) | (like[1:] != like[:-1])])
+        lead = rid[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+        follows = ~new & (lead != rid)
+        pairs, n = np.unique(np.stack([rid[follows], lead[follows], size[follows]], 1), axis=0, return_counts=True)
+        need = 1 + (EXTRA * ceil_share(self.percent, pairs[:, 2])).astype(np.int64)
+        return pa.table({"q": pa.array(pairs[:, 0]), "leader": pa.array(pairs[:, 1]), "n": pa.array(n.astype(np.int64)), "need": pa.array(need)})
+
     def candidates(self, table: pa.Table) -> pa.Table:
-        """g, q: documents q that may overlap enough with the union of group g, of one shard's tokens (token, rid, size, pos, g)."""
-        token, rid, size, pos, g = (table[c].to_numpy() for c in ("token", "rid", "size", "pos", "g"))
+        """g, q, n, need: how many of one shard's tokens (token, rid, size, g) document q shares with the union of group g, and how many it must share
+        over all shards to be linked with a member."""
+        token, rid, size, g = (table[c].to_numpy() for c in ("token", "rid", "size", "g"))
         order = np.lexsort((g, token))
-        token, rid, size, pos, g = (x[order].astype(np.int64) for x in (token, rid, size, pos, g))
-        new = np.concatenate([[True], token[1:] != token[:-1]])
-        run = np.cumsum(new) - 1
+        token, rid, size, g = (x[order].astype(np.int64) for x in (token, rid, size, g))
+        run = np.cumsum(np.concatenate([[True], token[1:] != token[:-1]])) - 1
         keep = np.bincount(run)[run] > 1
-        token, rid, size, pos, g = (x[keep] for x in (token, rid, size, pos, g))
+        token, rid, size, g = (x[keep] for x in (token, rid, size, g))
         if not len(token):
-            return pa.table({"g": pa.array([], pa.int64()), "q": pa.array([], pa.int64())})
+            return pa.table({c: pa.array([], pa.int64()) for c in ("g", "q", "n", "need")})
         new = np.concatenate([[True], token[1:] != token[:-1]])
         run = np.cumsum(new) - 1
-        # The groups of each run: their least and largest size, least position, and member if it is the only one there.
+        # The groups of each run: their least and largest size, and the member if it is the only one there.
         head = np.flatnonzero(new | np.concatenate([[True], g[1:] != g[:-1]]))
         count = np.diff(np.concatenate([head, [len(g)]]))
-        low, high, near = np.minimum.reduceat(size, head), np.maximum.reduceat(size, head), np.minimum.reduceat(pos, head)
+        low, high = np.minimum.reduceat(size, head), np.maximum.reduceat(size, head)
         groups_of = np.bincount(run[head])
         first_group = np.cumsum(groups_of) - groups_of
         out, p = [], self.percent
@@ -117,37 +137,38 @@ class JaccardJoin:
             e = np.flatnonzero(blocks == k)
             q = np.repeat(e, n_each[e])
             h = bulk.ranges(first_group[run[e]], n_each[e])
-            alone = count[h] == 1
-            ok = ~alone | (rid[head[h]] < rid[q])
+            # A pair is sought from the larger rid's side where the other is alone: all tokens of a pair are counted on that side.
+            ok = (count[h] > 1) | (rid[head[h]] < rid[q])
             ok &= (100 * high[h] >= p * size[q]) & (100 * size[q] >= p * low[h])
-            smaller = np.maximum(low[h], ceil_share(p, size[q]))
-            need = -(-(p * (size[q] + smaller)) // (100 + p))
-            ok &= 1 + np.minimum(size[q] - pos[q], high[h] - near[h]) - 1 >= need
-            out.append(np.unique(np.stack([g[head[h[ok]]], rid[q[ok]]], 1), axis=0))
-        out = np.unique(np.concatenate(out), axis=0)
-        return pa.table({"g": pa.array(out[:, 0]), "q": pa.array(out[:, 1])})
+            pairs, n = np.unique(np.stack([g[head[h[ok]]], rid[q[ok]], size[q[ok]]], 1), axis=0, return_counts=True)
+            out.append(np.column_stack([pairs, n]))
+        out = np.concatenate(out)
+        need = 1 + (EXTRA * ceil_share(p, out[:, 2])).astype(np.int64)
+        return pa.table({"g": pa.array(out[:, 0]), "q": pa.array(out[:, 1]), "n": pa.array(out[:, 3]), "need": pa.array(need)})
 
     def fetched(self, levels: np.ndarray):
-        """g, rid, member, tokens of the wanted documents (th, doc_id, rid, gs, members) of one bucket."""
+        """s, rid, gs, members, tokens of the wanted documents (s, th, doc_id, rid, gs, members) of one bucket."""
 
         def run(docs: pa.Table, wanted: pa.Table) -> pa.Table:
-            rows = defaultdict(list)
+            sent = []
             if docs.num_rows and wanted.num_rows:
                 ids, th = _ids(docs)
                 place: dict = {}
                 for k, key in enumerate(zip(ids.tolist(), th.tolist(), strict=True)):
                     place.setdefault(key, k)
+                wanted = wanted.combine_chunks()
                 wids, wth = _ids(wanted)
-                at = [place[key] for key in zip(wids.tolist(), wth.tolist(), strict=True)]
-                texts = docs["text"].combine_chunks().take(pa.array(at))
-                rid, gs, members = (wanted[c].to_pylist() for c in ("rid", "gs", "members"))
-                for first, last, tokens, row in self.sets(texts, levels):
+                at = np.array([place[key] for key in zip(wids.tolist(), wth.tolist(), strict=True)])
+                used, of = np.unique(at, return_inverse=True)
+                sent = [b""] * len(used)
+                for first, last, tokens, row in self.sets(docs["text"].combine_chunks().take(pa.array(used)), levels):
                     cuts = np.searchsorted(row, np.arange(last - first + 1))
                     for k in range(first, last):
-                        raw = tokens[cuts[k - first] : cuts[k - first + 1]].tobytes()
-                        for g, m in zip(gs[k], members[k], strict=True):
-                            rows["g"].append(g), rows["rid"].append(rid[k]), rows["member"].append(m), rows["tokens"].append(raw)
-            return pa.table({"g": pa.array(rows["g"], pa.int64()), "rid": pa.array(rows["rid"], pa.int64()), "member": pa.array(rows["member"], pa.bool_()), "tokens": pa.array(rows["tokens"], pa.binary())})
+                        sent[k] = tokens[cuts[k - first] : cuts[k - first + 1]].tobytes()
+                sent = [sent[k] for k in of.tolist()]
+            else:
+                wanted = wanted.slice(0, 0)
+            return wanted.select(["s", "rid", "gs", "members"]).append_column("tokens", pa.array(sent, pa.binary()))
 
         return run
 
@@ -160,23 +181,20 @@ class JaccardJoin:
 
     def opened(self, table: pa.Table) -> pa.Table:
         """a, b: links that join all linked documents of each group and of its queries, of one shard's groups."""
-        g, rid, member = (table[c].to_numpy(zero_copy_only=False) for c in ("g", "rid", "member"))
-        raw = table["tokens"].combine_chunks()
-        sets = [np.sort(np.frombuffer(x.as_buffer(), np.uint64)) for x in raw]
+        rid = table["rid"].to_pylist()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["tokens"].combine_chunks()]  # in the order of tokens
+        parts = defaultdict(lambda: ([], []))
+        for k, (gs, members) in enumerate(zip(table["gs"].to_pylist(), table["members"].to_pylist(), strict=True)):
+            for g, m in zip(gs, members, strict=True):
+                parts[g][not m].append(k)
         edges = []
-        order = np.lexsort((rid, ~member, g))
-        for part in np.split(order, np.flatnonzero(np.diff(g[order])) + 1) if len(order) else ():
-            inside = [k for k in part.tolist() if member[k]]
-            queries = [k for k in part.tolist() if not member[k]]
+        for inside, queries in parts.values():
+            n_inside = len(inside)
             union = np.unique(np.concatenate([sets[k] for k in inside]))
             groups: list[list[int]] = []  # linked so far, each in the order in which links were found
-            own = set()
-            for k in inside + queries:
-                if rid[k] in own:
-                    continue
-                own.add(rid[k])
-                x = sets[k]
-                if not member[k]:
+            for j, k in enumerate(inside + queries):
+                x, member = sets[k], j < n_inside
+                if not member:
                     spot = np.minimum(np.searchsorted(union, x), len(union) - 1)
                     if 100 * int((union[spot] == x).sum()) < self.percent * len(x):
                         continue
@@ -188,7 +206,7 @@ class JaccardJoin:
                             others.insert(0, others.pop(i))  # what linked once is tried first
                             hit.append(c)
                             break
-                joined = [k] if member[k] else []  # queries are compared with members only; they meet each other in their own groups
+                joined = [k] if member else []  # queries are compared with members only; they meet each other in their own groups
                 for c in reversed(hit):
                     joined = groups.pop(c) + joined
                 if joined:
@@ -206,19 +224,32 @@ class JaccardJoin:
         signed = written(table.select("doc_id", "th", "b", "text").mapInArrow(self.signed(levels), schema), f"{tag}-sets")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "b", "prefix")).alias("x")
         nodes = signed.filter("size > 0").groupBy("size", "s1", "s2").agg(first).select("size", "s1", "s2", "x.doc_id", "x.th", "x.b", "x.prefix")
-        nodes = written(nodes.withColumn("rid", F.monotonically_increasing_id()).withColumn("g", F.get("prefix", F.lit(0))), f"{tag}-nodes")
+        like = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / self.percent)))
+        nodes = written(nodes.withColumn("rid", F.monotonically_increasing_id()).withColumn("like", like), f"{tag}-nodes")
         n = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
-        tokens = nodes.select("rid", "size", "g", F.posexplode("prefix").alias("pos", "token"))
-        tokens = tokens.withColumn("s", F.pmod(F.xxhash64("token"), F.lit(1 + n // SHARD_TOKENS)).cast("int"))
-        found = tokens.groupBy("s").applyInArrow(lambda t: self.candidates(t), "g long, q long").distinct()
+        shard = F.pmod(F.xxhash64("token"), F.lit(1 + n // SHARD_TOKENS)).cast("int").alias("s")
+        # Groups: each set follows the leader with which it shares the most tokens, if they could be linked by that, else it leads itself.
+        tokens = nodes.select("rid", "size", "like", F.explode("prefix").alias("token")).select("*", shard)
+        lead = tokens.groupBy("s").applyInArrow(lambda t: self.leaders(t), "q long, leader long, n long, need long")
+        lead = lead.groupBy("q", "leader").agg(F.sum("n").alias("n"), F.max("need").alias("need")).filter("n >= need")
+        lead = lead.groupBy("q").agg(F.max(F.struct("n", (-F.col("leader")).alias("minus"))).alias("x")).select("q", (-F.col("x.minus")).alias("leader"))
+        groups = nodes.select("rid").join(lead, F.col("rid") == F.col("q"), "left").select("rid", F.coalesce("leader", "rid").alias("leader"))
+        groups = written(groups, f"{tag}-leaders")
+        many = groups.groupBy("leader").count().filter(F.col("count") > MOST_MEMBERS).withColumn("parts", F.ceil(F.col("count") / MOST_MEMBERS))
+        part = F.pmod(F.xxhash64("rid"), F.coalesce("parts", F.lit(1)))
+        groups = groups.join(many, "leader", "left").select("rid", F.xxhash64("leader", part).alias("g"))
+        nodes = written(nodes.join(groups, "rid"), f"{tag}-grouped")
+        tokens = nodes.select("rid", "size", "g", F.explode("prefix").alias("token")).select("*", shard)
+        found = tokens.groupBy("s").applyInArrow(lambda t: self.candidates(t), "g long, q long, n long, need long")
+        found = found.groupBy("g", "q").agg(F.sum("n").alias("n"), F.max("need").alias("need")).filter("n >= need").select("g", "q")
         found = written(found, f"{tag}-candidates")
         members = nodes.select("g", F.col("rid").alias("q")).join(found.select("g").distinct(), "g", "left_semi").withColumn("member", F.lit(True))
         wants = found.withColumn("member", F.lit(False)).unionByName(members).groupBy("g", "q").agg(F.max("member").alias("member"))
-        wants = wants.groupBy("q").agg(F.collect_list(F.struct("g", "member")).alias("x"))
-        wants = nodes.select("rid", "doc_id", "th", "b").join(wants, F.col("rid") == F.col("q")).select("b", "th", "doc_id", "rid", F.col("x.g").alias("gs"), F.col("x.member").alias("members"))
-        sets = table.select("doc_id", "th", "b", "text").groupBy("b").cogroup(wants.groupBy("b")).applyInArrow(self.fetched(levels), "g long, rid long, member boolean, tokens binary")
         shards = 1 + nodes.count() // SHARD_SETS
-        sets = sets.withColumn("s", F.pmod(F.xxhash64("g"), F.lit(shards)).cast("int"))
+        wants = wants.withColumn("s", F.pmod(F.xxhash64("g"), F.lit(shards)).cast("int")).groupBy("q", "s").agg(F.collect_list(F.struct("g", "member")).alias("x"))
+        wants = nodes.select("rid", "doc_id", "th", "b").join(wants, F.col("rid") == F.col("q")).select("b", "s", "th", "doc_id", "rid", F.col("x.g").alias("gs"), F.col("x.member").alias("members"))
+        schema = "s int, rid long, gs array<long>, members array<boolean>, tokens binary"
+        sets = table.select("doc_id", "th", "b", "text").groupBy("b").cogroup(wants.groupBy("b")).applyInArrow(self.fetched(levels), schema)
         edges = sets.groupBy("s").applyInArrow(lambda t: self.opened(t), "a long, b long")
         root = roots(edges)
         label = nodes.select("rid", "size", "s1", "s2", "doc_id").join(root, F.col("rid") == F.col("u"), "left").withColumn("root", F.coalesce("v", "rid"))
