@@ -18,8 +18,8 @@ from .common import bucketed, written
 from .components import roots
 from .spans import _ids, pack, unpack
 
-#: Counters of shingle frequencies; a shingle's level is how often its counter exceeds the mean, as a power of two.
-COUNTERS = 1 << 18
+#: Counters of shingle frequencies; a shingle's level says how often its counter exceeds the mean, in half powers of two.
+COUNTERS = 1 << 21
 SLICES = 64
 #: Prefix tokens, or sets, that one shard of a shuffle gathers on average.
 SHARD_TOKENS, SHARD_SETS = 200_000, 1_000
@@ -48,25 +48,25 @@ class JaccardJoin:
             yield first, last, values, row
 
     def counted(self, batches):
-        counts = np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(COUNTERS, np.int64)  # of one task
         for batch in batches:
             for _, _, values, _ in self.hashes(batch["text"]):
                 counts += np.bincount((values & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         size = COUNTERS // SLICES
-        yield pa.RecordBatch.from_pydict({"k": pa.array(range(SLICES), pa.int32()), "data": pa.array([pack(c=counts[k * size : (k + 1) * size]) for k in range(SLICES)], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"k": pa.array(range(SLICES), pa.int32()), "data": pa.array([pack(c=counts[k * size : (k + 1) * size].astype(np.int32)) for k in range(SLICES)], pa.binary())})
 
     def levels(self, table: DataFrame) -> np.ndarray:
         """The level of each counter, from all documents: as many bytes as counters, whatever the input."""
 
         def total(t: pa.Table) -> pa.Table:
-            return pa.table({"k": t["k"][:1], "data": pa.array([pack(c=sum(unpack(x)["c"] for x in t["data"].to_pylist()))], pa.binary())})
+            return pa.table({"k": t["k"][:1], "data": pa.array([pack(c=sum(unpack(x)["c"].astype(np.int64) for x in t["data"].to_pylist()))], pa.binary())})
 
         got = table.select("text").mapInArrow(self.counted, "k int, data binary").groupBy("k").applyInArrow(total, "k int, data binary").collect()
         counts = np.zeros(COUNTERS, np.int64)
         size = COUNTERS // SLICES
         for r in got:
             counts[r["k"] * size : (r["k"] + 1) * size] = unpack(bytes(r["data"]))["c"]
-        return np.clip(np.log2(np.maximum(counts, 1) / max(1.0, counts.mean())), 0, (1 << LEVEL_BITS) - 1).astype(np.uint8)
+        return np.clip(2 * np.log2(np.maximum(counts, 1) / max(1.0, counts.mean())), 0, (1 << LEVEL_BITS) - 1).astype(np.uint8)
 
     def sets(self, column, levels: np.ndarray):
         """(first row, last row, tokens, rows): distinct tokens of each row in the order of rarity. A token is the shingle's level and hash."""
