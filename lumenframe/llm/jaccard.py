@@ -99,15 +99,18 @@ class JaccardJoin:
 
     def leaders(self, table: pa.Table) -> pa.Table:
         """q, leader, n, need: in how many of one shard's tokens (token, rid, size, like) document q meets the leader, the least rid among the documents
-        of like size that hold the token, and how many they would share if they were linked. As many rows as tokens at most, however often one
-        occurs."""
+        of like size that hold the token, and how many they would share if they were linked; with leader -1, how many of them any other document
+        holds. Two rows a token at most, however often one occurs."""
         token, rid, size, like = (table[c].to_numpy() for c in ("token", "rid", "size", "like"))
         order = np.lexsort((rid, like, token))
         token, rid, size, like = (x[order].astype(np.int64) for x in (token, rid, size, like))
         new = np.concatenate([[True], (token[1:] != token[:-1]) | (like[1:] != like[:-1])])
         lead = rid[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
         follows = ~new & (lead != rid)
-        pairs, n = np.unique(np.stack([rid[follows], lead[follows], size[follows]], 1), axis=0, return_counts=True)
+        run = np.cumsum(np.concatenate([[True], token[1:] != token[:-1]])) - 1
+        met = np.bincount(run)[run] > 1
+        rows = np.concatenate([np.stack([rid[follows], lead[follows], size[follows]], 1), np.stack([rid[met], np.full(met.sum(), -1), size[met]], 1)])
+        pairs, n = np.unique(rows, axis=0, return_counts=True)
         need = 1 + (EXTRA * ceil_share(self.percent, pairs[:, 2])).astype(np.int64)
         return pa.table({"q": pa.array(pairs[:, 0]), "leader": pa.array(pairs[:, 1]), "n": pa.array(n.astype(np.int64)), "need": pa.array(need)})
 
@@ -139,6 +142,7 @@ class JaccardJoin:
             h = bulk.ranges(first_group[run[e]], n_each[e])
             # A pair is sought from the larger rid's side where the other is alone: all tokens of a pair are counted on that side.
             ok = (count[h] > 1) | (rid[head[h]] < rid[q])
+            ok &= g[head[h]] != g[q]  # members of a group are compared there anyway
             ok &= (100 * high[h] >= p * size[q]) & (100 * size[q] >= p * low[h])
             pairs, n = np.unique(np.stack([g[head[h[ok]]], rid[q[ok]], size[q[ok]]], 1), axis=0, return_counts=True)
             out.append(np.column_stack([pairs, n]))
@@ -232,18 +236,23 @@ class JaccardJoin:
         tokens = nodes.select("rid", "size", "like", F.explode("prefix").alias("token")).select("*", shard)
         lead = tokens.groupBy("s").applyInArrow(lambda t: self.leaders(t), "q long, leader long, n long, need long")
         lead = lead.groupBy("q", "leader").agg(F.sum("n").alias("n"), F.max("need").alias("need")).filter("n >= need")
-        lead = lead.groupBy("q").agg(F.max(F.struct("n", (-F.col("leader")).alias("minus"))).alias("x")).select("q", (-F.col("x.minus")).alias("leader"))
-        groups = nodes.select("rid").join(lead, F.col("rid") == F.col("q"), "left").select("rid", F.coalesce("leader", "rid").alias("leader"))
+        lead = written(lead, f"{tag}-met")
+        alive = lead.filter("leader < 0").select("q", F.lit(True).alias("alive"))
+        lead = lead.filter("leader >= 0").groupBy("q").agg(F.max(F.struct("n", (-F.col("leader")).alias("minus"))).alias("x")).select("q", (-F.col("x.minus")).alias("leader"))
+        groups = nodes.select("rid").join(lead.withColumnRenamed("q", "rid"), "rid", "left").join(alive.withColumnRenamed("q", "rid"), "rid", "left")
+        groups = groups.select("rid", F.coalesce("leader", "rid").alias("leader"), F.coalesce("alive", F.lit(False)).alias("alive"))
         groups = written(groups, f"{tag}-leaders")
         many = groups.groupBy("leader").count().filter(F.col("count") > MOST_MEMBERS).withColumn("parts", F.ceil(F.col("count") / MOST_MEMBERS))
         part = F.pmod(F.xxhash64("rid"), F.coalesce("parts", F.lit(1)))
-        groups = groups.join(many, "leader", "left").select("rid", F.xxhash64("leader", part).alias("g"))
+        groups = groups.join(many, "leader", "left").select("rid", "alive", F.xxhash64("leader", part).alias("g"))
         nodes = written(nodes.join(groups, "rid"), f"{tag}-grouped")
-        tokens = nodes.select("rid", "size", "g", F.explode("prefix").alias("token")).select("*", shard)
+        # Documents that meet too few tokens anywhere can link with nobody: they are done.
+        tokens = nodes.filter("alive").select("rid", "size", "g", F.explode("prefix").alias("token")).select("*", shard)
         found = tokens.groupBy("s").applyInArrow(lambda t: self.candidates(t), "g long, q long, n long, need long")
         found = found.groupBy("g", "q").agg(F.sum("n").alias("n"), F.max("need").alias("need")).filter("n >= need").select("g", "q")
         found = written(found, f"{tag}-candidates")
-        members = nodes.select("g", F.col("rid").alias("q")).join(found.select("g").distinct(), "g", "left_semi").withColumn("member", F.lit(True))
+        open_ = found.select("g").union(nodes.groupBy("g").count().filter("count > 1").select("g")).distinct()
+        members = nodes.select("g", F.col("rid").alias("q")).join(open_, "g", "left_semi").withColumn("member", F.lit(True))
         wants = found.withColumn("member", F.lit(False)).unionByName(members).groupBy("g", "q").agg(F.max("member").alias("member"))
         shards = 1 + nodes.count() // SHARD_SETS
         wants = wants.withColumn("s", F.pmod(F.xxhash64("g"), F.lit(shards)).cast("int")).groupBy("q", "s").agg(F.collect_list(F.struct("g", "member")).alias("x"))
