@@ -241,6 +241,9 @@ class JaccardJoin:
         lead = lead.filter("leader >= 0").groupBy("q").agg(F.max(F.struct("n", (-F.col("leader")).alias("minus"))).alias("x")).select("q", (-F.col("x.minus")).alias("leader"))
         groups = nodes.select("rid").join(lead.withColumnRenamed("q", "rid"), "rid", "left").join(alive.withColumnRenamed("q", "rid"), "rid", "left")
         groups = groups.select("rid", F.coalesce("leader", "rid").alias("leader"), F.coalesce("alive", F.lit(False)).alias("alive"))
+        # A leader that follows another takes its followers along.
+        above = groups.select(F.col("rid").alias("leader"), F.col("leader").alias("above")).filter("leader != above")
+        groups = groups.join(above, "leader", "left").select("rid", F.coalesce("above", "leader").alias("leader"), "alive")
         groups = written(groups, f"{tag}-leaders")
         many = groups.groupBy("leader").count().filter(F.col("count") > MOST_MEMBERS).withColumn("parts", F.ceil(F.col("count") / MOST_MEMBERS))
         part = F.pmod(F.xxhash64("rid"), F.coalesce("parts", F.lit(1)))
