@@ -1,13 +1,15 @@
 """Queries of this subpackage and, where SQL can say the same, their SQL."""
 
-from . import decontamination, jaccard, licenses, mixing, suffix_arrays, suffix_automata, toxicity, urls
+from . import decontamination, jaccard, licenses, mixing, neighbours, secret_scan, suffix_arrays, suffix_automata, toxicity, urls
 
 QUERIES = {
     "op1_decontaminate": decontamination.op1_decontaminate,
     "op2_url_filter": urls.op2_url_filter,
+    "op3_neighbours": neighbours.op3_neighbours,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_suffix_dedup": suffix_arrays.op5_suffix_dedup,
     "op6_licenses": licenses.op6_licenses,
+    "op7_secrets": secret_scan.op7_secrets,
     "op8_mix": mixing.op8_mix,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_substring_dedup": suffix_automata.op10_substring_dedup,
