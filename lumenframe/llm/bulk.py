@@ -14,7 +14,7 @@ _MASK = (1 << 64) - 1
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: About so many bytes of text are worked on at once; a longer text is worked on alone.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
@@ -29,14 +29,15 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(column, size: int = CHUNK):
-    """(first row, last row + 1, bytes, offsets) of runs of rows of about size bytes."""
-    data, offsets = utf8(column)
-    first, n = 0, len(offsets) - 1
-    while first < n:
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
-        yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
-        first = last
+def chunks(column, size: int = CHUNK, rows: int = 512):
+    """(first row, last row + 1, bytes, offsets) of runs of rows of about size bytes. Buffers are copied for a few rows at a time."""
+    for at in range(0, len(column), rows):
+        data, offsets = utf8(column.slice(at, rows))
+        first, n = 0, len(offsets) - 1
+        while first < n:
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
+            yield at + first, at + last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+            first = last
 
 
 def mix(x: np.ndarray) -> np.ndarray:

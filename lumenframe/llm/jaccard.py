@@ -22,7 +22,7 @@ from .spans import _ids, pack, unpack
 COUNTERS = 1 << 21
 SLICES = 64
 #: Prefix tokens, or sets, that one shard of a shuffle gathers on average.
-SHARD_TOKENS, SHARD_SETS = 200_000, 1_000
+SHARD_TOKENS, SHARD_SETS = 100_000, 500
 #: A group with more members is split into equal parts, each a group of its own.
 MOST_MEMBERS = 4_000
 LEVEL_BITS = 5
@@ -48,10 +48,11 @@ class JaccardJoin:
             yield first, last, values, row
 
     def counted(self, batches):
-        counts = np.zeros(COUNTERS, np.int64)  # of one task
+        counts = np.zeros(COUNTERS, np.int32)  # of one task
         for batch in batches:
             for _, _, values, _ in self.hashes(batch["text"]):
-                counts += np.bincount((values & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                at, n = np.unique(values & np.uint64(COUNTERS - 1), return_counts=True)
+                counts[at.astype(np.int64)] += n.astype(np.int32)
         size = COUNTERS // SLICES
         yield pa.RecordBatch.from_pydict({"k": pa.array(range(SLICES), pa.int32()), "data": pa.array([pack(c=counts[k * size : (k + 1) * size].astype(np.int32)) for k in range(SLICES)], pa.binary())})
 
