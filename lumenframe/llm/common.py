@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import tempfile
 import uuid
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +50,10 @@ def bucketed(df: DataFrame, key: str, tag: str, mb: int = 16) -> tuple[DataFrame
     """df written once as a table bucketed by column key (an int below the bucket count), so that later joins and cogroups on key move only
     their other side. The bucket count follows the input's size. Returns the table and the count; key is added as a hash of all columns."""
     spark = df.sparkSession
-    n = max(8, -(-plan_bytes(df) // (mb << 20)))
+    size = plan_bytes(df)
+    if size >= 1 << 60:  # not a file scan, so no estimate: measure the texts
+        size = (df.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2
+    n = max(8, -(-size // (mb << 20)))
     name = f"{tag}_{uuid.uuid4().hex}"
     keyed = df.withColumn(key, F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int"))
     keyed.repartition(n, key).write.bucketBy(n, key).option("compression", "zstd").saveAsTable(name)
@@ -105,3 +111,32 @@ def sliced(batches, rows: int = 256):
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+
+
+def trimmed(f):
+    """f, a function of Arrow data that runs in a Python worker; when it is done, freed memory goes back to the system, for workers outlive tasks."""
+
+    def trim():
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    if inspect.isgeneratorfunction(f):
+
+        @wraps(f)
+        def run(batches):
+            yield from f(batches)
+            trim()
+    else:
+
+        @wraps(f)
+        def run(*tables):
+            out = f(*tables)
+            trim()
+            return out
+
+    return run

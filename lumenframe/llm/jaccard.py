@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bulk
-from .common import bucketed, written
+from .common import bucketed, trimmed, written
 from .components import roots
-from .spans import _ids, pack, unpack
+from .spans import _ids, _one, _two, pack, unpack
 
 #: Counters of shingle frequencies; a shingle's level says how often its counter exceeds the mean, in half powers of two.
 COUNTERS = 1 << 21
@@ -62,7 +62,7 @@ class JaccardJoin:
         def total(t: pa.Table) -> pa.Table:
             return pa.table({"k": t["k"][:1], "data": pa.array([pack(c=sum(unpack(x)["c"].astype(np.int64) for x in t["data"].to_pylist()))], pa.binary())})
 
-        got = table.select("text").mapInArrow(self.counted, "k int, data binary").groupBy("k").applyInArrow(total, "k int, data binary").collect()
+        got = table.select("text").mapInArrow(trimmed(lambda t: (yield from self.counted(t))), "k int, data binary").groupBy("k").applyInArrow(total, "k int, data binary").collect()
         counts = np.zeros(COUNTERS, np.int64)
         size = COUNTERS // SLICES
         for r in got:
@@ -226,7 +226,7 @@ class JaccardJoin:
         table, _ = bucketed(rows, "b", tag, mb=4)
         levels = self.levels(table)
         schema = "doc_id long, th long, b int, size long, s1 long, s2 long, prefix array<long>"
-        signed = written(table.select("doc_id", "th", "b", "text").mapInArrow(self.signed(levels), schema), f"{tag}-sets")
+        signed = written(table.select("doc_id", "th", "b", "text").mapInArrow(trimmed(self.signed(levels)), schema), f"{tag}-sets")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "b", "prefix")).alias("x")
         nodes = signed.filter("size > 0").groupBy("size", "s1", "s2").agg(first).select("size", "s1", "s2", "x.doc_id", "x.th", "x.b", "x.prefix")
         like = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / self.percent)))
@@ -235,7 +235,7 @@ class JaccardJoin:
         shard = F.pmod(F.xxhash64("token"), F.lit(1 + n // SHARD_TOKENS)).cast("int").alias("s")
         # Groups: each set follows the leader with which it shares the most tokens, if they could be linked by that, else it leads itself.
         tokens = nodes.select("rid", "size", "like", F.explode("prefix").alias("token")).select("*", shard)
-        lead = tokens.groupBy("s").applyInArrow(lambda t: self.leaders(t), "q long, leader long, n long, need long")
+        lead = tokens.groupBy("s").applyInArrow(_one(self.leaders), "q long, leader long, n long, need long")
         lead = lead.groupBy("q", "leader").agg(F.sum("n").alias("n"), F.max("need").alias("need")).filter("n >= need")
         lead = written(lead, f"{tag}-met")
         alive = lead.filter("leader < 0").select("q", F.lit(True).alias("alive"))
@@ -252,7 +252,7 @@ class JaccardJoin:
         nodes = written(nodes.join(groups, "rid"), f"{tag}-grouped")
         # Documents that meet too few tokens anywhere can link with nobody: they are done.
         tokens = nodes.filter("alive").select("rid", "size", "g", F.explode("prefix").alias("token")).select("*", shard)
-        found = tokens.groupBy("s").applyInArrow(lambda t: self.candidates(t), "g long, q long, n long, need long")
+        found = tokens.groupBy("s").applyInArrow(_one(self.candidates), "g long, q long, n long, need long")
         found = found.groupBy("g", "q").agg(F.sum("n").alias("n"), F.max("need").alias("need")).filter("n >= need").select("g", "q")
         found = written(found, f"{tag}-candidates")
         open_ = found.select("g").union(nodes.groupBy("g").count().filter("count > 1").select("g")).distinct()
@@ -262,8 +262,8 @@ class JaccardJoin:
         wants = wants.withColumn("s", F.pmod(F.xxhash64("g"), F.lit(shards)).cast("int")).groupBy("q", "s").agg(F.collect_list(F.struct("g", "member")).alias("x"))
         wants = nodes.select("rid", "doc_id", "th", "b").join(wants, F.col("rid") == F.col("q")).select("b", "s", "th", "doc_id", "rid", F.col("x.g").alias("gs"), F.col("x.member").alias("members"))
         schema = "s int, rid long, gs array<long>, members array<boolean>, tokens binary"
-        sets = table.select("doc_id", "th", "b", "text").groupBy("b").cogroup(wants.groupBy("b")).applyInArrow(self.fetched(levels), schema)
-        edges = sets.groupBy("s").applyInArrow(lambda t: self.opened(t), "a long, b long")
+        sets = table.select("doc_id", "th", "b", "text").groupBy("b").cogroup(wants.groupBy("b")).applyInArrow(_two(self.fetched(levels)), schema)
+        edges = sets.groupBy("s").applyInArrow(_one(self.opened), "a long, b long")
         root = roots(edges)
         label = nodes.select("rid", "size", "s1", "s2", "doc_id").join(root, F.col("rid") == F.col("u"), "left").withColumn("root", F.coalesce("v", "rid"))
         least = label.groupBy("root").agg(F.min("doc_id").alias("component_id"))

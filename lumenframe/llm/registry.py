@@ -16,7 +16,6 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_decontaminate": decontamination.OP1_SQL,
-    "op5_suffix_dedup": suffix_arrays.op5_suffix_dedup,
     "op6_licenses": licenses.OP6_SQL,
     "op8_mix": mixing.OP8_SQL,
 }

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, written
+from .common import sliced, trimmed, written
 
 # Fixed patterns of the base findings.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -194,6 +194,22 @@ def trained(docs: DataFrame) -> Network:
     return Network().fit(x, np.array([s[3] for s in samples], float))
 
 
+def spans_of(texts: list[str | None], network: Network) -> list[list[tuple[int, int, int, float]]]:
+    """(start, end, kind, probability) of each text's secrets."""
+    texts, tried = [t or "" for t in texts], []
+    for k, text in enumerate(texts):
+        base = base_spans(text)
+        tried += [(k, a, z, i) for a, z, i in base]
+        tried += [(k, a, z, 3) for a, z in candidates(text) if not any(s < z and a < e for s, e, _ in base)]
+    out: list[list] = [[] for _ in texts]
+    for at in range(0, len(tried), 512):
+        part = tried[at : at + 512]
+        for (k, a, z, i), p in zip(part, network.probability(encoded([(texts[k], a, z) for k, a, z, _ in part])), strict=True):
+            if i < 3 or p >= network.threshold:
+                out[k].append((a, z, i, float(p)))
+    return [sorted(o) for o in out]
+
+
 def scanned(docs: DataFrame, network: Network) -> DataFrame:
     """docs with secrets: array of (start, end, kind, probability), code points, end exclusive, by start and kind. Base findings stay whatever the
     network says; of the other candidates those at or above its threshold that no base finding touches are added as kind cnn.
@@ -205,21 +221,10 @@ def scanned(docs: DataFrame, network: Network) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", secrets {kind}"
     arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("probability", pa.float64())]))
 
+    @trimmed
     def run(batches):
         for batch in sliced(batches):
-            texts = [t or "" for t in batch["text"].to_pylist()]
-            found, tried = [], []
-            for k, text in enumerate(texts):
-                base = base_spans(text)
-                found.append([(a, z, i) for a, z, i in base])
-                tried += [(k, a, z, i) for a, z, i in base]
-                tried += [(k, a, z, 3) for a, z in candidates(text) if not any(s < z and a < e for s, e, _ in base)]
-            p = network.probability(encoded([(texts[k], a, z) for k, a, z, _ in tried])) if tried else []
-            out = [[] for _ in texts]
-            for (k, a, z, i), prob in zip(tried, p, strict=True):
-                if i < 3 or prob >= network.threshold:
-                    out[k].append((a, z, i, float(prob)))
-            value = [[{"start": a, "end": z, "kind": KINDS[i], "probability": q} for a, z, i, q in sorted(o)] for o in out]
+            value = [[{"start": a, "end": z, "kind": KINDS[i], "probability": q} for a, z, i, q in o] for o in spans_of(batch["text"].to_pylist(), network)]
             yield batch.append_column("secrets", pa.array(value, arrow))
 
     return docs.mapInArrow(run, schema)
@@ -227,23 +232,23 @@ def scanned(docs: DataFrame, network: Network) -> DataFrame:
 
 def redacted(docs: DataFrame, network: Network, mark: str = "[SECRET]") -> DataFrame:
     """docs with every secret in text replaced by mark; all rows and columns stay."""
-    found = scanned(docs, network)
     schema = docs.schema
 
+    @trimmed
     def run(batches):
         for batch in sliced(batches):
             texts = batch["text"].to_pylist()
-            for k, spans in enumerate(batch["secrets"].to_pylist()):
+            for k, spans in enumerate(spans_of(texts, network)):
                 if spans:
-                    text, out, at = texts[k], [], 0
-                    for x in spans:
-                        if x["start"] >= at:
-                            out += [text[at : x["start"]], mark]
-                        at = max(at, x["end"])
-                    texts[k] = "".join([*out, text[at:]])
+                    out, at = [], 0
+                    for a, z, _, _ in spans:
+                        if a >= at:
+                            out += [texts[k][at:a], mark]
+                        at = max(at, z)
+                    texts[k] = "".join([*out, texts[k][at:]])
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch[c] for c in schema.names], names=schema.names)
 
-    return found.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def op7_secrets(spark, sf_dir):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bulk
-from .common import bucketed
+from .common import bucketed, trimmed
 
 LOW = np.uint64((1 << 48) - 1)
 #: Key shards for each bucket, so that what one shard gathers stays well below what a bucket holds.
@@ -32,6 +32,17 @@ BUCKET_MB = 4
 LAST_ID = (1 << 63) - 1
 
 
+def _one(f):
+    """f as a function of one table, with freed memory given back; Spark looks at the number of arguments."""
+    f = trimmed(f)
+    return lambda table: f(table)
+
+
+def _two(f):
+    f = trimmed(f)
+    return lambda left, right: f(left, right)
+
+
 def pack(**arrays) -> bytes:
     raw = pickle.dumps(arrays, protocol=5)
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
@@ -69,6 +80,7 @@ class Repeats:
         self.parse, self.flagged, self.window, self.gram = parse, flagged, window, gram
 
     def sent_keys(self, n: int):
+        @trimmed
         def run(batches):
             found = defaultdict(list)
             for batch in batches:
@@ -208,10 +220,10 @@ class Repeats:
         table, n = bucketed(rows, "b", tag, mb=BUCKET_MB)
         n *= SHARDS
         sent = table.select("b", "text").mapInArrow(self.sent_keys(n), "s int, b int, once binary, more binary")
-        shared = sent.groupBy("s").applyInArrow(lambda t: self.shared_keys(t), "s int, b int, keys binary")
-        context = table.groupBy("b").cogroup(shared.groupBy("b")).applyInArrow(self.contexts(n), "s int, b int, data binary")
-        marks = context.groupBy("s").applyInArrow(lambda t: self.marks(t), "b int, data binary")
-        return table.groupBy("b").cogroup(marks.groupBy("b")).applyInArrow(lambda d, m: self.cut(d, m), "doc_id long, n long, spans array<struct<start: long, end: long>>, kept binary")
+        shared = sent.groupBy("s").applyInArrow(_one(self.shared_keys), "s int, b int, keys binary")
+        context = table.groupBy("b").cogroup(shared.groupBy("b")).applyInArrow(_two(self.contexts(n)), "s int, b int, data binary")
+        marks = context.groupBy("s").applyInArrow(_one(self.marks), "b int, data binary")
+        return table.groupBy("b").cogroup(marks.groupBy("b")).applyInArrow(_two(self.cut), "doc_id long, n long, spans array<struct<start: long, end: long>>, kept binary")
 
 
 def merged(lo: np.ndarray, hi: np.ndarray, doc: np.ndarray | None = None):

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, written
+from .common import sliced, trimmed, written
 
 # Look-alike letters of other scripts, and digits and signs that stand in for letters.
 HOMOGLYPHS = {
@@ -204,6 +204,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     docs = docs.drop("score", "predicted", "n_found")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double, predicted int, n_found int"
 
+    @trimmed
     def run(batches):
         auto = model.automaton()
         for batch in sliced(batches):
