@@ -116,21 +116,21 @@ class JaccardJoin:
         return pa.table({"q": pa.array(pairs[:, 0]), "leader": pa.array(pairs[:, 1]), "n": pa.array(n.astype(np.int64)), "need": pa.array(need)})
 
     def candidates(self, table: pa.Table) -> pa.Table:
-        """g, q, n, need: how many of one shard's tokens (token, rid, size, g) document q shares with the union of group g, and how many it must share
-        over all shards to be linked with a member."""
-        token, rid, size, g = (table[c].to_numpy() for c in ("token", "rid", "size", "g"))
+        """g, q, n, need: how many of one shard's tokens (token, rid, size, g, gn) document q shares with the union of group g, and how many it must share
+        over all shards to be linked with a member. Of two groups the one of fewer members (gn) asks, so a document alone asks a large group once and
+        not each of its members the document."""
+        token, rid, size, g, gn = (table[c].to_numpy() for c in ("token", "rid", "size", "g", "gn"))
         order = np.lexsort((g, token))
-        token, rid, size, g = (x[order].astype(np.int64) for x in (token, rid, size, g))
+        token, rid, size, g, gn = (x[order].astype(np.int64) for x in (token, rid, size, g, gn))
         run = np.cumsum(np.concatenate([[True], token[1:] != token[:-1]])) - 1
         keep = np.bincount(run)[run] > 1
-        token, rid, size, g = (x[keep] for x in (token, rid, size, g))
+        token, rid, size, g, gn = (x[keep] for x in (token, rid, size, g, gn))
         if not len(token):
             return pa.table({c: pa.array([], pa.int64()) for c in ("g", "q", "n", "need")})
         new = np.concatenate([[True], token[1:] != token[:-1]])
         run = np.cumsum(new) - 1
-        # The groups of each run: their least and largest size, and the member if it is the only one there.
+        # The groups of each run and their least and largest size there.
         head = np.flatnonzero(new | np.concatenate([[True], g[1:] != g[:-1]]))
-        count = np.diff(np.concatenate([head, [len(g)]]))
         low, high = np.minimum.reduceat(size, head), np.maximum.reduceat(size, head)
         groups_of = np.bincount(run[head])
         first_group = np.cumsum(groups_of) - groups_of
@@ -141,9 +141,9 @@ class JaccardJoin:
             e = np.flatnonzero(blocks == k)
             q = np.repeat(e, n_each[e])
             h = bulk.ranges(first_group[run[e]], n_each[e])
-            # A pair is sought from the larger rid's side where the other is alone: all tokens of a pair are counted on that side.
-            ok = (count[h] > 1) | (rid[head[h]] < rid[q])
-            ok &= g[head[h]] != g[q]  # members of a group are compared there anyway
+            # The order of two groups is the same at every token, so all tokens of a pair are counted on one side. Members of a group are compared there.
+            there, here = head[h], q
+            ok = (gn[there] > gn[here]) | ((gn[there] == gn[here]) & (g[there] > g[here]))
             ok &= (100 * high[h] >= p * size[q]) & (100 * size[q] >= p * low[h])
             pairs, n = np.unique(np.stack([g[head[h[ok]]], rid[q[ok]], size[q[ok]]], 1), axis=0, return_counts=True)
             out.append(np.column_stack([pairs, n]))
@@ -173,7 +173,8 @@ class JaccardJoin:
                 sent = [sent[k] for k in of.tolist()]
             else:
                 wanted = wanted.slice(0, 0)
-            return wanted.select(["s", "rid", "gs", "members"]).append_column("tokens", pa.array(sent, pa.binary()))
+            lists = [wanted["gs"].cast(pa.list_(pa.int64())), wanted["members"].cast(pa.list_(pa.bool_()))]  # whose elements Spark may know as never null
+            return pa.table([wanted["s"], wanted["rid"], *lists, pa.array(sent, pa.binary())], names=["s", "rid", "gs", "members", "tokens"])
 
         return run
 
@@ -249,14 +250,21 @@ class JaccardJoin:
         many = groups.groupBy("leader").count().filter(F.col("count") > MOST_MEMBERS).withColumn("parts", F.ceil(F.col("count") / MOST_MEMBERS))
         part = F.pmod(F.xxhash64("rid"), F.coalesce("parts", F.lit(1)))
         groups = groups.join(many, "leader", "left").select("rid", "alive", F.xxhash64("leader", part).alias("g"))
+        groups = written(groups, f"{tag}-parts")
+        groups = groups.join(groups.groupBy("g").agg(F.count("*").alias("gn")), "g")
         nodes = written(nodes.join(groups, "rid"), f"{tag}-grouped")
         # Documents that meet too few tokens anywhere can link with nobody: they are done.
-        tokens = nodes.filter("alive").select("rid", "size", "g", F.explode("prefix").alias("token")).select("*", shard)
+        tokens = nodes.filter("alive").select("rid", "size", "g", "gn", F.explode("prefix").alias("token")).select("*", shard)
         found = tokens.groupBy("s").applyInArrow(_one(self.candidates), "g long, q long, n long, need long")
         found = found.groupBy("g", "q").agg(F.sum("n").alias("n"), F.max("need").alias("need")).filter("n >= need").select("g", "q")
         found = written(found, f"{tag}-candidates")
-        open_ = found.select("g").union(nodes.groupBy("g").count().filter("count > 1").select("g")).distinct()
-        members = nodes.select("g", F.col("rid").alias("q")).join(open_, "g", "left_semi").withColumn("member", F.lit(True))
+        # A group that many ask is opened several times, each time for an equal part of the askers.
+        asked = found.groupBy("g").agg(F.ceil(F.count("*") / MOST_MEMBERS).alias("times"))
+        once = F.coalesce("times", F.lit(1))
+        members = nodes.select("g", "gn", F.col("rid").alias("q")).join(asked, "g", "left").filter("gn > 1 OR times IS NOT NULL")
+        members = members.withColumn("time", F.explode(F.sequence(F.lit(0).cast("long"), once.cast("long") - 1)))
+        members = members.select(F.xxhash64("g", "time").alias("g"), "q", F.lit(True).alias("member"))
+        found = found.join(asked, "g").select(F.xxhash64("g", F.pmod(F.xxhash64("q"), once.cast("long"))).alias("g"), "q")
         wants = found.withColumn("member", F.lit(False)).unionByName(members).groupBy("g", "q").agg(F.max("member").alias("member"))
         shards = 1 + nodes.count() // SHARD_SETS
         wants = wants.withColumn("s", F.pmod(F.xxhash64("g"), F.lit(shards)).cast("int")).groupBy("q", "s").agg(F.collect_list(F.struct("g", "member")).alias("x"))
