@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from .functions import bits, color, tone
 from .operators import gainmap, relational, stats
 from .plans import views
+from .sources import images
 
 R6 = 5
 RGB = ("r", "g", "b")
@@ -430,3 +431,45 @@ def flagship(spark, d):
     px = views.embedding_pixels(spark, d)
     shown = tone.displayed(px, exposure=4.0).groupBy("label").agg(*(F.round(F.avg(c), 4).alias(f"shown_{c}") for c in RGB))
     return stats.range_metadata(px, "label").join(shown, "label")
+
+
+def _files(px, kind, **options):
+    """The embedding images as files and back, for the round trips; 6 digits."""
+    whole = images.from_pixels(px.select("image_id", "p", *(F.col(c).cast("float").alias(c) for c in "rgba")), 4, 4)
+    back = images.pixels(images.decoded(images.encoded(whole, kind, **options)))
+    name = F.regexp_extract("image_id", r"(-?\d+)\.", 1).cast("long").alias("image_id")
+    return back.select(name, "p", *(F.round(F.col(c).cast("double"), R6).alias(c) for c in RGB))
+
+
+def _emb_sql(each):
+    return f"WITH {EMB} SELECT image_id, p, " + ", ".join(f"round(({each(c)})::FLOAT::DOUBLE, {R6}) AS {c}" for c in RGB) + " FROM emb"
+
+
+def _half_or_0(c):
+    v = san(c)
+    return f"CASE WHEN {v} < 5.9604644775390625e-08 THEN 0 WHEN {v} < 6.103515625e-05 THEN floor({v}*16777216+0.5)/16777216 ELSE {_float_sql(v, 10, 2.0**-14)} END"
+
+
+def _exr_query(compression):
+    @query(_emb_sql(san if compression == "none" else _half_or_0))
+    def run(spark, d):
+        return _files(views.embedding_pixels(spark, d), "exr", compression=compression)
+
+    QUERIES[f"exr_{compression}_roundtrip"], ORACLE_SQL[f"exr_{compression}_roundtrip"] = QUERIES.pop("run"), ORACLE_SQL.pop("run")
+
+
+for _c in ("none", "rle", "zips", "zip", "pxr24", "piz"):
+    _exr_query(_c)
+
+_HDR = f"SELECT image_id, p, {', '.join(f'{san(c)} AS {c}' for c in RGB)} FROM emb"
+_HDR = f"SELECT *, greatest(r,g,b) AS top FROM ({_HDR})"
+_HDR = f"SELECT *, least(255, greatest(128, ceil(log2(CASE WHEN top < 1e-32 THEN 1 ELSE top END)) + 128)) AS e0 FROM ({_HDR})"
+_HDR = f"SELECT *, CASE WHEN top < 1e-32 THEN 0 WHEN floor(top/pow(2::DOUBLE, e0-128)*255) > 255 AND e0 < 255 THEN e0 + 1 ELSE e0 END AS e FROM ({_HDR})"
+_HDR_OUT = ", ".join(
+    f"round((CASE WHEN e = 0 THEN 0.0::DOUBLE ELSE (least(255, floor({c}/pow(2::DOUBLE, e-128)*255))+0.5::DOUBLE)*pow(2::DOUBLE, e-128)/255 END)::FLOAT::DOUBLE, {R6}) AS {c}" for c in RGB
+)
+
+
+@query(f"WITH {EMB} SELECT image_id, p, {_HDR_OUT} FROM ({_HDR})")
+def hdr_roundtrip(spark, d):
+    return _files(views.embedding_pixels(spark, d), "hdr")
