@@ -473,3 +473,24 @@ _HDR_OUT = ", ".join(
 @query(f"WITH {EMB} SELECT image_id, p, {_HDR_OUT} FROM ({_HDR})")
 def hdr_roundtrip(spark, d):
     return _files(views.embedding_pixels(spark, d), "hdr")
+
+
+def _gainmap_query(kind):
+    def run(spark, d):
+        back = images.pixels(images.decoded(images.gain_map_files(views.embedding_pixels(spark, d), 4, 4, kind)))
+        return back.select(F.regexp_extract("image_id", r"(-?\d+)\.", 1).cast("long").alias("image_id"), "p", *(F.round(F.col(c).cast("double"), R6).alias(c) for c in RGB))
+
+    return run
+
+
+# No SQL says what JPEG loses; tests bound the error of these two.
+QUERIES["gainmap_ultrahdr_roundtrip"] = _gainmap_query("ultrahdr")
+QUERIES["gainmap_adobe_roundtrip"] = _gainmap_query("adobe-gainmap")
+
+
+@query("SELECT vec_id AS image_id, 4 AS width, 4 AS height, 'linear-rec709' AS space, 'A,B,G,R' AS channels, 'zip' AS compression FROM embeddings")
+def image_info(spark, d):
+    whole = images.from_pixels(views.embedding_pixels(spark, d), 4, 4)
+    info = images.image_info(images.decoded(images.encoded(whole, "exr")))
+    field = lambda k: F.get_json_object("metadata", f"$.{k}").alias(k)
+    return info.select(F.regexp_extract("image_id", r"(-?\d+)\.", 1).cast("long").alias("image_id"), "width", "height", "space", field("channels"), field("compression"))

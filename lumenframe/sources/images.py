@@ -115,3 +115,27 @@ def exr_blocks(files: DataFrame) -> DataFrame:
 def image_info(images: DataFrame) -> DataFrame:
     """image_id, width, height, space and metadata as JSON; the pixels are not kept."""
     return images.select("image_id", "width", "height", "space", F.to_json("metadata").alias("metadata"), "error")
+
+
+def gain_map_files(px: DataFrame, width: int, height: int, kind: str = "ultrahdr", mapper: str = "aces", quality: int = 95) -> DataFrame:
+    """image_id, path, content: gain-map JPEG files of linear pixels (image_id, p, r, g, b). The boost is an aggregate that joins its pixels, both
+    pictures are Column arithmetic, and one row an image is turned into bytes."""
+    from ..operators import gainmap
+    from . import ultrahdr
+
+    # The boost needs all pixels of an image before the first can be coded, so the tone-mapped pixels are worked out twice and never stored.
+    toned = gainmap.with_tone(px, mapper)
+    full = gainmap.encoded(toned, gainmap.boosts(toned))
+    both = F.array(*(F.col(f"{k}_{c}").cast("int") for k in ("sdr", "gm") for c in "rgb"))
+    whole = full.groupBy("image_id").agg(F.max("log_max").alias("log_max"), F.array_sort(F.collect_list(F.struct("p", both.alias("v")))).alias("s"))
+    whole = whole.select(F.col("image_id").cast("string").alias("image_id"), "log_max", F.flatten(F.transform("s", lambda s: s.v)).alias("v"))
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                v = batch["v"][k].values.to_numpy(zero_copy_only=False).astype(np.uint8).reshape(height, width, 6)
+                out = ultrahdr.write(v[..., :3], v[..., 3:], ultrahdr.metadata_for(batch["log_max"][k].as_py()), kind, quality)
+                name = batch["image_id"][k].as_py()
+                yield pa.RecordBatch.from_pydict({"image_id": pa.array([name], pa.string()), "path": [f"{name}.jpg"], "content": pa.array([out], pa.binary())})
+
+    return whole.mapInArrow(run, "image_id string, path string, content binary")

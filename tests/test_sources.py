@@ -5,7 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.sources import blocks, exr, images, png, rgbe
+from lumenframe.__main__ import main
+from lumenframe.plans import views
+from lumenframe.sources import blocks, exr, images, jpeg, png, rgbe, ultrahdr
 from lumenframe.streaming.images import stream_images
 
 R = np.random.default_rng(0)
@@ -135,3 +137,68 @@ def test_empty_and_null_files(spark):
     files = spark.createDataFrame([("x.exr", None), (None, b"1")], "path string, content binary")
     assert all(r.error for r in images.decoded(files, on_error="record").collect())
     assert images.pixels(images.decoded(files.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("size", [(1, 1), (17, 33), (64, 40)])
+@pytest.mark.parametrize("quality, error", [(100, 3), (90, 16)])
+def test_jpeg_round_trip_and_another_decoder(spark, tmp_path, size, quality, error):
+    y, x = np.mgrid[: size[1], : size[0]]
+    px = np.stack([x * 3 % 256, y * 2 % 256, (x + y) % 256], axis=-1).astype(np.uint8)
+    data = jpeg.encode(px, quality)
+    back = jpeg.decode(data).astype(int)
+    assert abs(back - px).max() <= error
+    (tmp_path / "a.jpg").write_bytes(data)
+    (tmp_path / "b.png").write_bytes(png.write(*size, px))
+    for r in spark.read.format("image").load(str(tmp_path)).collect():  # the JVM's own decoders; blue first
+        other = np.frombuffer(r.image.data, np.uint8).reshape(size[1], size[0], 3)[..., ::-1].astype(int)
+        assert abs(other - (back if r.image.origin.endswith("jpg") else px)).max() <= (2 if r.image.origin.endswith("jpg") else 0)
+
+
+def test_jpeg_noise_and_errors():
+    px = R.integers(0, 256, (24, 31, 3)).astype(np.uint8)
+    data = jpeg.encode(px, 100)
+    assert abs(jpeg.decode(data).astype(int) - px).max() <= 3
+    for bad in (b"no", data[:300], data.replace(b"\xff\xc0", b"\xff\xc2")):
+        with pytest.raises(rgbe.ImageError):
+            jpeg.decode(bad)
+
+
+@pytest.mark.parametrize("kind", ["ultrahdr", "adobe-gainmap"])
+def test_gain_map_container(kind):
+    px = R.integers(0, 256, (16, 16, 3)).astype(np.uint8)
+    data = ultrahdr.write(px, px[:8, :8], ultrahdr.metadata_for(2.0), kind, 100)
+    first, second, found = ultrahdr.split(data)
+    assert found == kind and first + second == data and second[:2] == jpeg.SOI
+    got = ultrahdr.read(data)
+    assert (got["width"], got["height"], got["metadata"]["hdrCapacityMax"]) == (16, 16, "2.0")
+    marks = [(m, b[:4]) for m, b, _, _ in jpeg.segments(data) if m == 0xE2]
+    assert marks == ([(0xE2, b"MPF\0"), (0xE2, b"ICC_")] if kind == "ultrahdr" else [])
+    if kind == "ultrahdr":
+        profile = ultrahdr.icc_profile(data)
+        assert len(profile) == struct.unpack_from(">I", profile)[0] and ultrahdr.icc_tag(profile, b"rTRC") and ultrahdr.icc_tag(profile, b"none") is None
+        assert len(ultrahdr.mpf_payload(1, 2, 3)) == 86
+    with pytest.raises(rgbe.ImageError, match="Not a valid JPEG with gain map"):
+        ultrahdr.read(jpeg.encode(px))
+
+
+def test_xmp_lists_and_defaults():
+    text = '<x:xmpmeta><r hdrgm:Version="1.0" hdrgm:HDRCapacityMax="3"><hdrgm:GainMapMax><rdf:Seq><rdf:li>1</rdf:li><rdf:li>2</rdf:li><rdf:li>3</rdf:li></rdf:Seq></hdrgm:GainMapMax></r></x:xmpmeta>'
+    m = ultrahdr.read_xmp(b"\xff" + text.encode())
+    assert m["gainMapMax"] == [1, 2, 3] and m["offsetSdr"] == [1 / 64] * 3 and m["hdrCapacityMax"] == 3
+
+
+def test_gain_map_files(spark):
+    px = views.gradient(spark, 8, 8, low=0.2, high=2.0).withColumn("image_id", F.lit("g"))
+    back = images.pixels(images.decoded(images.gain_map_files(px, 8, 8, quality=100)))
+    worst = px.join(back.select("p", *(F.col(c).alias(f"{c}2") for c in "rgb")), "p").select(F.max(F.greatest(*(F.abs(F.col(c) - F.col(f"{c}2")) / F.col(c) for c in "rgb")))).first()[0]
+    assert worst < 0.05
+
+
+def test_command_line(spark, tmp_path, capsys):
+    at = lambda n: str(tmp_path / n)
+    main(["reference", "rainbow", at("r.exr"), "--size", "16", "--compression", "piz"], spark)
+    for target in ("r.hdr", "r.png", "r.jpg"):
+        main(["convert", at("r.exr"), at(target)], spark)
+        assert (tmp_path / target).stat().st_size > 100
+    main(["info", at("r.jpg"), "--json"], spark)
+    assert '"width": 16' in capsys.readouterr().out
