@@ -10,48 +10,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm import decontamination, jaccard, mixing, secret_scan, toxicity
-from lumenframe.llm.common import shared_dir
+from lumenframe.llm.common import shared_dir, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Names one row, also where doc_id is null or repeated. The first stage adds it, the last one drops it.
+ROW = "pipeline_row"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rowed(docs: DataFrame) -> DataFrame:
+    """docs with COLUMNS and ROW. Rows that bring no key get one and are written, so that every reading sees the same keys."""
+    if ROW in docs.columns:
+        return docs.select(*COLUMNS, ROW)
+    return written(docs.select(*COLUMNS).withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+
+
 def toxicity_stage(spark, docs, sf_dir) -> DataFrame:
     """Drops documents that score as toxic by a model from the labels."""
     docs = docs.select(*COLUMNS)
     model = toxicity.trained(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).filter("predicted = 0").select(*COLUMNS)
+    return toxicity.scored(docs, model).filter("predicted = 0").select(*COLUMNS, F.monotonically_increasing_id().alias(ROW))
 
 
 def jaccard_stage(spark, docs, sf_dir) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 or more over five-word shingles, keeps the one of the smallest id."""
-    docs = docs.select(*COLUMNS)
+    docs = rowed(docs)
     groups = jaccard.JaccardJoin(5, 80).run(docs, "pipeline_jaccard")
-    return docs.join(groups.filter("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(groups.filter("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS, ROW)
 
 
 def decontamination_stage(spark, docs, sf_dir) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
-    docs = docs.select(*COLUMNS)
+    docs = rowed(docs)
     hit = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS, ROW)
 
 
 def secrets_stage(spark, docs, sf_dir) -> DataFrame:
     """Replaces secrets by a mark; every document stays."""
-    docs = docs.select(*COLUMNS)
+    docs = rowed(docs)
     out = secret_scan.redacted(docs, secret_scan.trained(docs.select("doc_id", "text")))
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS, ROW)
 
 
 def mixing_stage(spark, docs, sf_dir) -> DataFrame:
     """The mix: documents that it takes, with copies and taken words."""
-    docs = docs.select(*COLUMNS)
-    mix = mixing.mixed(docs).filter("copies > 0").select("doc_id", "copies", "taken")
-    return docs.join(mix, "doc_id").select(*COLUMNS, "copies", "taken")
+    docs = rowed(docs)
+    mix = mixing.mixed(docs, carry=(ROW,)).filter("copies > 0").select(ROW, "copies", "taken")
+    return docs.join(mix, ROW).select(*COLUMNS, "copies", "taken")
 
 
 STAGES = [

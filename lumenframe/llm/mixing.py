@@ -20,10 +20,10 @@ BROADCAST_SOURCES = 100_000
 NEWTON_STEPS = 60
 
 
-def token_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: the number of [^\\x20\\x09-\\x0D]+ words, 0 for null or blank text."""
+def token_counts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, the columns carry, size: the number of [^\\x20\\x09-\\x0D]+ words, 0 for null or blank text."""
     size = F.coalesce(F.regexp_count("text", F.lit(SPACED_WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"))
+    return docs.select("doc_id", "source", *carry, size.alias("size"))
 
 
 def cyclic_targets(totals: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: int = CAP) -> DataFrame:
@@ -66,8 +66,8 @@ def size_bin(size: Column) -> Column:
     return bits * 16 + F.expr("shiftright(size, greatest(length(bin(size)) - 4, 0))")
 
 
-def mixed(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0)) -> DataFrame:
-    """doc_id, size, source_size, target, rate, copies, taken, one row for each input row.
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, rate, copies, taken, and the columns carry, one row for each input row.
 
     copies are whole. Of each source, the LAST documents first by id residue are set aside. The others are ordered by size bin, id residue, size
     and id, and the k-th takes floor(rate*k + o) - floor(rate*(k-1) + o), so neighbours of like size stand in for each other. The global k of a
@@ -76,8 +76,8 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0)) -> Data
     bring the source nearest to its target. Reruns agree, for nothing is drawn at random.
 
     Nulls: a null text has size 0; a null source is a source of its own, sorted last; rows with a null id are never set aside. Equal rows are
-    interchangeable. Without documents the result is empty. Other columns are not read."""
-    rows = token_counts(docs).withColumn("salt", F.coalesce(F.pmod(F.col("doc_id"), F.lit(SALTS)), F.lit(-1)).cast("int"))
+    interchangeable. Without documents the result is empty. Columns outside carry are not read."""
+    rows = token_counts(docs, carry).withColumn("salt", F.coalesce(F.pmod(F.col("doc_id"), F.lit(SALTS)), F.lit(-1)).cast("int"))
     rows = written(rows.withColumn("bin", size_bin(F.col("size"))), "mix-sizes")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     rates = balanced_rates(cyclic_targets(totals, weights))
@@ -104,11 +104,11 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0)) -> Data
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"c.{c}")) for c in cell]
     at = F.col("k") + F.col("ahead")
     copies = (F.floor(F.col("rate") * at + OFFSET) - F.floor(F.col("rate") * (at - 1) + OFFSET)).cast("long")
-    most = written(most.alias("d").join(cells.alias("c"), same[0] & same[1] & same[2]).select("d.source", "d.doc_id", "d.size", "source_size", "target", "rate", copies.alias("copies")), "mix-most")
+    most = written(most.alias("d").join(cells.alias("c"), same[0] & same[1] & same[2]).select("d.source", "d.doc_id", "d.size", "source_size", "target", "rate", copies.alias("copies"), *(f"d.{c}" for c in carry)), "mix-most")
 
     taken = most.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("so_far"))
     last = rows.filter("aside").groupBy("source", "source_size", "target", "rate").agg(
-        F.sort_array(F.collect_list(F.struct("size", "salt", "doc_id")), asc=False).alias("each"), F.sum("size").alias("n"))
+        F.sort_array(F.collect_list(F.struct("size", "salt", "doc_id", *carry)), asc=False).alias("each"), F.sum("size").alias("n"))
     last = last.alias("l").join(taken.alias("t"), F.col("l.source").eqNullSafe(F.col("t.source")), "left").select("l.*", F.coalesce("so_far", F.lit(0)).alias("so_far"))
     start = F.struct((F.col("target") - F.col("so_far") - F.col("rate") * F.col("n")).alias("carry"), F.array().cast("array<bigint>").alias("copies"))
 
@@ -119,7 +119,8 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0)) -> Data
 
     last = last.withColumn("copies", F.aggregate("each", start, greedy)["copies"])
     last = last.select("source_size", "target", "rate", F.explode(F.arrays_zip("each", "copies")).alias("x"))
-    last = last.select(F.col("x.each.doc_id").alias("doc_id"), F.col("x.each.size").alias("size"), "source_size", "target", "rate", F.col("x.copies").alias("copies"))
+    last = last.select(F.col("x.each.doc_id").alias("doc_id"), F.col("x.each.size").alias("size"), "source_size", "target", "rate", F.col("x.copies").alias("copies"),
+                       *(F.col(f"x.each.{c}").alias(c) for c in carry))
     out = most.drop("source").unionByName(last)
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
