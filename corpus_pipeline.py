@@ -1,6 +1,6 @@
 """The corpus pipeline: toxicity, near duplicates, benchmark decontamination, secrets, mixing. Each stage works on all rows that the one before kept.
 
-Null texts count as empty; a null doc_id is never dropped by a stage that names documents by id. Rows that share a doc_id stay or go together."""
+Null texts count as empty. Stages decide on each row by a key of its own, so rows without a doc_id, or with one that others have too, are judged like any other."""
 
 from __future__ import annotations
 
@@ -36,17 +36,25 @@ def toxicity_stage(spark, docs, sf_dir) -> DataFrame:
 
 
 def jaccard_stage(spark, docs, sf_dir) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 or more over five-word shingles, keeps the one of the smallest id."""
+    """Of documents linked by a Jaccard similarity of 0.8 or more over five-word shingles, keeps the one of the smallest id (null last; of one
+    id, the one of least hash). Documents without words link with nothing."""
     docs = rowed(docs)
-    groups = jaccard.JaccardJoin(5, 80).run(docs, "pipeline_jaccard")
-    return docs.join(groups.filter("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS, ROW)
+    groups = jaccard.JaccardJoin(5, 80).run(docs.select(F.col(ROW).alias("doc_id"), "text"), "pipeline_jaccard").filter("size > 0")
+    groups = written(groups.select(F.col("doc_id").alias(ROW), F.col("component_id").alias("component")), "pipeline-groups")
+    linked = groups.filter(F.col(ROW) != F.col("component")).select("component").distinct()
+    groups = groups.join(linked, "component")
+    order = docs.select(ROW, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text", "lang", "source", "n_chars").alias("hash"), ROW).alias("place"))
+    groups = written(groups.join(order, ROW), "pipeline-linked")
+    first = groups.groupBy("component").agg(F.min("place").alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    return docs.join(groups.select(ROW).join(first, ROW, "left_anti"), ROW, "left_anti").select(*COLUMNS, ROW)
 
 
 def decontamination_stage(spark, docs, sf_dir) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
     docs = rowed(docs)
-    hit = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS, ROW)
+    named = docs.select(F.col(ROW).alias("doc_id"), "text")
+    hit = decontamination.contaminated(named, table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select(F.col("doc_id").alias(ROW))
+    return docs.join(hit, ROW, "left_anti").select(*COLUMNS, ROW)
 
 
 def secrets_stage(spark, docs, sf_dir) -> DataFrame:

@@ -1,5 +1,6 @@
 """The pipeline and its stages against plain versions, with null ids, repeated rows and null texts."""
 
+import re
 from collections import Counter
 
 import corpus_pipeline as pipeline
@@ -22,3 +23,42 @@ def test_mixing_stage_keeps_every_row(spark):
     assert Counter((r.doc_id, len((r.text or "").split()), r.copies, r.taken) for r in got) == want
     assert sum(n for k, n in want.items() if k[0] is None) > 5 and sum(n for k, n in want.items() if k[0] == 1000) > 5
     assert pipeline.mixing_stage(spark, docs.limit(0), None).count() == 0
+
+
+def shingles(text, n=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
+
+
+def deduplicated(rows):
+    """One row of each component of linked rows: the least id, null last."""
+    sets, root = [shingles(r[1]) for r in rows], list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                old, new = root[a], root[b]
+                root = [new if r == old else r for r in root]
+    key = lambda k: (rows[k][0] is None, rows[k][0] or 0)
+    return [rows[min((j for j in range(len(rows)) if root[j] == c), key=key)] for c in sorted(set(root))]
+
+
+LONG = " ".join(f"w{i}" for i in range(80))
+COPIES = [(7, LONG, "a"), (3, LONG + " end", "b"), (3, LONG + " end", "b"), (None, LONG, "a"), (None, "nobody else says this at all", "a"), (4, "one two three four five six", "a"),
+          (4, "one two three four five six", "a"), (4, "a text of its own under the same id", "b"), (None, "twice without any id at all", "c"), (None, "twice without any id at all", "c"),
+          (9, None, "a"), (None, "", "a"), (3, "clean words that share the id of a copy", "a")]
+
+
+def test_jaccard_stage_keeps_one_row_of_each_group(spark):
+    got = pipeline.jaccard_stage(spark, table(spark, COPIES), None).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((d, t) for d, t, _ in deduplicated(COPIES))
+    assert pipeline.jaccard_stage(spark, table(spark, COPIES).limit(0), None).count() == 0
+
+
+def test_decontamination_stage_judges_each_row(spark, tmp_path):
+    item = " ".join(f"item{i}" for i in range(15))
+    spark.createDataFrame([(1, item), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, f"see {item} there", "a"), (1, "clean under the same id", "a"), (None, f"{item}", "a"), (None, "clean without id", "b"), (2, None, "a"), (3, "x " + item, "b"), (3, "x " + item, "b")]
+    got = pipeline.decontamination_stage(spark, table(spark, rows), str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((d, t) for d, t, _ in rows if item not in (t or ""))
+    assert pipeline.decontamination_stage(spark, table(spark, rows).limit(0), str(tmp_path)).count() == 0
