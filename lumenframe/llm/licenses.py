@@ -27,9 +27,10 @@ TEMPLATES = [
 ]
 #: Too frequent in any prose to index.
 STOP = frozenset("a all and any are for in into is of or the this to under use with".split())
-#: Words looked up for each file, and the weight share of a notice that must stand at its place.
-TOP_WORDS = 8
+#: The weight share of a notice that must stand at its place.
 SHARE = 0.6
+#: The SQL alone still lets only so many words of a file, those of highest IDF, propose notices.
+TOP_WORDS = 8
 
 
 def postings() -> list[tuple[str, str, bool, int, bool, int, int]]:
@@ -53,15 +54,15 @@ def template_table(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {_rows(postings())} AS t(tid, label, base, off, mandatory, n_mandatory, word)")
 
 
-def scanned(docs: DataFrame, top_words: int = TOP_WORDS, share: float = SHARE) -> DataFrame:
+def scanned(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels (sorted arrays), score and places (template, first word), one row for
     each input row.
 
     One pass over the documents finds the places of the templates' words (a fixed table of under 200 rows, so broadcast). Their IDF is taken over all
-    documents. Each file's top_words licence words of highest IDF are looked up in the postings; a posting proposes where its template would start,
-    and of all words of that template those at the right relative positions are summed by IDF. A start counts if a looked-up word proposed it,
-    the mandatory phrase stands there word by word, and share of the weight is found. Base phrases are templates that are mandatory throughout and
-    are not bound to the top words, so that none of their places is missed. score is the largest share of a counted place, 0 without one.
+    documents. Each place is looked up in the postings; a posting proposes where its template would start, and of all words of that template those
+    at the right relative positions are summed by IDF. A start counts if the mandatory phrase stands there word by word and share of the weight is
+    found, however many notices and licence words the file holds. Base phrases are templates that are mandatory throughout. score is the largest
+    share of a counted place, 0 without one.
 
     Nulls and blank texts have no words and no labels; a repeated row gets the same answer again; no documents, no rows."""
     spark = docs.sparkSession
@@ -75,17 +76,13 @@ def scanned(docs: DataFrame, top_words: int = TOP_WORDS, share: float = SHARE) -
     idf = words.join(seen.groupBy("sid").count(), "sid", "left").select("sid", F.log(F.lit(float(n) + 1) / (F.coalesce("count", F.lit(0)) + 1)).alias("idf"))
     idf = idf.withColumn("idf", F.greatest("idf", F.lit(1e-6)))
     idf = written(idf, "licence-idf")
-    best = F.row_number().over(Window.partitionBy("doc_id", "th").orderBy(F.desc(F.round("idf", 9)), "sid"))
-    top = seen.join(F.broadcast(idf), "sid").withColumn("r", best).filter(F.col("r") <= top_words).select("doc_id", "th", "sid", F.lit(1).alias("top"))
-    on = F.col("f.sid").eqNullSafe(F.col("t.sid")) & F.col("f.th").eqNullSafe(F.col("t.th")) & F.col("f.doc_id").eqNullSafe(F.col("t.doc_id"))
-    found = found.alias("f").join(top.alias("t"), on, "left").select("f.*", F.coalesce("top", F.lit(0)).alias("top"))
     t = templates.withColumnRenamed("word", "sid").join(F.broadcast(idf), "sid")
     t = t.withColumn("whole", F.sum("idf").over(Window.partitionBy("tid")))
     at = found.join(F.broadcast(t), "sid").withColumn("start", F.col("p") - F.col("off"))
     at = at.groupBy("doc_id", "th", "tid", "label", "base", "start", "n_mandatory", "whole").agg(
-        F.sum("idf").alias("idf"), F.sum("top").alias("votes"), F.sum(F.col("mandatory").cast("int")).alias("got"))
+        F.sum("idf").alias("idf"), F.sum(F.col("mandatory").cast("int")).alias("got"))
     at = at.filter(F.col("got") == F.col("n_mandatory")).withColumn("share", F.least(F.round(F.col("idf") / F.col("whole"), 6), F.lit(1.0)))
-    at = at.filter(F.col("base") | ((F.col("votes") > 0) & (F.col("share") >= share)))
+    at = at.filter(F.col("base") | (F.col("share") >= share))
     of = at.groupBy("doc_id", "th").agg(
         F.sum(F.col("base").cast("int")).alias("n_base"), F.min(F.when(F.col("base"), F.col("start"))).alias("first_word"),
         F.max(F.when(F.col("base"), F.col("start"))).alias("last_word"), F.sort_array(F.collect_set(F.when(F.col("base"), F.col("label")))).alias("base_labels"),
