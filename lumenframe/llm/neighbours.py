@@ -76,23 +76,36 @@ def nearest(vectors: DataFrame, queries, k: int = 20, window: float = WINDOW) ->
     smaller vec_id.
 
     Every valid vector has a key on each curve. Keys are range-partitioned at quantiles; a query is sent to the ranges around its own, on each curve,
-    and meets all rows there in blocks, no row left out; per range its k best travel on, and are merged over ranges and curves. Vectors that are
-    null, zero, of another length than most, or hold null or non-finite components take no part, nor do rows without vec_id. Rows that repeat a
+    and meets all rows there in blocks; per range its k best travel on, and are merged over ranges and curves. Of equal vectors only the k + 1 of
+    least vec_id can be among anyone's k nearest, so only these are searched, and quantiles are theirs. A key that several quantiles fall on is dealt
+    out over their ranges, so that none is empty. Vectors that fill a range by their copies are met by every query. Where a window would hold no more
+    than k others, everything is searched. Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do rows without vec_id. Rows that repeat a
     vec_id and vector count once."""
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     most = vectors.filter("embedding IS NOT NULL AND size(embedding) > 0").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     schema = "vec_id long, v binary, " + ", ".join(f"k{c} long" for c in range(CURVES))
     rows = written(vectors.mapInArrow(_keyed(most["d"] if most else 0), schema), "ann-keys").dropDuplicates(["vec_id", "v"])
     rows = written(rows, "ann-rows")
-    n = rows.count()
+    at = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    searched = written(rows.withColumn("at", at).filter(F.col("at") <= k + 1).drop("at"), "ann-searched")
+    n = searched.count()
     ranges = max(RANGES, -(-n // MOST_ROWS))
-    cuts = rows.approxQuantile([f"k{c}" for c in range(CURVES)], [i / ranges for i in range(1, ranges)], 0.002) if n else [[]] * CURVES
+    cuts = searched.approxQuantile([f"k{c}" for c in range(CURVES)], [i / ranges for i in range(1, ranges)], 0.002) if n else [[]] * CURVES
     bounds = [F.array(*map(F.lit, c)) if c else F.array().cast("array<double>") for c in cuts]
     parts = [_block(c, b) for c, b in enumerate(bounds)]
-    placed = rows.select("vec_id", "v", F.explode(F.array(*parts)).alias("x")).select("vec_id", "v", "x.curve", "x.block")
+
+    def on_curves(some: DataFrame) -> DataFrame:
+        return some.select("vec_id", "v", F.explode(F.array(*parts)).alias("x")).select("vec_id", "v", "x.curve", "x.block")
+
+    # RANGES vectors at most are that frequent; their rows go to each range of the first curve.
+    often = rows.groupBy("v").count().filter(F.col("count") > rows.count() // RANGES).select("v")
+    often = searched.join(F.broadcast(often), "v").select("vec_id", "v", F.lit(0).alias("curve"), F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))).alias("block"))
+    placed = on_curves(searched).unionByName(often).distinct()
     wide = min(ranges, max(1, round(window * ranges)))
+    if n * wide <= (k + 1) * ranges:
+        wide = ranges
     first = F.greatest(F.lit(0), F.least(F.col("block") - wide // 2, F.lit(ranges - wide)))
-    asked = placed.filter(queries(F.col("vec_id"))).select("vec_id", "v", "curve", F.explode(F.sequence(first, first + wide - 1)).alias("block"))
+    asked = on_curves(rows.filter(queries(F.col("vec_id")))).select("vec_id", "v", "curve", F.explode(F.sequence(first, first + wide - 1)).alias("block"))
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [(), (), ()]
@@ -123,7 +136,9 @@ def nearest(vectors: DataFrame, queries, k: int = 20, window: float = WINDOW) ->
 
 def _block(curve: int, bounds):
     key = F.col(f"k{curve}")
-    return F.struct(F.lit(curve).alias("curve"), F.size(F.filter(bounds, lambda b: b <= key)).alias("block"))
+    last = F.size(F.filter(bounds, lambda b: b <= key))
+    same = F.size(F.filter(bounds, lambda b: b == key))
+    return F.struct(F.lit(curve).alias("curve"), (last - F.pmod(F.xxhash64("vec_id"), F.greatest(same, F.lit(1))).cast("int")).alias("block"))
 
 
 def op3_neighbours(spark, sf_dir):
