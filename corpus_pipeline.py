@@ -78,7 +78,7 @@ STAGES = [
     ("secrets", secrets_stage),
     ("mixing", mixing_stage),
 ]
-#: SQL cannot train the models of two stages; tests hold each stage against a plain version.
+#: SQL cannot train the models of two stages; tests hold jaccard, decontamination and mixing against plain versions.
 ORACLE_SQL = None
 
 
