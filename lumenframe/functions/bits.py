@@ -1,6 +1,6 @@
 """Shared-exponent, half and 24-bit floats as Column arithmetic on non-negative finite values."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,17 +11,27 @@ def exponent(v: Column) -> Column:
     return F.when(two(e) > v, e - 1).when(two(e + 1) <= v, e + 1).otherwise(e)
 
 
-def rgbe(r: Column, g: Column, b: Column) -> list[Column]:
-    """Bytes r, g, b, e: the exponent is at least 128 and rises by one if a byte would pass 255."""
-    top = F.greatest(r, g, b)
-    safe = F.when(top < 1e-32, 1.0).otherwise(top)
-    e = exponent(safe)
-    up = F.when(F.pow(F.lit(2.0), e) < safe, e + 1).otherwise(e)
-    start = F.least(F.lit(255.0), F.greatest(F.lit(128.0), up + 128))
-    byte = lambda v, k: F.floor(v / F.pow(F.lit(2.0), k - 128) * 255 - 0.5 + 0.5)
-    k = F.when((byte(top, start) > 255) & (start < 255), start + 1).otherwise(start)
-    out = [F.least(F.lit(255), F.greatest(F.lit(0), byte(v, k))).cast("int") for v in (r, g, b)]
-    return [F.when(top < 1e-32, 0).otherwise(c).cast("int") for c in (*out, k)]
+def with_rgbe(df: DataFrame, names=("r", "g", "b")) -> DataFrame:
+    """The channels as bytes, and e, their shared exponent: at least 128, one more if a byte would pass 255. One select a step, so that nothing is
+    written out twice in the plan."""
+    top = F.greatest(*(F.col(c) for c in names))
+    two = lambda n: F.pow(F.lit(2.0), n)
+    df = df.withColumn("_top", F.when(top < 1e-32, 1.0).otherwise(top)).withColumn("_dark", top < 1e-32)
+    df = df.withColumn("_e", F.floor(F.log2("_top")).cast("double"))
+    # The least power of two that is not below the brightest channel; log2 is inexact at powers of two.
+    for _ in range(2):
+        df = df.withColumn("_e", F.when(two(F.col("_e")) < F.col("_top"), F.col("_e") + 1).when(two(F.col("_e") - 1) >= F.col("_top"), F.col("_e") - 1).otherwise(F.col("_e")))
+    df = df.withColumn("_e", F.least(F.lit(255.0), F.greatest(F.lit(128.0), F.col("_e") + 128)))
+    df = df.withColumn("_e", F.when((F.floor(F.col("_top") / two(F.col("_e") - 128) * 255) > 255) & (F.col("_e") < 255), F.col("_e") + 1).otherwise(F.col("_e")))
+    df = df.withColumn("_s", two(F.col("_e") - 128))
+    byte = lambda c: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(F.col(c) / F.col("_s") * 255)))
+    out = {c: F.when(F.col("_dark"), 0).otherwise(byte(c)).cast("int") for c in names} | {"e": F.when(F.col("_dark"), 0).otherwise(F.col("_e")).cast("int")}
+    return df.withColumns(out).drop("_top", "_dark", "_e", "_s")
+
+
+def cumulative(exposures: Column) -> Column:
+    """The product of a header's EXPOSURE values, 1 without any."""
+    return F.coalesce(F.aggregate(exposures, F.lit(1.0), lambda a, x: a * x), F.lit(1.0))
 
 
 def from_rgbe(m: Column, e: Column) -> Column:

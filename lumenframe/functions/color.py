@@ -69,3 +69,41 @@ def space_of(*xy: Column, tolerance: float = 0.01) -> Column:
             near = near & (F.abs(c - v) <= tolerance)
         out = F.when(near, name) if out is None else out.when(near, name)
     return out
+
+
+# Names of the linear spaces, the display space of each, and the names that a canvas knows.
+LINEAR = {"rec709": "linear-rec709", "p3": "linear-p3", "rec2020": "linear-rec2020"}
+LINEAR_TO_DISPLAY = {"linear-rec709": "display-srgb", "linear-p3": "display-p3", "linear-rec2020": "display-rec2020"}
+DISPLAY_TO_LINEAR = {v: k for k, v in LINEAR_TO_DISPLAY.items()}
+DISPLAY_TO_CANVAS = {"display-srgb": "srgb", "display-p3": "display-p3"}
+
+
+def looked_up(value: Column, names: dict[str, str]) -> Column:
+    """names[value]; null for what is not in names."""
+    return F.get(F.transform(F.filter(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in names.items())), lambda x: x.k == value), lambda x: x.v), F.lit(0))
+
+
+def is_rec709(*xy: Column, tolerance: float = 0.01) -> Column:
+    """Whether the eight chromaticities (red, green, blue, white) are those of Rec.709."""
+    near = F.lit(True)
+    for c, v in zip(xy, [v for p in CHROMATICITIES["rec709"] for v in p], strict=True):
+        near = near & (F.abs(c - v) <= tolerance)
+    return near
+
+
+def tone_mapping_problem(*xy: Column, strict: bool = False) -> Column:
+    """Why an image must not be tone mapped as it is: its chromaticities are given and not those of Rec.709, or, if strict, not given; else null."""
+    none = F.lit(True)
+    for c in xy:
+        none = none & c.isNull()
+    absent = F.lit("no chromaticities") if strict else F.lit(None).cast("string")
+    malformed = F.lit(False)
+    for c in xy:
+        malformed = malformed | c.isNull()
+    return F.when(none, absent).when(malformed, F.lit(None).cast("string")).when(~is_rec709(*xy), F.lit("not Rec.709"))
+
+
+def checked_for_tone_mapping(value: Column, *xy: Column, strict: bool = False) -> Column:
+    """value, or an error that ends the query where tone_mapping_problem has one."""
+    problem = tone_mapping_problem(*xy, strict=strict)
+    return F.when(problem.isNull(), value).otherwise(F.raise_error(F.concat(F.lit("tone mapping needs Rec.709: "), problem)).cast("double"))

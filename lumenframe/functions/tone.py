@@ -83,3 +83,9 @@ def displayed(df: DataFrame, **options) -> DataFrame:
     """r, g, b as 0..255 display values."""
     df = mapped(df, **options)
     return stepped(df, [lambda c: [to_display(F.greatest(x, F.lit(0.0))) for x in c], lambda c: [to_u8(x) for x in c]])
+
+
+def hdr_to_ldr(df: DataFrame, file_exposure: Column, mapper: str = "reinhard", exposure: float | None = None) -> DataFrame:
+    """Display values of Radiance pixels: at the exposure asked for, else the file's (null: it has none), else 1."""
+    e = F.lit(float(exposure)) if exposure is not None else F.coalesce(file_exposure.cast("double"), F.lit(1.0))
+    return displayed(df.withColumn("_exposure", e), mapper=mapper, exposure=F.col("_exposure")).drop("_exposure")

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import color
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -62,3 +64,16 @@ def radial(spark, width, height) -> DataFrame:
     far = ((width - 1) ** 2 + (height - 1) ** 2) ** 0.5 or 1.0
     v = (1 - F.sqrt((F.col("x") * F.col("x") + F.col("y") * F.col("y")).cast("double")) / far).cast("float")
     return grid(spark, width, height).select("p", "x", "y", *(v.alias(c) for c in "rgb"), F.lit(1.0).cast("float").alias("a"))
+
+
+def cie_wedge(spark, width, height, luminance: float = 1.0, channel: str = "rgb") -> DataFrame:
+    """The chromaticity plane up to x 0.735 and y 0.834, y upwards, as linear Rec.2020; channel keeps one of r, g, b."""
+    x, y = unit("x", width) * 0.735, (1 - unit("y", height)) * 0.834
+    rgb = color.xyy_to_rgb(x, y, F.lit(float(luminance)), "rec2020")
+    px = grid(spark, width, height).select("p", "x", "y", *(F.greatest(F.lit(0.0), v).alias(c) for v, c in zip(rgb, "rgb", strict=True)), F.lit(1.0).cast("float").alias("a"))
+    return isolated(px, channel)
+
+
+def isolated(px: DataFrame, channel: str) -> DataFrame:
+    """px with the other channels black; rgb keeps all."""
+    return px.withColumns({c: F.lit(0.0).cast(px.schema[c].dataType) for c in "rgb" if channel not in ("rgb", c)})

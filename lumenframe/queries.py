@@ -62,7 +62,8 @@ def tone_sql(mapper, exposure, source, keys, out=u8):
     """Nested selects of one mapper over the view source."""
     q = f"SELECT {keys}, {three([san(c) for c in RGB])} FROM {source}"
     step = lambda q, e: f"SELECT {keys}, {three(e)} FROM ({q})"
-    q = step(q, [f"({c}*{float(exposure)!r}::DOUBLE)::FLOAT::DOUBLE" for c in RGB])
+    e = exposure if isinstance(exposure, str) else f"{float(exposure)!r}::DOUBLE"
+    q = step(q, [f"({c}*{e})::FLOAT::DOUBLE" for c in RGB])
     if mapper == "reinhard":
         q = step(q, [f"{c}/(1+{c})" for c in RGB])
     elif mapper == "aces":
@@ -159,21 +160,20 @@ def exposure_sweep(spark, d):
 
 
 _TWO = "(2::DOUBLE)"
-_RG = "SELECT *, greatest(r,g,b) AS top FROM (SELECT l_orderkey, l_linenumber, r::DOUBLE AS r, g::DOUBLE AS g, b::DOUBLE AS b FROM li)"
+_RG = "SELECT *, greatest(r,g,b) AS top FROM (SELECT image_id, l_orderkey, l_linenumber, r::DOUBLE AS r, g::DOUBLE AS g, b::DOUBLE AS b FROM li)"
 _RG = f"SELECT *, least(255, greatest(128, ceil(log2(CASE WHEN top < 1e-32 THEN 1 ELSE top END)) + 128)) AS e0 FROM ({_RG})"
 _RG = f"SELECT *, CASE WHEN floor(top/pow(2::DOUBLE, e0-128)*255) > 255 AND e0 < 255 THEN e0 + 1 ELSE e0 END AS e1 FROM ({_RG})"
-_RGBE = f"SELECT {LIKEY}, " + ", ".join(f"(CASE WHEN top < 1e-32 THEN 0 ELSE least(255, greatest(0, floor({c}/pow(2::DOUBLE, e1-128)*255))) END)::INT AS {c}" for c in RGB) + f", (CASE WHEN top < 1e-32 THEN 0 ELSE e1 END)::INT AS e FROM ({_RG})"
+_RGBE = f"SELECT image_id, {LIKEY}, " + ", ".join(f"(CASE WHEN top < 1e-32 THEN 0 ELSE least(255, greatest(0, floor({c}/pow(2::DOUBLE, e1-128)*255))) END)::INT AS {c}" for c in RGB) + f", (CASE WHEN top < 1e-32 THEN 0 ELSE e1 END)::INT AS e FROM ({_RG})"
 
 
 def _rgbe(spark, d):
     px = views.lineitem_pixels(spark, d).withColumns({c: F.col(c).cast("double") for c in RGB})
-    r, g, b, e = bits.rgbe(*(F.col(c) for c in RGB))
-    return px.select("l_orderkey", "l_linenumber", r.alias("r"), g.alias("g"), b.alias("b"), e.alias("e"))
+    return bits.with_rgbe(px).select("image_id", "l_orderkey", "l_linenumber", *RGB, "e")
 
 
-@query(f"WITH {LI} {_RGBE}")
+@query(f"WITH {LI} SELECT {LIKEY}, r, g, b, e FROM ({_RGBE})")
 def rgbe_encode(spark, d):
-    return _rgbe(spark, d)
+    return _rgbe(spark, d).drop("image_id")
 
 
 def _unrgbe(c, div="1"):
@@ -185,9 +185,12 @@ def rgbe_roundtrip(spark, d):
     return _rgbe(spark, d).select("l_orderkey", "l_linenumber", *(F.round(bits.from_rgbe(F.col(c), F.col("e")), R6).alias(c) for c in RGB))
 
 
-@query(f"WITH {LI} SELECT {LIKEY}, {', '.join(_unrgbe(c, '2.5::DOUBLE') for c in RGB)} FROM ({_RGBE})")
+@query(f"WITH {LI} SELECT {LIKEY}, {', '.join(_unrgbe(c, '(1.25::DOUBLE*(1 + image_id % 4))') for c in RGB)} FROM (SELECT * FROM ({_RGBE}))")
 def physical_radiance(spark, d):
-    return _rgbe(spark, d).select("l_orderkey", "l_linenumber", *(F.round(bits.from_rgbe(F.col(c), F.col("e")) / 2.5, R6).alias(c) for c in RGB))
+    """Each image is a file of its own, whose header has two EXPOSURE lines."""
+    lines = F.array(F.lit(1.25), (1 + F.col("image_id") % 4).cast("double"))
+    px = _rgbe(spark, d).withColumn("exposure", bits.cumulative(lines))
+    return px.select("l_orderkey", "l_linenumber", *(F.round(bits.from_rgbe(F.col(c), F.col("e")) / F.col("exposure"), R6).alias(c) for c in RGB))
 
 
 def _float_sql(c, digits, low):
@@ -231,9 +234,9 @@ def range_metadata_hdr(spark, d):
 
 
 # Gain maps over the embedding images at exposure 8.
-_GT = f"SELECT a.*, m.r AS m_r, m.g AS m_g, m.b AS m_b FROM (SELECT image_id, p, {three([san(c) + '*8.0::DOUBLE' for c in RGB], ('h_r', 'h_g', 'h_b'))} FROM emb) a JOIN ({tone_sql('aces', 8, 'emb', 'image_id, p', None)}) m USING (image_id, p)"
+_GT = f"SELECT a.*, m.r AS m_r, m.g AS m_g, m.b AS m_b FROM (SELECT image_id, p, {three([san(c) for c in RGB], ('x_r', 'x_g', 'x_b'))}, {three([san(c) + '*8.0::DOUBLE' for c in RGB], ('h_r', 'h_g', 'h_b'))} FROM emb) a JOIN ({tone_sql('aces', 8, 'emb', 'image_id, p', None)}) m USING (image_id, p)"
 _RATIO = "greatest(" + ", ".join(f"CASE WHEN m_{c}+0.015625 > 0 THEN (h_{c}+0.015625::DOUBLE)/(m_{c}+0.015625::DOUBLE) ELSE 1 END" for c in RGB) + ")"
-_GB = f"SELECT image_id, greatest(max({_RATIO}), max(greatest(h_r,h_g,h_b)), 1.0001::DOUBLE) AS max_boost FROM gt GROUP BY image_id"
+_GB = f"SELECT image_id, greatest(max({_RATIO}), max(greatest(x_r,x_g,x_b)), 1.0001::DOUBLE) AS max_boost FROM gt GROUP BY image_id"
 _SDR = ", ".join(f"{u8(srgb(f'greatest(m_{c},0)'))} AS sdr_{c}" for c in RGB)
 _GE = f"SELECT *, log2(max_boost) AS log_max, {_SDR} FROM gt JOIN gb USING (image_id)"
 _GM = "SELECT *, " + ", ".join(u8(f"least(1::DOUBLE, greatest(0::DOUBLE, log2((h_{c}+0.015625::DOUBLE)/({lin(f'(sdr_{c}/255.0::DOUBLE)')}+0.015625::DOUBLE))/log_max))") + f" AS gm_{c}" for c in RGB) + " FROM ge"
@@ -271,7 +274,7 @@ def gainmap_decode(spark, d):
 @query(f"WITH {_GAIN} SELECT image_id, p, {_decode_sql('least(1::DOUBLE, greatest(0::DOUBLE, log2(1.5::DOUBLE)/log_max))')} FROM gm")
 def gainmap_decode_boosted(spark, d):
     g = _gain(spark, d)
-    return rounded(gainmap.decoded(g, gainmap.weight_for(1.5, F.col("log_max"))), "image_id", "p", digits=4)
+    return rounded(gainmap.decoded(g, gainmap.weight_for(1.5, F.col("log_min"), F.col("log_max"))), "image_id", "p", digits=4)
 
 
 def _pair(spark, d):
@@ -297,9 +300,12 @@ def mismatch_samples(spark, d):
     return stats.mismatch_samples(*_pair(spark, d), 3)
 
 
-@query(f"WITH {_B}, {_DIFF} SELECT p, round(max(abs_delta),6) AS worst FROM diff GROUP BY p ORDER BY worst DESC, p LIMIT 5")
+_COLUMN = "SELECT e.image_id, e.x, round(0.5::DOUBLE + e.x/3.0::DOUBLE*1.5::DOUBLE, 6) AS intensity, round(max(abs(f.r::DOUBLE-e.r::DOUBLE)),6) AS worst FROM emb e JOIN em2 f USING (image_id, p) GROUP BY e.image_id, e.x"
+
+
+@query(f"WITH {_B} SELECT * FROM ({_COLUMN}) QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY worst DESC, x) <= 2")
 def worst_columns(spark, d):
-    return stats.differences(*_pair(spark, d)).groupBy("p").agg(F.round(F.max("abs_delta"), 6).alias("worst")).orderBy(F.desc("worst"), "p").limit(5)
+    return stats.worst_columns(*_pair(spark, d), width=4, n=2, low=0.5, high=2.0)
 
 
 @query(f"WITH {EV} SELECT image_id, round(max(step),6) AS step FROM (SELECT image_id, abs(r-lead(r) OVER (PARTITION BY image_id ORDER BY p)) AS step FROM ev) GROUP BY image_id")
@@ -354,7 +360,7 @@ def lut_rank(spark, d):
 @query(f"WITH {EV}, l AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS rank FROM (SELECT DISTINCT v FROM ev UNION SELECT 0)) SELECT image_id, p, rank FROM ev JOIN l USING (v)")
 def lut_apply(spark, d):
     px = views.event_pixels(spark, d)
-    return px.join(F.broadcast(relational.value_ranks(px, "v")), "v").select("image_id", "p", "rank")
+    return relational.looked_up(px, relational.value_ranks(px, "v"), "v").select("image_id", "p", "rank")
 
 
 @query(f"WITH {EV} SELECT v, count(*) AS n FROM ev GROUP BY v")
@@ -372,10 +378,7 @@ _DOC = "docs AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source
 
 @query(f"WITH {_DOC} SELECT source, block, (300 + count(*) OVER (PARTITION BY source)*8 + coalesce(sum(n_chars+8) OVER (PARTITION BY source ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0))::BIGINT AS \"at\" FROM docs")
 def exr_offsets_variable(spark, d):
-    from pyspark.sql import Window
-
-    blocks = views.table(spark, d, "documents").select("source", "n_chars", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).alias("block"))
-    return relational.offsets(blocks, F.col("n_chars"), 300, "source").select("source", "block", "at")
+    return relational.offsets(views.table(spark, d, "documents").select("source", "doc_id", "n_chars"), "n_chars", 300, "source", "doc_id").select("source", "block", "at")
 
 
 _LINES = ", ".join(f"('{k}', {v})" for k, v in relational.BLOCK_LINES.items())
@@ -413,10 +416,7 @@ _INV = np.linalg.inv(color.rgb_to_xyz("rec2020")).tolist()
 
 @query("WITH " + _G.format(w=16, n=256) + ", c AS (SELECT p, x/15.0::DOUBLE*0.735::DOUBLE AS cx, (1-y/15.0::DOUBLE)*0.834::DOUBLE AS cy FROM g), z AS (SELECT p, CASE WHEN cy < 1e-6 THEN 0 ELSE cx/cy END AS r, CASE WHEN cy < 1e-6 THEN 0 ELSE 1 END::DOUBLE AS g, CASE WHEN cy < 1e-6 THEN 0 ELSE (1-cx-cy)/cy END AS b FROM c) SELECT p, " + ", ".join(f"round(greatest(0, {e}),4) AS {c}" for e, c in zip(dots(_INV), RGB, strict=True)) + " FROM z")
 def gen_cie_wedge(spark, d):
-    g = views.grid(spark, 16, 16)
-    x, y = views.unit("x", 16) * 0.735, (1 - views.unit("y", 16)) * 0.834
-    rgb = color.xyy_to_rgb(x, y, F.lit(1.0), "rec2020")
-    return g.select("p", *(F.round(F.greatest(F.lit(0.0), v), 4).alias(c) for v, c in zip(rgb, RGB, strict=True)))
+    return views.cie_wedge(spark, 16, 16).select("p", *(F.round(F.col(c), 4).alias(c) for c in RGB))
 
 
 @query("SELECT ext, count(*) AS n FROM (SELECT DISTINCT url, lower(regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '\\.([A-Za-z0-9]+)$', 1)) AS ext FROM pages) WHERE ext IN ('html', 'htm') GROUP BY ext")
@@ -494,3 +494,6 @@ def image_info(spark, d):
     info = images.image_info(images.decoded(images.encoded(whole, "exr")))
     field = lambda k: F.get_json_object("metadata", f"$.{k}").alias(k)
     return info.select(F.regexp_extract("image_id", r"(-?\d+)\.", 1).cast("long").alias("image_id"), "width", "height", "space", field("channels"), field("compression"))
+
+
+from . import queries_more  # noqa: E402, F401  registers its queries here

@@ -27,6 +27,8 @@ def read_bytes(kind: str, content: bytes, **options) -> dict:
         from . import ultrahdr
 
         return ultrahdr.read(content)
+    if kind == "png":
+        return png.read(content)
     raise rgbe.ImageError(f"unsupported extension: {kind or 'none'}")
 
 
@@ -117,25 +119,82 @@ def image_info(images: DataFrame) -> DataFrame:
     return images.select("image_id", "width", "height", "space", F.to_json("metadata").alias("metadata"), "error")
 
 
-def gain_map_files(px: DataFrame, width: int, height: int, kind: str = "ultrahdr", mapper: str = "aces", quality: int = 95) -> DataFrame:
-    """image_id, path, content: gain-map JPEG files of linear pixels (image_id, p, r, g, b). The boost is an aggregate that joins its pixels, both
-    pictures are Column arithmetic, and one row an image is turned into bytes."""
+def gain_map_pictures(px: DataFrame, mapper: str = "aces", exposure: float = 1.0, options=None) -> DataFrame:
+    """image_id, log_min, log_max and v, both pictures' bytes pixel by pixel, one row an image."""
     from ..operators import gainmap
-    from . import ultrahdr
 
     # The boost needs all pixels of an image before the first can be coded, so the tone-mapped pixels are worked out twice and never stored.
-    toned = gainmap.with_tone(px, mapper)
-    full = gainmap.encoded(toned, gainmap.boosts(toned))
+    options = options or gainmap.DEFAULT
+    toned = gainmap.with_tone(px, mapper, exposure)
+    full = gainmap.encoded(toned, gainmap.boosts(toned, options), options=options)
     both = F.array(*(F.col(f"{k}_{c}").cast("int") for k in ("sdr", "gm") for c in "rgb"))
-    whole = full.groupBy("image_id").agg(F.max("log_max").alias("log_max"), F.array_sort(F.collect_list(F.struct("p", both.alias("v")))).alias("s"))
-    whole = whole.select(F.col("image_id").cast("string").alias("image_id"), "log_max", F.flatten(F.transform("s", lambda s: s.v)).alias("v"))
+    whole = full.groupBy("image_id").agg(F.max("log_min").alias("log_min"), F.max("log_max").alias("log_max"), F.array_sort(F.collect_list(F.struct("p", both.alias("v")))).alias("s"))
+    return whole.select(F.col("image_id").cast("string").alias("image_id"), "log_min", "log_max", F.flatten(F.transform("s", lambda s: s.v)).alias("v"))
+
+
+def map_metadata(batch, k: int, options) -> dict:
+    from . import ultrahdr
+
+    range_ = batch["log_max"][k].as_py(), batch["log_min"][k].as_py()
+    return ultrahdr.metadata_for(*range_, options.gamma, options.offset_sdr, options.offset_hdr) if options else ultrahdr.metadata_for(*range_)
+
+
+def gain_map_files(px: DataFrame, width: int, height: int, kind: str = "ultrahdr", mapper: str = "aces", quality: int = 95, exposure: float = 1.0, options=None) -> DataFrame:
+    """image_id, path, content: gain-map JPEG files of linear pixels (image_id, p, r, g, b). The boost is an aggregate that joins its pixels, both
+    pictures are Column arithmetic, and one row an image is turned into bytes."""
+    from . import ultrahdr
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 v = batch["v"][k].values.to_numpy(zero_copy_only=False).astype(np.uint8).reshape(height, width, 6)
-                out = ultrahdr.write(v[..., :3], v[..., 3:], ultrahdr.metadata_for(batch["log_max"][k].as_py()), kind, quality)
+                out = ultrahdr.write(v[..., :3], v[..., 3:], map_metadata(batch, k, options), kind, quality)
                 name = batch["image_id"][k].as_py()
                 yield pa.RecordBatch.from_pydict({"image_id": pa.array([name], pa.string()), "path": [f"{name}.jpg"], "content": pa.array([out], pa.binary())})
 
-    return whole.mapInArrow(run, "image_id string, path string, content binary")
+    return gain_map_pictures(px, mapper, exposure, options).mapInArrow(run, "image_id string, path string, content binary")
+
+
+def batch_converted(files: DataFrame, kind: str, **options) -> DataFrame:
+    """source, path, content, error: the files (path, content) as files of another kind, each path once. A file that cannot be read is a row with its error
+    and no content; the others go on."""
+    whole = decoded(files.dropDuplicates(["path"]), on_error="record")
+    made = encoded(whole.filter("error IS NULL"), kind, **options).select(F.col("image_id").alias("source"), F.regexp_replace("path", r"\.[A-Za-z0-9]+(\.[a-z0-9]+)$", "$1").alias("path"), "content")
+    bad = whole.filter("error IS NOT NULL").select(F.col("image_id").alias("source"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("binary").alias("content"), "error")
+    return made.withColumn("error", F.lit(None).cast("string")).unionByName(bad)
+
+
+def icc_profiles(files: DataFrame) -> DataFrame:
+    """path, profile, size (as the profile says), description, tags (their number), adgc (the identifier of an adaptive gain curve, hexadecimal, or null) of
+    JPEG files (path, content); nulls for files without a profile."""
+
+    def run(batches):
+        from . import ultrahdr
+
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                icc = ultrahdr.icc_profile(content.as_py() or b"")
+                name = ultrahdr.icc_tag(icc, b"desc") if icc else None
+                row = {"path": pa.array([path.as_py()], pa.string()), "profile": pa.array([icc], pa.binary()), "size": pa.array([int.from_bytes(icc[:4], "big") if icc else None], pa.int64()),
+                       "description": pa.array([name[12 : 12 + int.from_bytes(name[8:12], "big")].rstrip(b"\0").decode("latin-1") if name else None], pa.string()),
+                       "tags": pa.array([int.from_bytes(icc[128:132], "big") if icc else None], pa.int32()), "adgc": pa.array([ultrahdr.adgc(icc) if icc else None], pa.string())}
+                yield pa.RecordBatch.from_pydict(row)
+
+    return files.select("path", "content").mapInArrow(run, "path string, profile binary, size long, description string, tags int, adgc string")
+
+
+def separate_files(px: DataFrame, width: int, height: int, mapper: str = "aces", quality: int = 90, exposure: float = 1.0, options=None) -> DataFrame:
+    """image_id, sdr, gain_map (JPEG bytes) and metadata (JSON): what gain_map_files puts into one file, apart."""
+    import json
+
+    def run(batches):
+        from . import jpeg
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                v = batch["v"][k].values.to_numpy(zero_copy_only=False).astype(np.uint8).reshape(height, width, 6)
+                row = {"image_id": pa.array([batch["image_id"][k].as_py()], pa.string()), "sdr": pa.array([jpeg.encode(v[..., :3], quality)], pa.binary()), "gain_map": pa.array([jpeg.encode(v[..., 3:], quality)], pa.binary()),
+                       "metadata": [json.dumps(map_metadata(batch, k, options))]}
+                yield pa.RecordBatch.from_pydict(row)
+
+    return gain_map_pictures(px, mapper, exposure, options).mapInArrow(run, "image_id string, sdr binary, gain_map binary, metadata string")

@@ -28,7 +28,7 @@ def read_header(data: bytes, strict: bool = True) -> tuple[dict, int]:
         if first:
             if not line.startswith("#?"):
                 raise ImageError("bad initial token")
-            if strict and line.strip() not in ("#?RADIANCE", "#?RGBE"):
+            if strict and line.strip() != "#?RADIANCE":
                 raise ImageError("expected #?RADIANCE")
             first = False
         elif found := re.fullmatch(r"\s*([-+][XY])\s+(\d+)\s+([-+][XY])\s+(\d+)\s*", line):
@@ -47,6 +47,7 @@ def read_header(data: bytes, strict: bool = True) -> tuple[dict, int]:
                 fields["EXPOSURE"] = value
                 if re.fullmatch(r"\d+|\d*\.\d*[1-9]", value):  # only text that a number prints as counts
                     fields["exposure"] *= float(value)
+                    fields["EXPOSURE"] = str(fields["exposure"])  # of all lines so far
             else:
                 fields[key] = value
     if fields.get("format") != "32-bit_rle_rgbe" and strict:

@@ -137,6 +137,12 @@ def icc_tag(profile: bytes, tag: bytes) -> bytes | None:
     return None
 
 
+def adgc(profile: bytes) -> str | None:
+    """The 16-byte identifier of an adaptive gain curve, hexadecimal: it follows the type, four zeros and the kind of function in its tag."""
+    tag = icc_tag(profile, b"ADGC")
+    return tag[12:28].hex() if tag and len(tag) >= 28 else None
+
+
 def xmp_segment(text: str) -> bytes:
     return jpeg.segment(0xE1, XMP + text.encode())
 
@@ -158,9 +164,10 @@ def assemble(sdr: bytes, gain_map: bytes, metadata: dict, kind: str = "ultrahdr"
     return head + jpeg.segment(0xE2, mpf_payload(size, len(second), size - len(head) - 8)) + own + rest + second
 
 
-def metadata_for(log_max: float) -> dict:
-    """Parameters of a map of range 0 to log_max with our offsets."""
-    return {"gainMapMin": [0.0] * 3, "gainMapMax": [log_max] * 3, "gamma": [1.0] * 3, "offsetSdr": [1 / 64] * 3, "offsetHdr": [1 / 64] * 3, "hdrCapacityMin": 0.0, "hdrCapacityMax": log_max}
+def metadata_for(log_max: float, log_min: float = 0.0, gamma=(1.0,) * 3, offset_sdr=(1 / 64,) * 3, offset_hdr=(1 / 64,) * 3) -> dict:
+    """Parameters of a map of the range log_min to log_max."""
+    return {"gainMapMin": [log_min] * 3, "gainMapMax": [log_max] * 3, "gamma": list(gamma), "offsetSdr": list(offset_sdr), "offsetHdr": list(offset_hdr),
+            "hdrCapacityMin": max(0.0, log_min), "hdrCapacityMax": max(0.0, log_max)}
 
 
 def write(sdr: np.ndarray, gain_map: np.ndarray, metadata: dict, kind: str = "ultrahdr", quality: int = 95) -> bytes:
