@@ -20,17 +20,22 @@ HOMOGLYPHS = {
     "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɡ": "g", "ⅼ": "l",
 }
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "!": "i"}
-#: In these phrases a listed word is no insult.
+#: In these phrases a listed word is no insult; more are learned.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "clownfish")
 
 FOLD = {ord(k): v for k, v in (HOMOGLYPHS | DIGITS).items()} | {0xFF41 + i: chr(97 + i) for i in range(26)}
 FOLD |= dict.fromkeys((0x200B, 0x200C, 0x200D, 0xAD, 0xFEFF), None)
 WORD = re.compile(r"[^\W\d_]+")
+TAIL = re.compile(r"[^\W\d_]+\Z")
 
 #: Labelled documents used to learn from, at most, drawn by a hash of the id. All documents are scored.
 MAX_TRAIN = 30_000
 #: Entries of the lexicon, at most: a size of the model.
 MAX_ENTRIES = 4_000
+#: Exception phrases that are learned, at most: a size of the model.
+MAX_EXCEPTIONS = 1_000
+#: Least hashes that say whether two texts are copies; the weight of a document without copies.
+SKETCH, UNIT = 4, 1 << 20
 SHORTEST, LONGEST = 4, 9
 MIN_DOCS, MIN_LOG_ODDS = 6, 3.0
 #: Log-likelihood gain over the base rate that an entry's documents must show, beyond the log of the number of entries that were tried.
@@ -85,15 +90,27 @@ def features(auto, texts: list[str | None]) -> tuple[np.ndarray, list[list[tuple
     return out, spans
 
 
+def phrases_at(folded: str, start: int, end: int) -> list[str]:
+    """The word of the folded text that the found place begins, with the word before it and with the one after it, where one space parts them."""
+    word = WORD.match(folded, start)
+    z, out = word.end(), []
+    if start > 1 and folded[start - 1] == " " and (before := TAIL.search(folded, max(0, start - 42), start - 1)):
+        out.append(f"{before.group()} {folded[start:z]}")
+    if folded[z : z + 1] == " " and (after := WORD.match(folded, z + 1)):
+        out.append(f"{folded[start:z]} {after.group()}")
+    return out
+
+
 def probability(x: np.ndarray, scale) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(scale[0] + x @ np.asarray(scale[1:]), -30, 30)))
 
 
-def fitted_scale(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, ...]:
-    """Logistic regression by Newton's method, slightly shrunk, with the rarer class weighted up to at most half of the other's weight."""
+def fitted_scale(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> tuple[float, ...]:
+    """Logistic regression of weighted rows by Newton's method, slightly shrunk, with the rarer class weighted up to at most half of the other's weight."""
     a, b = np.c_[np.ones(len(x)), x], np.zeros(x.shape[1] + 1)
-    pos = max(1.0, min(0.5 * (len(y) - y.sum()) / max(1, y.sum()), 10.0))
-    w = np.where(y > 0, pos, 1.0)
+    ones = (weight * y).sum()
+    pos = max(1.0, min(0.5 * (weight.sum() - ones) / max(1.0, ones), 10.0))
+    w = np.where(y > 0, pos, 1.0) * weight
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
         hess = (a * (w * p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(b))
@@ -104,8 +121,12 @@ def fitted_scale(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[flo
     return tuple(float(v) for v in b)
 
 
+def _words(text: str | None) -> list[str]:
+    return WORD.findall(fold(text or ""))
+
+
 def _word_counts(batches, most: int = 200_000):
-    """(word, n0, n1) rows; counts are passed on whenever so many words have gathered."""
+    """(word, n0, n1) rows, weights of the documents that hold a word; they are passed on whenever so many words have gathered."""
     counts: list[Counter] = [Counter(), Counter()]
 
     def rows():
@@ -118,49 +139,63 @@ def _word_counts(batches, most: int = 200_000):
         })
 
     for batch in sliced(batches):
-        for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
-            counts[toxic].update({w for w in WORD.findall(fold(text or "")) if SHORTEST <= len(w) <= 40})
+        for text, toxic, weight in zip(*(batch[c].to_pylist() for c in ("text", "toxic", "weight")), strict=True):
+            for w in {w for w in _words(text) if SHORTEST <= len(w) <= 40}:
+                counts[toxic][w] += weight
         if sum(map(len, counts)) > most:
             yield rows()
             counts = [Counter(), Counter()]
     yield rows()
 
 
-def _sketched(batches):
-    """Adds a one-value minhash over words, so that near copies can count once."""
+def signature(text: str | None) -> str:
+    """Equal for copies and for most near copies, and for hardly any other texts: a hash of the SKETCH least hashes of the text's three-word shingles, or of
+    all its words if it has no more shingles than that."""
+    words = _words(text)
+    hashes = {xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(len(words) - 2)}
+    if len(hashes) <= SKETCH:
+        return "w" + xxhash.xxh128_hexdigest(" ".join(words))
+    return "s" + xxhash.xxh128_hexdigest(" ".join(map(str, sorted(hashes)[:SKETCH])))
+
+
+def _signed(batches):
     for batch in sliced(batches):
-        mh = [min((xxhash.xxh64_intdigest(w) >> 1 for w in set(WORD.findall(fold(t or "")))), default=0) for t in batch["text"].to_pylist()]
-        yield batch.append_column("mh", pa.array(mh, pa.int64()))
+        yield batch.append_column("copies_of", pa.array([signature(t) for t in batch["text"].to_pylist()], pa.string()))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """doc_id, text, toxic (0/1), mh: at most about max_train labelled documents, drawn by a hash of the id."""
+    """doc_id, text, toxic (0/1), weight: at most about max_train labelled documents, drawn by a hash of the id. Every one of them counts; documents
+    that are (near) copies of each other and have one label share the weight of one document, UNIT, between them."""
     labels = labels.select("doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = labels.count()
     if n > max_train:
         labels = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_train / n))
     rows = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id")  # bounded by max_train rows of 12 bytes
-    return rows.mapInArrow(_sketched, "doc_id long, text string, toxic int, mh long")
+    rows = written(rows.mapInArrow(_signed, "doc_id long, text string, toxic int, copies_of string"), "toxicity-signed")
+    copies = rows.groupBy("copies_of", "toxic").agg((F.lit(float(UNIT)) / F.count("*")).cast("long").alias("weight"))
+    return rows.join(copies, ["copies_of", "toxic"]).select("doc_id", "text", "toxic", "weight")
 
 
 def learned(train: DataFrame) -> Model:
-    """The lexicon and scale, from training rows (text, toxic, mh)."""
-    once = train.dropDuplicates(["mh", "toxic"])
-    words = once.mapInArrow(_word_counts, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    totals = {r["toxic"]: r["count"] for r in once.groupBy("toxic").count().collect()}
+    """The lexicon, the exception phrases and the scale, from training rows (text, toxic, weight). Weights are whole numbers, so that sums do not depend
+    on their order and reruns agree."""
+    words = train.mapInArrow(_word_counts, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    totals = {r["toxic"]: r["n"] / UNIT for r in train.groupBy("toxic").agg(F.sum("weight").alias("n")).collect()}
     t0, t1 = totals.get(0, 0), totals.get(1, 0)
     if not t0 or not t1:
         return Model({})
     stems = F.transform(F.sequence(F.lit(SHORTEST), F.least(F.length("word"), F.lit(LONGEST))), lambda k: F.substring(F.col("word"), F.lit(1), k))
     entries = words.select(F.explode(F.array_distinct(F.concat(stems, F.array("word")))).alias("entry"), "n0", "n1")
-    entries = entries.groupBy("entry").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    entries = entries.groupBy("entry").agg((F.sum("n0") / UNIT).alias("n0"), (F.sum("n1") / UNIT).alias("n1"))
     entries = written(entries.filter(F.col("n1") >= MIN_DOCS), "toxicity-entries")
     tried = np.log(max(1, entries.count()))
     odds = F.log((F.col("n1") + 0.5) / (t1 + 1.0)) - F.log((F.col("n0") + 0.5) / (t0 + 1.0))
     entries = entries.withColumn("w", F.round(odds, 6)).filter(F.col("w") >= MIN_LOG_ODDS)
-    found = entries.orderBy(F.desc(F.col("w") * F.log(F.col("n1") + 1.0)), "entry").limit(MAX_ENTRIES).collect()
+    found = entries.orderBy(F.desc(F.round(F.col("w") * F.log(F.col("n1") + 1.0), 6)), "entry").limit(MAX_ENTRIES).collect()
     at = {r["entry"]: (r["w"], r["n1"]) for r in found}
-    # A longer entry goes where a stem of its own says nearly as much.
+    # A stem goes where one longer entry accounts for it, as "path" does not stand for "pathetic"; then a longer entry where a stem of its own says nearly as much.
+    wide = {e[:k] for e in at for k in range(SHORTEST, len(e)) if e[:k] in at and at[e][1] >= 0.98 * at[e[:k]][1]}
+    at = {e: x for e, x in at.items() if e not in wide}
     kept = {e: w for e, (w, _) in at.items() if not any(e[:k] in at and at[e[:k]][0] >= w - 0.7 for k in range(SHORTEST, len(e)))}
     model = Model(kept)
 
@@ -168,33 +203,39 @@ def learned(train: DataFrame) -> Model:
         auto = model.automaton()
         for batch in sliced(batches):
             texts = [fold(t or "") for t in batch["text"].to_pylist()]
-            found = [sorted({t[a:b] for a, b in s}) for t, s in zip(texts, features(auto, texts)[1], strict=True)]
-            yield pa.RecordBatch.from_pydict({"toxic": batch["toxic"], "found": pa.array(found, pa.list_(pa.string()))})
+            places = features(auto, texts)[1]
+            found = [sorted({t[a:b] for a, b in s}) for t, s in zip(texts, places, strict=True)]
+            phrases = [sorted({p for a, b in s for p in phrases_at(t, a, b)}) for t, s in zip(texts, places, strict=True)]
+            yield pa.RecordBatch.from_pydict({"toxic": batch["toxic"], "weight": batch["weight"], "found": pa.array(found, pa.list_(pa.string())), "phrases": pa.array(phrases, pa.list_(pa.string()))})
+
+    def counted(column):
+        """Weights of the training documents of either label that hold each of column's strings."""
+        each = met.select("toxic", "weight", F.explode(column).alias("x")).groupBy("x").agg(
+            *(F.sum(F.when(F.col("toxic") == y, F.col("weight")).otherwise(0)).alias(f"n{y}") for y in (0, 1)))
+        return each.select("x", (F.col("n0") / UNIT).alias("n0"), (F.col("n1") / UNIT).alias("n1"))
 
     # Stems counted a word at a time so far; now by document, and kept if chance does not explain them.
-    each: list[Counter] = [Counter(), Counter()]
-    for r in once.mapInArrow(hits, "toxic int, found array<string>").filter(F.size("found") > 0).toLocalIterator():
-        each[r["toxic"]].update(r["found"])
-    sure = {}
-    for e in kept:
-        n0, n1 = each[0][e] + 0.5, each[1][e] + 0.5
+    met = written(train.mapInArrow(hits, "toxic int, weight long, found array<string>, phrases array<string>").filter(F.size("found") > 0), "toxicity-hits")
+    sure, base = {}, t1 / (t0 + t1)
+    for r in counted("found").collect():  # MAX_ENTRIES rows at most
+        n0, n1 = r["n0"] + 0.5, r["n1"] + 0.5
         w = np.log(n1 / (t1 + 1)) - np.log(n0 / (t0 + 1))
-        base = t1 / (t0 + t1)
         gain = n1 * np.log(n1 / (n0 + n1) / base) + n0 * np.log(n0 / (n0 + n1) / (1 - base))
         if w >= 2 and gain >= MIN_GAIN + tried:
-            sure[e] = round(float(w), 6)
-    model = Model(sure)
+            sure[r["x"]] = round(float(w), 6)
+    # Two-word phrases around entries that only clean documents hold: there the entry is no insult.
+    mild = counted("phrases").filter(f"n0 >= {MIN_DOCS} AND n1 < 0.02 * n0").orderBy(F.desc("n0"), "x").limit(MAX_EXCEPTIONS).collect()
+    model = Model(sure, tuple(dict.fromkeys([*EXCEPTIONS, *sorted(r["x"] for r in mild)])))
 
     def measured(batches):
         auto = model.automaton()
         for batch in sliced(batches):
             x, _ = features(auto, batch["text"].to_pylist())
-            yield pa.RecordBatch.from_pydict({"a": pa.array(x[:, 0]), "b": pa.array(x[:, 1]), "toxic": batch["toxic"]})
+            yield pa.RecordBatch.from_pydict({"a": pa.array(x[:, 0]), "b": pa.array(x[:, 1]), "toxic": batch["toxic"], "weight": batch["weight"]})
 
-    got = once.mapInArrow(measured, "a double, b double, toxic int").toPandas()  # bounded by max_train rows
-    x, y = got[["a", "b"]].to_numpy(), got["toxic"].to_numpy().astype(float)
-    order = np.lexsort((x[:, 0], x[:, 1], y))  # sums in one order, so that reruns agree
-    model.scale = fitted_scale(x[order], y[order])
+    got = train.mapInArrow(measured, "a double, b double, toxic int, weight long").toPandas()  # bounded by max_train rows
+    got = got.sort_values(["toxic", "b", "a", "weight"])  # sums in one order, so that reruns agree
+    model.scale = fitted_scale(got[["a", "b"]].to_numpy(), got["toxic"].to_numpy().astype(float), got["weight"].to_numpy() / UNIT)
     return model
 
 
