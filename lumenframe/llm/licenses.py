@@ -29,8 +29,6 @@ TEMPLATES = [
 STOP = frozenset("a all and any are for in into is of or the this to under use with".split())
 #: The weight share of a notice that must stand at its place.
 SHARE = 0.6
-#: The SQL alone still lets only so many words of a file, those of highest IDF, propose notices.
-TOP_WORDS = 8
 
 
 def postings() -> list[tuple[str, str, bool, int, bool, int, int]]:
@@ -108,15 +106,13 @@ d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMN
 p AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
 f AS (SELECT * FROM p WHERE word IN (SELECT word FROM t)),
 idf AS (SELECT word, greatest(ln(((SELECT count(*) FROM d)::DOUBLE + 1) / (count(DISTINCT doc_id) + 1)), 1e-6) AS idf FROM (SELECT DISTINCT word FROM t) LEFT JOIN f USING (word) GROUP BY word),
-top AS (SELECT doc_id, word FROM (SELECT DISTINCT doc_id, word, idf FROM f JOIN idf USING (word))
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(idf, 9) DESC, word) <= {TOP_WORDS}),
 w AS (SELECT t.*, idf, sum(idf) OVER (PARTITION BY tid) AS whole FROM t JOIN idf USING (word)),
-a AS (SELECT f.doc_id, tid, label, base, p - off AS start, n_mandatory, whole, sum(idf) AS idf, count(top.word) AS votes, sum(mandatory::INT) AS got
-  FROM f JOIN w USING (word) LEFT JOIN top ON top.doc_id = f.doc_id AND top.word = f.word GROUP BY ALL),
+a AS (SELECT f.doc_id, tid, label, base, p - off AS start, n_mandatory, whole, sum(idf) AS idf, sum(mandatory::INT) AS got
+  FROM f JOIN w USING (word) GROUP BY ALL),
 s AS (SELECT *, least(round(idf / whole, 6), 1.0) AS share FROM a WHERE got = n_mandatory),
 o AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
-  FROM s WHERE base OR (votes > 0 AND share >= {SHARE}) GROUP BY doc_id)
+  FROM s WHERE base OR share >= {SHARE} GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM d LEFT JOIN o USING (doc_id)
 """
