@@ -16,8 +16,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 HINT = re.compile(r"password|passwd|secret|token|api_?key", re.A | re.I)
-#: Further candidates: unbroken runs that prose does not have.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Further candidates: unbroken runs, but for words: runs of letters of one case, with at most a capital first, of fewer than LONG_WORD characters.
+RUN = re.compile(r"[A-Za-z0-9+/_=.-]{12,}")
+WORD = re.compile(r"[A-Z]?[a-z]+[.-]?|[A-Z]+[.-]?")
+LONG_WORD = 20
+#: Runs that are known not to be secrets, the evidence for the negative examples: words with signs between them, numbers with signs between them.
+NO_SECRET = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,5})(?:[._/-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,5}))*[._/-]*")
 KINDS = ("assign", "access", "hex", "cnn")
 
 WIDTH, CONTEXT = 64, 24
@@ -38,24 +42,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         out += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     out += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
-    return sorted(out)
+    return sorted(out, key=lambda s: (s[0], s[2]))
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in CANDIDATE.finditer(text)]
+    """(start, end) of the runs that the network judges, whatever their length."""
+    return [m.span() for m in RUN.finditer(text) if m.end() - m.start() >= LONG_WORD or not WORD.fullmatch(m.group())]
+
+
+def pieces(start: int, end: int) -> list[tuple[int, int]]:
+    """A candidate as overlapping pieces of WIDTH that cover it whole; it scores as the highest of them."""
+    if end - start <= WIDTH:
+        return [(start, end)]
+    return [(a, a + WIDTH) for a in range(start, end - WIDTH, WIDTH // 2)] + [(end - WIDTH, end)]
 
 
 def encoded(texts: list[tuple[str, int, int]]) -> np.ndarray:
-    """Character codes of each candidate (text, start, end): the context before, as much of the candidate as fits, and the context after, with a mark
-    on what is candidate."""
+    """Character codes of each piece (text, start, end; WIDTH characters at most): the context before, the piece, and the context after, with a mark on
+    the piece."""
     out = np.zeros((len(texts), WIDTH + 2 * CONTEXT, 2), np.int64)
     for k, (text, a, z) in enumerate(texts):
         left = text[max(0, a - CONTEXT) : a].rjust(CONTEXT, "\x00")
-        mid = (text[a:z] if z - a <= WIDTH else text[a : a + WIDTH // 2] + text[z - WIDTH // 2 : z]).ljust(WIDTH, "\x00")
         right = text[z : z + CONTEXT].ljust(CONTEXT, "\x00")
-        raw = np.frombuffer((left + mid + right).encode("latin-1", "replace"), np.uint8)
+        raw = np.frombuffer((left + text[a:z].ljust(WIDTH, "\x00") + right).encode("latin-1", "replace"), np.uint8)
         out[k, :, 0] = CODE[raw]
-        out[k, CONTEXT : CONTEXT + min(z - a, WIDTH), 1] = 1
+        out[k, CONTEXT : CONTEXT + z - a, 1] = 1
     return out
 
 
@@ -105,10 +116,11 @@ class Network:
         g["e"] = de
         return g
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, rate: float = 0.01, seed: int = 7) -> Network:
-        """Trains on four fifths; the rest calibrates the logistic scale and sets the highest threshold that keeps RECALL of its secrets."""
-        order = np.random.default_rng(seed).permutation(len(y))
-        held, used = order[: max(1, len(y) // 5)], order[max(1, len(y) // 5) :]
+    def fit(self, x: np.ndarray, y: np.ndarray, open_: np.ndarray, epochs: int = 8, rate: float = 0.01, seed: int = 7) -> Network:
+        """Trains on three fifths; a fifth calibrates the logistic scale, and the last sets the highest threshold that keeps RECALL of those of its
+        secrets that the network decides (open_: no base pattern finds them)."""
+        fifths = np.array_split(np.random.default_rng(seed).permutation(len(y)), 5)
+        used, scale, last = np.concatenate(fifths[:3]), fifths[3], fifths[4]
         m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         step = 0
         for epoch in range(epochs):
@@ -117,62 +129,80 @@ class Network:
                 for k, v in g.items():
                     m[k][0][...] = 0.9 * m[k][0] + 0.1 * v
                     m[k][1][...] = 0.999 * m[k][1] + 0.001 * v * v
-                    self.p[k] -= rate * (m[k][0] / (1 - 0.9**step)) / (np.sqrt(m[k][1] / (1 - 0.999**step)) + 1e-8)
-        z, t = self.logits(x[held]), y[held]
+                    self.p[k] -= rate * (1 - epoch / epochs) * (m[k][0] / (1 - 0.9**step)) / (np.sqrt(m[k][1] / (1 - 0.999**step)) + 1e-8)
+        z, t = self.logits(x[scale]), y[scale]
         for _ in range(200):
             e = 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -30, 30))) - t
             self.slope, self.shift = float(np.clip(self.slope - 0.1 * (e * z).mean(), 0.2, 3)), float(self.shift - 0.1 * e.mean())
-        p = self.probability(x[held])
-        if (t > 0).any():
-            self.threshold = float(max(0.5, np.quantile(p[t > 0], 1 - RECALL)))
+        decided = last[(y[last] > 0) & open_[last]]
+        if len(decided):
+            self.threshold = float(np.quantile(self.probability(x[decided]), 1 - RECALL, method="lower"))
         return self
 
 
-def made_up(seed: int = 11, n: int = 600) -> list[tuple[str, int, int, int]]:
-    """Labelled examples (text, start, end, secret) for kinds that the documents may lack: random keys in assignments against long names, paths,
-    numbers and repeated characters in plain text."""
+#: Kinds of made-up secrets: (prefix, alphabet, groups, letters of a group from, to, sign between groups). The last three are for tests only.
+UP, LOW, DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+SECRETS = {
+    "base64": ("", UP + LOW + DIGIT + "+/", 1, 20, 90, ""), "upper hex": ("", DIGIT + "ABCDEF", 1, 20, 64, ""), "mixed": ("", UP + LOW + DIGIT, 1, 14, 60, ""),
+    "upper": ("", UP + DIGIT, 1, 14, 40, ""), "lower": ("", LOW + DIGIT, 1, 14, 40, ""), "prefixed": ("sk_", UP + LOW + DIGIT, 1, 16, 40, ""),
+    "grouped": ("", UP + DIGIT, 4, 4, 6, "-"), "two parts": ("", UP + LOW + DIGIT, 2, 10, 30, "."), "padded": ("", UP + LOW + DIGIT + "+/", 1, 22, 60, "=="),
+    "web token": ("eyJ", UP + LOW + DIGIT + "-_", 3, 20, 60, "."), "url safe": ("", UP + LOW + DIGIT + "-_", 1, 24, 64, ""), "labelled": ("ghp_", UP + LOW + DIGIT, 1, 30, 40, ""),
+}
+HELD_KINDS = ("web token", "url safe", "labelled")
+PLAIN = ("snake", "path", "repeated", "joined", "camel", "dotted", "time", "version", "mail", "number", "file", "kebab")
+HELD_PLAIN = ("file", "kebab")
+PARTS = ("under", "score", "value", "long", "name", "path", "file", "data", "index", "section", "chapter", "part", "user", "report", "final", "north", "order", "list", "image", "total")
+
+
+def made_up(seed: int = 11, n: int = 2400, held: bool = False) -> list[tuple[str, int, int, int, str]]:
+    """Labelled examples (text, start, end, secret, kind) of kinds that the documents may lack: random keys of the kinds SECRETS in and out of assignments,
+    and harmless runs of the kinds PLAIN. held picks the kinds that training never sees, for tests."""
     r = np.random.default_rng(seed)
-    letters = {"b64": ALPHABET[16:26] + ALPHABET[33:59] + ALPHABET[65:91] + "+/", "hex": "0123456789abcdef", "up": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"}
-    parts, before = ["under", "score", "value", "long", "name", "path", "file", "data", "index", "section", "chapter", "part"], ["the ", "see ", "in ", "", "of ", "and "]
-    names = ["key", "auth", "credential", "private_key", "access", "pwd", "bearer", "client_secret"]
+    pick = lambda options: options[r.integers(len(options))]
+    word = lambda: pick(PARTS)
+    number = lambda most: str(r.integers(most))
+    kinds = [k for k in SECRETS if (k in HELD_KINDS) == held]
+    plain = [k for k in PLAIN if (k in HELD_PLAIN) == held]
+    before = ["the ", "see ", "in ", "", "of ", "and ", "| ", '"', "("]
+    names = ["key", "auth", "credential", "private_key", "access", "pwd", "bearer", "client", "cert"]
     out = []
     for k in range(n):
         if k % 2:
-            chars = letters[("b64", "hex", "up")[k % 3]]
-            lead = f"{names[r.integers(len(names))]}{(' = ', '=', ': ')[k % 3]}{('', chr(34))[k % 2]}"
-            body = "".join(chars[i] for i in r.integers(0, len(chars), r.integers(20, 64)))
+            kind = pick(kinds)
+            prefix, letters, groups, low, high, sign = SECRETS[kind]
+            lead = f"{pick(names)}{pick([' = ', '=', ': ', ' '])}{pick(['', chr(34)])}" if r.random() < 0.5 else pick(before)
+            body = [("".join(letters[i] for i in r.integers(0, len(letters), r.integers(low, high + 1)))) for _ in range(groups)]
+            body = prefix + (sign.join(body) if groups > 1 else body[0] + sign)
         else:
-            lead = before[r.integers(len(before))]
-            kind = r.integers(4)
-            if kind == 0:
-                body = "_".join(parts[i] for i in r.integers(0, len(parts), 6))
-            elif kind == 1:
-                body = "/".join(parts[i] for i in r.integers(0, len(parts), 6))
-            elif kind == 2:
-                body = ("-", "=", "_", "a", "0")[r.integers(5)] * int(r.integers(20, 60))
-            else:
-                body = "".join(parts[i] for i in r.integers(0, len(parts), 6))
-        out.append((lead + body + " and more", len(lead), len(lead) + len(body), k % 2))
+            kind, lead = pick(plain), pick(before)
+            body = {
+                "snake": lambda: "_".join(word() for _ in range(r.integers(3, 7))), "path": lambda: "/".join(word() for _ in range(r.integers(3, 7))),
+                "repeated": lambda: pick("-=_a0.") * int(r.integers(12, 60)), "joined": lambda: "".join(word() for _ in range(r.integers(3, 7))),
+                "camel": lambda: "".join(word().title() for _ in range(r.integers(2, 6))), "dotted": lambda: ".".join(word() for _ in range(r.integers(2, 6))) + pick([".com", ".org", ".net"]),
+                "time": lambda: f"20{r.integers(10, 30)}-{r.integers(10, 13)}-{r.integers(10, 29)}T{r.integers(10, 24)}-{r.integers(10, 60)}", "version": lambda: f"{word()}-{number(30)}.{number(20)}.{number(400)}",
+                "mail": lambda: f"{word()}.{word()}{number(99)}.{word()}.com", "number": lambda: f"{number(10**9)}.{number(10**9)}", "file": lambda: f"{word()}_{r.integers(2000, 2030)}_{word()}.pdf",
+                "kebab": lambda: "-".join([word(), word(), number(99), word()]),
+            }[kind]()
+            body = body.ljust(12, "x")
+        out.append((lead + body + pick([" and more", '"', ".", "\nnext", ")"]), len(lead), len(lead) + len(body), k % 2, kind))
     return out
 
 
 def _findings(batches):
-    """Windows around labelled findings: candidates that base findings cover are secrets; the others, and the longest words, are not."""
+    """Windows around labelled findings: base findings are secrets; runs that NO_SECRET explains and no base finding touches are not. Runs without such
+    evidence are not labelled at all."""
     for batch in sliced(batches):
         rows = []
         for text in batch["text"].to_pylist():
             text = text or ""
-            base, own = base_spans(text), candidates(text)
+            base, plain = base_spans(text), 0
             for a, z, _ in base:
-                rows.append((text[max(0, a - CONTEXT) : z + CONTEXT], min(a, CONTEXT), min(a, CONTEXT) + z - a, 1))
-            for a, z in own:
-                if not any(s < z and a < e for s, e, _ in base):
-                    rows.append((text[max(0, a - CONTEXT) : z + CONTEXT], min(a, CONTEXT), min(a, CONTEXT) + z - a, 0))
-            for m in re.finditer(r"[A-Za-z0-9]{12,}", text):
-                if not any(s < m.end() and m.start() < e for s, e, _ in base):
-                    a, z = m.span()
-                    rows.append((text[max(0, a - CONTEXT) : z + CONTEXT], min(a, CONTEXT), min(a, CONTEXT) + z - a, 0))
-                    break
+                rows += [(text[max(0, p - CONTEXT) : q + CONTEXT], min(p, CONTEXT), min(p, CONTEXT) + q - p, 1) for p, q in pieces(a, z)]
+            for m in RUN.finditer(text):
+                a, z = m.span()
+                if plain < 8 and NO_SECRET.fullmatch(m.group()) and not any(s < z and a < e for s, e, _ in base):
+                    rows += [(text[max(0, p - CONTEXT) : q + CONTEXT], min(p, CONTEXT), min(p, CONTEXT) + q - p, 0) for p, q in pieces(a, z)[:1]]
+                    plain += 1
         if rows:
             t, a, z, y = zip(*rows, strict=True)
             yield pa.RecordBatch.from_pydict({"text": pa.array(t, pa.string()), "a": pa.array(a, pa.int32()), "z": pa.array(z, pa.int32()), "y": pa.array(y, pa.int32())})
@@ -180,7 +210,7 @@ def _findings(batches):
 
 def trained(docs: DataFrame) -> Network:
     """The network, from labelled findings of at most about MAX_TEXTS documents drawn by a hash of the text (MAX_FINDINGS of them by hash), and made-up
-    ones. The base patterns label the findings."""
+    ones, which stand for the kinds that no base pattern finds. The base patterns label the findings of the documents."""
     n = docs.count()
     rows = docs.select("text").filter("text IS NOT NULL")
     if n > MAX_TEXTS:
@@ -189,30 +219,33 @@ def trained(docs: DataFrame) -> Network:
     got = []
     for y in (1, 0):  # each kind bounded by half of MAX_FINDINGS
         got += found.filter(F.col("y") == y).orderBy(F.xxhash64("text", "a", "z"), "text", "a", "z").limit(MAX_FINDINGS // 2).collect()
-    samples = [(r["text"], r["a"], r["z"], r["y"]) for r in got] + made_up()
-    x = encoded([s[:3] for s in samples])
-    return Network().fit(x, np.array([s[3] for s in samples], float))
+    samples = [(r["text"], r["a"], r["z"], r["y"], False) for r in got]
+    samples += [(t, p, q, y, y == 1 and not base_spans(t)) for t, a, z, y, _ in made_up() for p, q in pieces(a, z)[:1]]
+    return Network().fit(encoded([s[:3] for s in samples]), np.array([s[3] for s in samples], float), np.array([s[4] for s in samples]))
 
 
 def spans_of(texts: list[str | None], network: Network) -> list[list[tuple[int, int, int, float]]]:
-    """(start, end, kind, probability) of each text's secrets."""
+    """(start, end, kind, probability) of each text's secrets, by start and kind."""
     texts, tried = [t or "" for t in texts], []
     for k, text in enumerate(texts):
         base = base_spans(text)
         tried += [(k, a, z, i) for a, z, i in base]
-        tried += [(k, a, z, 3) for a, z in candidates(text) if not any(s < z and a < e for s, e, _ in base)]
+        tried += [(k, a, z, 3) for a, z in candidates(text) if not any(s <= a and z <= e for s, e, _ in base)]
+    each = [(n, texts[k], a, z) for n, (k, p, q, _) in enumerate(tried) for a, z in pieces(p, q)]
+    highest = np.zeros(len(tried))
+    for at in range(0, len(each), 512):
+        part = each[at : at + 512]
+        np.maximum.at(highest, [e[0] for e in part], network.probability(encoded([e[1:] for e in part])))
     out: list[list] = [[] for _ in texts]
-    for at in range(0, len(tried), 512):
-        part = tried[at : at + 512]
-        for (k, a, z, i), p in zip(part, network.probability(encoded([(texts[k], a, z) for k, a, z, _ in part])), strict=True):
-            if i < 3 or p >= network.threshold:
-                out[k].append((a, z, i, float(p)))
-    return [sorted(o) for o in out]
+    for (k, a, z, i), p in zip(tried, highest.tolist(), strict=True):
+        if i < 3 or p >= network.threshold:
+            out[k].append((a, z, i, p))
+    return [sorted(o, key=lambda s: (s[0], s[2], s[1])) for o in out]
 
 
 def scanned(docs: DataFrame, network: Network) -> DataFrame:
     """docs with secrets: array of (start, end, kind, probability), code points, end exclusive, by start and kind. Base findings stay whatever the
-    network says; of the other candidates those at or above its threshold that no base finding touches are added as kind cnn.
+    network says; of the other candidates, which no base finding covers wholly, those at or above its threshold are added as kind cnn.
 
     Whole texts in one pass. A null or empty text has none; equal rows get equal answers; an empty table stays empty; a column named secrets in docs
     is replaced."""
