@@ -17,7 +17,8 @@ OFFSET = 0.371
 LAST = 64
 #: Up to so many sources (one short row each) are broadcast to the documents.
 BROADCAST_SOURCES = 100_000
-NEWTON_STEPS = 60
+#: Newton iterations at most, and the last step's length at which they end.
+NEWTON_STEPS, TOLERANCE = 60, 1e-13
 
 
 def token_counts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -44,20 +45,33 @@ def cyclic_targets(totals: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.
     return t.select("source", "source_size", F.when(F.col("capped"), F.col("most")).otherwise(common * F.col("weight")).alias("target"))
 
 
-def balanced_rates(cells: DataFrame, steps: int = NEWTON_STEPS, cap: int = CAP) -> DataFrame:
-    """cells (source, source_size, target) with rate. Of all rates that meet the token constraints, those nearest to 1 in relative entropy
-    (weighted by tokens) are exp(lambda) of the source; Newton's method finds each lambda of the convex dual
-    sum(size * exp(lambda)) - lambda * target. Documents of a source share their tilt, so a cell's token sum is all that the gradient and the
-    Hessian need: the iterations run on the cells, spread like any other rows. The dual's Newton step is lambda - 1 + target/size * exp(-lambda);
-    from above the root it only nears it, a first step from below is held to 1 at most, and 60 steps reach rates down to e**-50."""
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-
-    def step(lam: Column, _: Column) -> Column:
-        return F.greatest(lam - 1, F.least(lam + 1, lam - 1 + F.col("ratio") * F.exp(-lam)))
-
-    lam = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), step)
-    rate = F.when(F.col("ratio") > 0, F.least(F.exp(lam), F.lit(float(cap)))).otherwise(F.lit(0.0))
-    return cells.withColumn("ratio", ratio).withColumn("rate", rate).drop("ratio")
+def balanced_rates(cells: DataFrame, targets: DataFrame, steps: int = NEWTON_STEPS, cap: int = CAP) -> DataFrame:
+    """targets (source, source_size, target) with rate. Of all rates that meet the token constraints, one a source, those nearest to 1 in relative
+    entropy (weighted by tokens) tilt each document by exp(lambda) of its source. The lambdas minimise the convex dual, the sum over documents of
+    size * exp(lambda) less the sum over sources of lambda * target. Each Newton iteration is one aggregate over the cells of documents (source,
+    tokens) that gives every source its gradient and its curvature; a document is in one constraint, so the Hessian has no other entries. The
+    iterations end when each constraint is met up to TOLERANCE of its target. A first step from 0 that overshoots is held to 1, and so is each later
+    one. (With one constraint a source the minimum is known, ln(target / size): that is what tests hold the iterations against.)"""
+    tilts = written(targets.withColumn("tilt", F.lit(0.0)), "mix-tilts")
+    side = broadcast_side(tilts)
+    for _ in range(steps):
+        at = cells.alias("c").join(side(tilts.select("source", "tilt")).alias("t"), F.col("c.source").eqNullSafe(F.col("t.source")))
+        # The tilt has one value in a source, so whole tokens are summed before exp(tilt) is taken: the sum does not depend on its order.
+        now = at.groupBy("c.source", "tilt").agg(F.sum("tokens").alias("tokens")).select("source", (F.col("tokens") * F.exp("tilt")).alias("curvature"))
+        both = tilts.alias("t").join(side(now).alias("n"), F.col("t.source").eqNullSafe(F.col("n.source")))
+        newton = F.when((F.col("curvature") > 0) & (F.col("target") > 0), (F.col("target") - F.col("curvature")) / F.col("curvature")).otherwise(0.0)
+        step = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), newton))
+        moved = written(both.select("t.source", "source_size", "target", (F.col("tilt") + step).alias("tilt"), F.abs(step).alias("moved")), "mix-tilts")
+        tilts = moved.drop("moved")
+        if (moved.agg(F.max("moved")).first()[0] or 0.0) <= TOLERANCE:
+            break
+    rate = F.when((F.col("source_size") > 0) & (F.col("target") > 0), F.least(F.exp("tilt"), F.lit(float(cap)))).otherwise(F.lit(0.0))
+    return tilts.select("source", "source_size", "target", rate.alias("rate"))
+
+
+def broadcast_side(rows: DataFrame):
+    """Rows of one short line a source as a broadcast side, if there are no more sources than BROADCAST_SOURCES; else as they are."""
+    return F.broadcast if rows.count() <= BROADCAST_SOURCES else lambda side: side
 
 
 def size_bin(size: Column) -> Column:
@@ -79,8 +93,9 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), carry:
     interchangeable. Without documents the result is empty. Columns outside carry are not read."""
     rows = token_counts(docs, carry).withColumn("salt", F.coalesce(F.pmod(F.col("doc_id"), F.lit(SALTS)), F.lit(-1)).cast("int"))
     rows = written(rows.withColumn("bin", size_bin(F.col("size"))), "mix-sizes")
-    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rates = balanced_rates(cyclic_targets(totals, weights))
+    tokens = written(rows.groupBy("source", "bin").agg(F.sum("size").alias("tokens")), "mix-tokens")
+    totals = tokens.groupBy("source").agg(F.sum("tokens").alias("source_size"))
+    rates = balanced_rates(tokens, cyclic_targets(totals, weights))
     # First within (source, a sixteenth of the residues), then within the source: each time cut at LAST distinct ids before rows move, so a hot
     # source is spread and its last task sees 16 * LAST ids at most.
     key = F.struct("salt", "doc_id")
@@ -89,17 +104,21 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), carry:
     edge = edge.withColumn("n", F.dense_rank().over(Window.partitionBy("source").orderBy("key"))).filter(F.col("n") <= LAST)
     edge = edge.groupBy("source").agg(F.max("key").alias("edge"))
     rates = rates.alias("r").join(edge.alias("e"), F.col("r.source").eqNullSafe(F.col("e.source")), "left").select("r.*", "edge")
-    rates = written(rates, "mix-tilts")
-    if rates.count() <= BROADCAST_SOURCES:  # a hot source's rows then stay where they are; beyond it AQE splits the skewed join
-        rates = F.broadcast(rates)
+    rates = written(rates, "mix-rates-of")
+    rates = broadcast_side(rates)(rates)  # a hot source's rows then stay where they are; else AQE splits the skewed join
     rows = rows.alias("d").join(rates.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")))
     rows = rows.select("d.*", "source_size", "target", "rate", F.coalesce((key <= F.col("edge")) & F.col("doc_id").isNotNull() & (F.col("size") > 0), F.lit(False)).alias("aside"))
     rows = written(rows, "mix-rates")
 
     cell = ["source", "bin", "salt"]
     most = rows.filter(~F.col("aside"))
-    ahead = Window.partitionBy("source").orderBy("bin", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    cells = most.groupBy(*cell).count().withColumn("ahead", F.coalesce(F.sum("count").over(ahead), F.lit(0))).drop("count")
+    # Rows ahead of a cell: those of smaller bins, and of the same bin those of smaller residues. No window sees more than the residues of a bin or
+    # the bins of a source.
+    before = lambda by, order: F.coalesce(F.sum("count").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = written(most.groupBy(*cell).count(), "mix-cells")
+    bins = cells.groupBy("source", "bin").agg(F.sum("count").alias("count")).withColumn("below", before(["source"], "bin")).drop("count")
+    cells = cells.withColumn("ahead", before(["source", "bin"], "salt")).alias("c").join(bins.alias("b"), F.col("c.source").eqNullSafe(F.col("b.source")) & (F.col("c.bin") == F.col("b.bin")))
+    cells = cells.select("c.source", "c.bin", "c.salt", (F.col("ahead") + F.col("below")).alias("ahead"))
     most = most.withColumn("k", F.row_number().over(Window.partitionBy(*cell).orderBy(F.col("size"), F.col("doc_id"))))
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"c.{c}")) for c in cell]
     at = F.col("k") + F.col("ahead")
