@@ -55,12 +55,12 @@ def classify_color_space(spark, d):
 
 @query(f"WITH {KNOWN}, {_CAND}, {_NEAR}, f AS (SELECT cand.*, near.found IS NOT NULL AS ok FROM cand LEFT JOIN near ON near.space = cand.space AND near.c = cand.c AND near.shift = cand.shift AND near.found = 'rec709') "
        "SELECT space, c, shift, ok, CASE WHEN NOT ok THEN 'not Rec.709' END AS problem, CASE WHEN NOT ok THEN 'not Rec.709' END AS strict_problem FROM f "
-       "UNION ALL SELECT 'absent', 0, 0.0, NULL, NULL, 'no chromaticities'")
+       "UNION ALL SELECT 'absent', 0, 0.0, false, NULL, 'no chromaticities'")
 def is_rec709(spark, d):
     df = _shifted(spark)
     df = df.unionByName(spark.createDataFrame([("absent", 0, 0.0)], "space string, c int, shift double"), allowMissingColumns=True)
     xy = [F.col(x) for x in XY]
-    return df.select("space", "c", "shift", color.is_rec709(*xy).alias("ok"), color.tone_mapping_problem(*xy).alias("problem"), color.tone_mapping_problem(*xy, strict=True).alias("strict_problem"))
+    return df.select("space", "c", "shift", F.coalesce(color.is_rec709(*xy), F.lit(False)).alias("ok"), color.tone_mapping_problem(*xy).alias("problem"), color.tone_mapping_problem(*xy, strict=True).alias("strict_problem"))
 
 
 @query("SELECT * FROM (VALUES ('linear-rec709', 'display-srgb', 'linear-rec709', 'srgb'), ('linear-p3', 'display-p3', 'linear-p3', 'display-p3'), "
@@ -166,12 +166,12 @@ _SIDES = "l AS (SELECT * FROM emb WHERE image_id % 11 <> 1), m AS (SELECT image_
 _SIZES = "SELECT coalesce(l.image_id, m.image_id) AS image_id, bool_and(l.p IS NOT NULL AND m.p IS NOT NULL) AS same, max(abs(l.r::DOUBLE - m.r::DOUBLE)) AS worst FROM l FULL JOIN m ON l.image_id = m.image_id AND l.p = m.p GROUP BY 1"
 
 
-@query(f"WITH {EMB}, {_SIDES} SELECT image_id, same AS \"match\", CASE WHEN same THEN 0 END::BIGINT AS mismatched, CASE WHEN same THEN round(worst, 6) END AS max_abs, CASE WHEN same THEN 0.0::DOUBLE END AS rmse FROM ({_SIZES})")
+@query(f"WITH {EMB}, {_SIDES} SELECT image_id, same AS \"match\", CASE WHEN same THEN 0 ELSE -1 END::BIGINT AS mismatched, CASE WHEN same THEN round(worst, 6) ELSE -1 END::DOUBLE AS max_abs, CASE WHEN same THEN 0.0::DOUBLE ELSE -1 END::DOUBLE AS rmse FROM ({_SIZES})")
 def compare_sizes(spark, d):
-    """Images that lack lines on one side, or the whole image, match nothing."""
+    """Images that lack lines on one side, or the whole image, match nothing; figures that there are none of are -1."""
     px = views.embedding_pixels(spark, d).select("image_id", "p", *"rgba")
     left, right = px.filter("image_id % 11 <> 1"), px.filter("image_id % 11 <> 2 AND NOT (image_id % 7 = 0 AND p >= 12)")
-    return stats.compared(left, right).select("image_id", "match", "mismatched", "max_abs", "rmse")
+    return stats.compared(left, right).select("image_id", "match", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("mismatched", "max_abs", "rmse")))
 
 
 _WEDGE = "g AS (SELECT i AS p, i % 16 AS x, i // 16 AS y FROM (SELECT unnest(range(256))::INT AS i)), c AS (SELECT p, x/15.0::DOUBLE*0.735::DOUBLE AS cx, (1-y/15.0::DOUBLE)*0.834::DOUBLE AS cy FROM g), z AS (SELECT p, CASE WHEN cy < 1e-6 THEN 0 ELSE cx/cy*0.5 END AS r, CASE WHEN cy < 1e-6 THEN 0 ELSE 0.5 END::DOUBLE AS g, CASE WHEN cy < 1e-6 THEN 0 ELSE (1-cx-cy)/cy*0.5 END AS b FROM c)"

@@ -1,4 +1,5 @@
-"""Baseline JPEG: encoder without subsampling and with Huffman tables fitted to the picture, decoder for any sampling and for restart intervals."""
+"""JPEG: baseline encoder without subsampling and with Huffman tables fitted to the picture; baseline and progressive decoder for any sampling, any number of
+scans and restart intervals."""
 
 from __future__ import annotations
 
@@ -42,6 +43,8 @@ def segments(data: bytes):
         if marker == 0xD9:
             return
         (n,) = struct.unpack_from(">H", data, at + 2)
+        if at + 2 + n > len(data):
+            raise ImageError("damaged JPEG file")
         yield marker, data[at + 4 : at + 2 + n], at, at + 2 + n
         at += 2 + n
         if marker == 0xDA:
@@ -192,10 +195,135 @@ def _scan(raw: bytes, order, first: list, rest: list, units: int, out: list[np.n
                     break
 
 
-def decode(data: bytes) -> np.ndarray:
-    """(height, width, 3) uint8 of a baseline picture; one component is grey."""
-    quant, lookups, frame, interval = {}, {}, None, 0
+def _refined(block, lo: int, hi: int, one: int, zeros: int, get) -> int:
+    """Reads a correction bit for each coefficient from lo to hi that is not 0, as far as a 0 that zeros others come before; returns its place."""
+    k = lo
+    while k <= hi:
+        v = block[k]
+        if v:
+            if get(1) and not abs(v) & one:
+                block[k] = v + one if v > 0 else v - one
+        elif not zeros:
+            break
+        else:
+            zeros -= 1
+        k += 1
+    return k
+
+
+def _progressive(raw: bytes, order, first: dict, rest: dict, units: int, out: list[np.ndarray], at: int, lo: int, hi: int, high: int, low: int) -> None:
+    """One restart interval of a progressive scan: coefficients lo to hi, their bits from low up (high is 0) or the bit low alone."""
+    bits, held, pos, before, skip, one = 0, 0, 0, [0] * len(out), 0, 1 << low
+
+    def get(n: int) -> int:
+        nonlocal bits, held, pos
+        while held < max(n, 16):
+            bits, held, pos = bits << 64 | int.from_bytes(raw[pos : pos + 8].ljust(8, b"\xff"), "big"), held + 64, pos + 8
+        held -= n
+        v = bits >> held
+        bits &= (1 << held) - 1
+        return v
+
+    def symbol(table) -> int:
+        nonlocal bits, held
+        get(0)
+        n, s = table[bits >> (held - 16)]
+        if not n:
+            raise ImageError("damaged JPEG data")
+        held -= n
+        bits &= (1 << held) - 1
+        return s
+
+    def signed(size: int) -> int:
+        v = get(size) if size else 0
+        return v - (1 << size) + 1 if size and v < 1 << (size - 1) else v
+
+    for unit in range(at, at + units):
+        if pos > len(raw) + 16:
+            raise ImageError("the JPEG data end early")
+        for c, block_at in order:
+            block = out[c][block_at(unit)]
+            if not lo:
+                if high:
+                    block[0] |= get(1) << low
+                else:
+                    before[c] += signed(symbol(first[c]))
+                    block[0] = before[c] << low
+                continue
+            k = lo
+            while k <= hi and not skip:
+                s = symbol(rest[c])
+                run, size = s >> 4, s & 15
+                if not size and run < 15:
+                    skip = (1 << run) + (get(run) if run else 0)
+                    break
+                v = 0
+                if size:
+                    v = (one if get(1) else -one) if high else signed(size) * one
+                k = _refined(block, k, hi, one, run, get) if high else k + run
+                if v:
+                    if k > hi:
+                        raise ImageError("damaged JPEG data")
+                    block[k] = v
+                k += 1
+            if skip:
+                if high:
+                    _refined(block, k, hi, one, 64, get)
+                skip -= 1
+
+
+def _parts(data: bytes):
+    """(marker, body, entropy-coded bytes after it) of each segment; only scans have such bytes."""
+    at = 2
     for marker, body, _, end in segments(data):
+        yield marker, body, b"" if marker != 0xDA else _entropy(data, end)
+        at = end
+    while marker == 0xDA:  # segments ends with the first scan
+        at += len(_entropy(data, at))
+        while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xD9:
+            marker = data[at + 1]
+            if marker == 0xFF:
+                at += 1
+                continue
+            (n,) = struct.unpack_from(">H", data, at + 2)
+            body, at = data[at + 4 : at + 2 + n], at + 2 + n
+            if marker == 0xDA:
+                yield marker, body, _entropy(data, at)
+                break
+            yield marker, body, b""
+        else:
+            return
+
+
+def _entropy(data: bytes, at: int) -> bytes:
+    end = at
+    while True:
+        end = data.find(b"\xff", end)
+        if end < 0 or end + 1 >= len(data):
+            return data[at:]
+        if data[end + 1] and not 0xD0 <= data[end + 1] <= 0xD7:
+            return data[at:end]
+        end += 2
+
+
+def _intervals(raw: bytes, interval: int) -> list[bytes]:
+    """The bytes of each restart interval, without their stuffing."""
+    pieces, at = [], 0
+    if interval:
+        k = raw.find(b"\xff")
+        while 0 <= k < len(raw) - 1:
+            if 0xD0 <= raw[k + 1] <= 0xD7:
+                pieces.append(raw[at:k])
+                at = k + 2
+            k = raw.find(b"\xff", k + 2)
+    return [p.replace(b"\xff\0", b"\xff") for p in (*pieces, raw[at:])]
+
+
+def decode(data: bytes) -> np.ndarray:
+    """(height, width, 3) uint8 of a baseline or progressive picture in any number of scans; one component is grey."""
+    quant, lookups, frame, interval, scans, progressive = {}, {}, None, 0, 0, False
+    parts, coefs, across, down, h_max, v_max = [], [], 0, 0, 1, 1
+    for marker, body, raw in _parts(data):
         if marker == 0xDB:
             at = 0
             while at < len(body):
@@ -208,45 +336,57 @@ def decode(data: bytes) -> np.ndarray:
             while at < len(body):
                 lookups[body[at]], n = _lookup(body[at + 1 :])
                 at += 1 + n
-        elif marker in (0xC0, 0xC1):
-            frame = body
-        elif 0xC2 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-            raise ImageError("only baseline JPEG files are supported")
+        elif marker in (0xC0, 0xC1, 0xC2):
+            frame, progressive = body, marker == 0xC2
+            if frame[0] != 8:
+                raise ImageError("only JPEG files of 8 bits are supported")
+            height, width = struct.unpack_from(">HH", frame, 1)
+            parts = [(frame[6 + 3 * k], frame[7 + 3 * k] >> 4, frame[7 + 3 * k] & 15, frame[8 + 3 * k]) for k in range(frame[5])]
+            if not height or not width or not all(h and v for _, h, v, _ in parts):
+                raise ImageError("invalid image dimensions")
+            h_max, v_max = max(p[1] for p in parts), max(p[2] for p in parts)
+            across, down = -(-width // (8 * h_max)), -(-height // (8 * v_max))
+            coefs = [np.zeros((across * down * h * v, 64), np.int64) for _, h, v, _ in parts]
+        elif 0xC3 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
+            raise ImageError("only baseline and progressive JPEG files are supported")
         elif marker == 0xDD:
             (interval,) = struct.unpack(">H", body)
         elif marker == 0xDA:
-            break
-    else:
+            if frame is None:
+                raise ImageError("the JPEG file has a scan before its frame")
+            names = [p[0] for p in parts]
+            used = [(names.index(body[1 + 2 * k]), body[2 + 2 * k]) for k in range(body[0])]
+            first = {c: lookups.get(t >> 4) for c, t in used}
+            rest = {c: lookups.get(16 | t & 15) for c, t in used}
+            order, units = [], across * down
+            for c, _ in used:
+                _, h, v, _ = parts[c]
+                if len(used) == 1:  # a component alone is stored block by block, without those that only fill up units
+                    wide = -(-(-(-width * h // h_max)) // 8)
+                    units = wide * -(-(-(-height * v // v_max)) // 8)
+                    order.append((c, lambda unit, wide=wide, h=h: unit // wide * across * h + unit % wide))
+                    continue
+                for y in range(v):
+                    for x in range(h):
+                        order.append((c, lambda unit, x=x, y=y, h=h, v=v: ((unit // across) * v + y) * across * h + (unit % across) * h + x))
+            lo, hi, bit = body[1 + 2 * body[0] : 4 + 2 * body[0]]
+            if progressive and (hi > 63 or lo > hi or (hi and not lo) or (lo and len(used) > 1)):
+                raise ImageError("damaged JPEG file")
+            if (lo == 0 and not bit >> 4 and None in first.values()) or (hi and (lo or not progressive) and None in rest.values()):
+                raise ImageError("the JPEG file lacks a code table")
+            done = 0
+            for piece in _intervals(raw, interval):
+                n = min(interval or units, units - done)
+                if progressive:
+                    _progressive(piece, order, first, rest, n, coefs, done, lo, hi, bit >> 4, bit & 15)
+                else:
+                    _scan(piece, order, first, rest, n, coefs, done)
+                done += n
+            if done < units:
+                raise ImageError("the JPEG data end early")
+            scans += 1
+    if not scans:
         raise ImageError("the JPEG file has no scan")
-    if frame is None or frame[0] != 8 or body[0] != frame[5]:
-        raise ImageError("only baseline JPEG files in one scan are supported")
-    height, width = struct.unpack_from(">HH", frame, 1)
-    parts = [(frame[6 + 3 * k], frame[7 + 3 * k] >> 4, frame[7 + 3 * k] & 15, frame[8 + 3 * k]) for k in range(frame[5])]
-    use = {body[1 + 2 * k]: body[2 + 2 * k] for k in range(body[0])}
-    h_max, v_max = max(p[1] for p in parts), max(p[2] for p in parts)
-    across, down = -(-width // (8 * h_max)), -(-height // (8 * v_max))
-    first, rest, order, coefs = [], [], [], []
-    for c, (name, h, v, _) in enumerate(parts):
-        first.append(lookups[use[name] >> 4])
-        rest.append(lookups[16 | use[name] & 15])
-        coefs.append(np.zeros((across * down * h * v, 64), np.int64))
-        for y in range(v):
-            for x in range(h):
-                order.append((c, lambda unit, x=x, y=y, h=h, v=v: ((unit // across) * v + y) * across * h + (unit % across) * h + x))
-    stop = data.find(EOI, end)
-    raw, pieces, at = data[end : stop if stop >= 0 else len(data)], [], 0
-    for k in range(len(raw) - 1) if interval else ():
-        if raw[k] == 0xFF and 0xD0 <= raw[k + 1] <= 0xD7:
-            pieces.append(raw[at:k])
-            at = k + 2
-    pieces.append(raw[at:])
-    each, done = interval or across * down, 0
-    for piece in pieces:
-        units = min(each, across * down - done)
-        _scan(piece.replace(b"\xff\0", b"\xff"), order, first, rest, units, coefs, done)
-        done += units
-    if done < across * down:
-        raise ImageError("the JPEG data end early")
     planes = []
     for (_, h, v, t), c in zip(parts, coefs, strict=True):
         plain = np.zeros((len(c), 64))

@@ -163,6 +163,35 @@ def test_jpeg_noise_and_errors():
             jpeg.decode(bad)
 
 
+def by_jvm(spark, px, quality, progressive):
+    """The JVM's encoder: chroma at half size, progressive files in ten scans."""
+    j = spark._jvm
+    img = j.javax.imageio.ImageIO.read(j.java.io.ByteArrayInputStream(png.write(px.shape[1], px.shape[0], px)))
+    writer = j.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
+    param = writer.getDefaultWriteParam()
+    param.setCompressionMode(2)
+    param.setCompressionQuality(quality)
+    param.setProgressiveMode(1 if progressive else 0)
+    out = j.java.io.ByteArrayOutputStream()
+    writer.setOutput(j.javax.imageio.ImageIO.createImageOutputStream(out))
+    writer.write(None, j.javax.imageio.IIOImage(img, None, None), param)
+    writer.getOutput().flush()
+    return bytes(out.toByteArray())
+
+
+@pytest.mark.parametrize("size", [(1, 1), (17, 33), (64, 40), (50, 23)])
+@pytest.mark.parametrize("quality", [0.3, 0.95])
+def test_progressive_jpeg(spark, size, quality):
+    """The same coefficients in one scan and in many make the same picture."""
+    y, x = np.mgrid[: size[1], : size[0]]
+    px = np.stack([x * 5 % 256, (y * 7 + x) % 256, R.integers(0, 256, x.shape)], axis=-1).astype(np.uint8)
+    one, many = (by_jvm(spark, px, quality, p) for p in (False, True))
+    assert b"\xff\xc2" in many and many.count(b"\xff\xda") > 3 and b"\xff\xc2" not in one[:400]
+    assert (jpeg.decode(one) == jpeg.decode(many)).all()
+    with pytest.raises(rgbe.ImageError):
+        jpeg.decode(many[: many.index(b"\xff\xda")])
+
+
 @pytest.mark.parametrize("kind", ["ultrahdr", "adobe-gainmap"])
 def test_gain_map_container(kind):
     px = R.integers(0, 256, (16, 16, 3)).astype(np.uint8)
