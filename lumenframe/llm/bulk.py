@@ -64,6 +64,18 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+def prefix_sums(symbols: np.ndarray) -> np.ndarray:
+    """For span_hashes: sums of symbols, each times its power of BASE, modulo 2**64."""
+    total = np.zeros(len(symbols) + 1, U)
+    np.cumsum(symbols * powers(len(symbols) + 1)[0][:-1], out=total[1:])
+    return total
+
+
+def span_hashes(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the symbols from starts to ends, by prefix_sums; they depend on the symbols and their number alone."""
+    return mix((total[ends] - total[starts]) * powers(len(total))[1][starts] + (ends - starts).astype(U))
+
+
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all [^\\x20\\x09-\\x0D]+ words: 64-bit hashes, byte starts and ends, and the offsets of the rows' words. lower folds A-Z first."""
     n = len(data)
@@ -83,10 +95,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[n
     ends = np.flatnonzero(inside & (after | edge[1:])) + 1
     if lower:
         data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-    up, down = powers(n + 1)
-    total = np.zeros(n + 1, U)
-    np.cumsum(BYTE[data] * up[:-1], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
+    hashes = span_hashes(prefix_sums(BYTE[data]), starts, ends)
     return hashes, starts, ends, np.searchsorted(starts, offsets).astype(np.int64)
 
 
@@ -164,5 +173,6 @@ def ranges(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
     total = int(counts.sum())
     if not total:
         return np.zeros(0, np.int64)
-    starts = np.cumsum(counts) - counts
-    return np.arange(total) - np.repeat(starts, counts) + np.repeat(first, counts)
+    out = np.repeat(first - (np.cumsum(counts) - counts), counts)
+    out += np.arange(total)
+    return out

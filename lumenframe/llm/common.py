@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 #: Largest side, by the optimizer's own estimate or by a measured sum, that may be broadcast.
 BROADCAST_BYTES = 32 << 20
 
+#: Groups of a grouped table that are counted on at least, and its files, at most.
+LEAST_GROUPS, MOST_FILES = 8, 20_000
+#: (path, table or None) of what is written on the way.
+MADE: list[tuple[str, str | None]] = []
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Separators of the item and licence tokenisers, for already lower-cased text.
@@ -38,26 +43,49 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    MADE.append((at, None))
     return spark.read.schema(df.schema).parquet(at)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; for a plain Parquet scan the size of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def grouped(df: DataFrame, key: str, tag: str, mb: float) -> tuple[DataFrame, int]:
+    """df (with a column text) written once to the shared folder with column key, a group of about mb megabytes of text: neighbouring rows of a partition,
+    so nothing is shuffled. Later joins and cogroups on key move only their other side. A file holds several groups, in order, where there are many.
+    Returns the table and the number of groups."""
+    spark = df.sparkSession
+    most = int(mb * (1 << 20))
+    size = df.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    files = min(max(LEAST_GROUPS, -(-size // most)), MOST_FILES)
 
+    def dealt(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
 
-def bucketed(df: DataFrame, key: str, tag: str, mb: int = 16) -> tuple[DataFrame, int]:
-    """df written once as a table bucketed by column key (an int below the bucket count), so that later joins and cogroups on key move only
-    their other side. The bucket count follows the input's size. Returns the table and the count; key is added as a hash of all columns."""
-    spark = df.sparkSession
-    size = plan_bytes(df)
-    if size >= 1 << 60:  # not a file scan, so no estimate: measure the texts
-        size = (df.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2
-    n = max(8, -(-size // (mb << 20)))
+        first, filled = TaskContext.get().partitionId() << 24, 0
+        for batch in batches:
+            ends = filled + np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            yield batch.append_column(key, pa.array(first + ends // most))
+            filled = int(ends[-1]) if len(ends) else filled
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{key}` long"
     name = f"{tag}_{uuid.uuid4().hex}"
-    keyed = df.withColumn(key, F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int"))
-    keyed.repartition(n, key).write.bucketBy(n, key).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name), n
+    at = f"{shared_dir(spark)}/{name}"
+    df.mapInArrow(trimmed(dealt), schema).write.bucketBy(files, key).sortBy(key).option("compression", "zstd").option("path", at).saveAsTable(name)
+    MADE.append((at, name))
+    table = spark.table(name)
+    return table, max(LEAST_GROUPS, table.select(key).distinct().count())
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes what operators of this process have written to the shared folder on the way, all of it or what came after len(MADE) was since. Their
+    results are read from it, so call this when those are written or no longer needed."""
+    while len(MADE) > since:
+        at, name = MADE.pop()
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold_ascii(text: Column) -> Column:
@@ -79,12 +107,9 @@ def gram_hash(words: str, at: Column, n: int) -> Column:
     return F.xxhash64(*(F.get(F.col(words), at + i) for i in range(n)))
 
 
-def found_grams(docs: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFrame:
-    """Where word n-grams stand in documents, in one pass and without moving a document.
-
-    docs: doc_id, text. grams: sid, gram (words joined by a space), n (its words), h (gram_hash); the caller has checked its size, it is
-    broadcast. Returns doc_id, th (a hash of the text: with doc_id it names a row), n_words and p, sid: one row with p = -1 and no sid for each
-    document, and one for each place. Equal hashes are held against the words themselves."""
+def word_places(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """docs (doc_id, text) as doc_id, th (a hash of the text: with doc_id it names a row), words, n_words, p, n, h: one row with p = -1 and no h for each
+    document, and one for each place p and each n of sizes, with the hash of the n words there (null where fewer are left)."""
     rows = with_words(docs.select("doc_id", "text")).withColumn("th", F.xxhash64("text")).drop("text")
     rows = rows.withColumn("n_words", F.size("words"))
     rows = rows.withColumn("p", F.explode(F.sequence(F.lit(-1), F.col("n_words") - 1)))
@@ -94,10 +119,22 @@ def found_grams(docs: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFram
         each = F.array(*(F.struct(F.lit(n).alias("n"), gram_hash("words", F.col("p"), n).alias("h")) for n in sizes))
         rows = rows.withColumn("x", F.explode(F.when(F.col("p") >= 0, each).otherwise(F.slice(each, 1, 1))))
         rows = rows.withColumn("n", F.col("x.n")).withColumn("h", F.col("x.h")).drop("x")
-    h = F.when((F.col("p") >= 0) & (F.col("p") + F.col("n") <= F.col("n_words")), F.col("h"))
+    return rows.withColumn("h", F.when((F.col("p") >= 0) & (F.col("p") + F.col("n") <= F.col("n_words")), F.col("h")))
+
+
+def words_at(start: Column, n: Column) -> Column:
+    return F.concat_ws(" ", F.slice("words", F.greatest(start + 1, F.lit(1)), n))
+
+
+def found_grams(docs: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFrame:
+    """Where word n-grams stand in documents, in one pass and without moving a document.
+
+    docs: doc_id, text. grams: sid, gram (words joined by a space), n (its words), h (gram_hash); the caller has checked its size, it is
+    broadcast. Returns doc_id, th, n_words and p, sid: one row with p = -1 and no sid for each document, and one for each place. Equal hashes are
+    held against the words themselves."""
     g = F.broadcast(grams.select("sid", "gram", F.col("n").alias("gn"), F.col("h").alias("gh")))
-    rows = rows.withColumn("h", h).join(g, F.col("h") == F.col("gh"), "left")
-    same = (F.col("n") == F.col("gn")) & (F.concat_ws(" ", F.slice("words", F.greatest(F.col("p") + 1, F.lit(1)), F.col("n"))) == F.col("gram"))
+    rows = word_places(docs, sizes).join(g, F.col("h") == F.col("gh"), "left")
+    same = (F.col("n") == F.col("gn")) & (words_at(F.col("p"), F.col("n")) == F.col("gram"))
     return rows.filter((F.col("p") == -1) | same).select("doc_id", "th", "n_words", "p", "sid")
 
 

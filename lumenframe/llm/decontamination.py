@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, found_grams, gram_hash, with_words, written
+from .common import BROADCAST_BYTES, found_grams, gram_hash, with_words, word_places, words_at, written
 
 WINDOW = 10
 #: Words of a shingle; a shorter window is one shingle of its own length.
@@ -23,46 +23,49 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHIN
     return rows.select("wid", "item_id", "n", "off", F.concat_ws(" ", F.slice("w", F.col("off") + 1, F.col("gn"))).alias("gram"), "gn", h.alias("h"))
 
 
+def _in_blocks(table: DataFrame, weight, found, shingle: int, sizes: str = "n") -> DataFrame:
+    """found(part of table, its shingle sizes) for parts whose summed weight keeps the broadcast bound; rows for whole documents come from the first."""
+    size = table.agg(F.sum(weight).alias("b"), F.sort_array(F.collect_set(sizes)).alias("n")).first()
+    blocks, out = max(1, -(-(size["b"] or 0) // BROADCAST_BYTES)), None
+    for k in range(blocks):
+        part = found(table.filter(F.pmod("h", F.lit(blocks)) == k) if blocks > 1 else table, size["n"] or [shingle])
+        part = part.filter("p >= 0") if k and "p" in part.columns else part
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_words, n_hit, items (ids of the items whose windows occur, sorted as strings), spans (start, end of hit words, merged), one row
     for each input row.
 
-    A window is a set of positioned shingles, and containment must be whole, so one shingle is a long enough prefix: the rarest one by its count
-    over all documents. One pass over the documents finds all places of all shingles of the benchmark. Places of a window's prefix shingle
-    propose a start; the length bound asks that the window fits the document, the positional bound that every other shingle stands at its own
-    offset, which is the exact check at the same time, since places were matched word by word.
+    A window is a set of positioned shingles. They are ordered by rarity, that is by their places in all documents, which a first pass counts.
+    Containment must be whole, so the rarest shingle alone is a long enough prefix, and a window that has a shingle without places cannot occur. A second
+    pass looks up the prefix shingles only: a place proposes a start of the window, the positional bound asks that it lies in the document, the length
+    bound that the window fits, and the words there are held against the window itself, as long as the item's window is.
 
-    The shingles are broadcast; the benchmark's size is measured first, and a larger one is taken in blocks that each keep the bound, one pass
-    over the documents each. Nulls: a null text has no words; items without words have no windows; a null item_id counts for hits only. A
-    repeated row gets the same answer again. Empty tables give no rows, or documents without hits. Other columns are not read."""
+    Shingles and prefixes are broadcast after their size is measured; larger ones are taken in blocks that each keep the bound, one pass over the documents
+    each. Nulls: a null or empty text has no words; items without words have no windows; a null item_id counts for hits but names no item. Texts are
+    read whole, whatever their length. A repeated row gets the same answer again. Empty tables give no rows, or documents without hits. Columns other
+    than doc_id (item_id) and text are not read."""
     windows = written(item_windows(benchmark, window, shingle), "decon-windows")
     grams = windows.select("gram", F.col("gn").alias("n"), "h").distinct().withColumn("sid", F.monotonically_increasing_id())
     grams = written(grams, "decon-grams")
-    size = grams.agg(F.sum(F.octet_length("gram") + 64).alias("b"), F.sort_array(F.collect_set("n")).alias("n")).first()
-    blocks = max(1, -(-(size["b"] or 0) // BROADCAST_BYTES))
-    places = None
-    for k in range(blocks):
-        part = found_grams(docs, grams.filter(F.pmod("h", F.lit(blocks)) == k) if blocks > 1 else grams, size["n"] or [shingle])
-        part = part if k == 0 else part.filter(F.col("p") >= 0)
-        places = part if places is None else places.unionByName(part)
-    places = written(places, "decon-places")
-    rows, found = places.filter("p = -1").select("doc_id", "th", "n_words"), places.filter("p >= 0").distinct()
-
-    counts = found.groupBy("sid").count()
-    ws = windows.select("wid", "n", "off", "gram").distinct().join(grams.select("gram", "sid"), "gram").drop("gram")
-    ws = ws.join(counts, "sid", "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    each = ws.groupBy("wid", "n").agg(F.min(F.struct("count", "off", "sid")).alias("rarest"), F.count("*").alias("shingles"))
-    each = written(each.filter("rarest.count > 0").withColumn("w", F.monotonically_increasing_id()), "decon-prefixes")
-    prefix = each.select("w", "n", "shingles", F.col("rarest.off").alias("off"), F.col("rarest.sid").alias("sid"))
-    start = found.join(prefix, "sid").withColumn("start", F.col("p") - F.col("off"))
-    start = start.filter((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("n_words")))
-    rest = ws.join(each.select("wid", "n", "w"), ["wid", "n"]).select("w", "off", "sid")
-    due = start.select("doc_id", "th", "start", "w", "n", "shingles").join(rest, "w").withColumn("p", F.col("start") + F.col("off"))
-    there = found.select("doc_id", "th", "p", "sid").alias("f")
-    due = due.alias("d").join(there, F.col("d.p").eqNullSafe(F.col("f.p")) & F.col("d.sid").eqNullSafe(F.col("f.sid"))
-                              & F.col("d.th").eqNullSafe(F.col("f.th")) & F.col("d.doc_id").eqNullSafe(F.col("f.doc_id"))).select("d.*")
-    hits = due.groupBy("doc_id", "th", "start", "w", "n", "shingles").count().filter(F.col("count") == F.col("shingles"))
-    hits = written(hits.select("doc_id", "th", "start", "n", "w"), "decon-hits")
+    counts = written(_in_blocks(grams, F.octet_length("gram") + 64, lambda part, sizes: found_grams(docs, part, sizes).filter("p >= 0").groupBy("sid").count(), shingle), "decon-counts")
+
+    ws = windows.select("wid", "n", "off", "gram", "gn", "h").distinct().join(grams.select("gram", "sid"), "gram").drop("gram").join(counts, "sid", "left")
+    each = ws.groupBy("wid", "n").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "off", "gn", "h")).alias("rarest")).filter("rarest.count > 0")
+    each = written(each.select("wid", "n", F.col("rarest.off").alias("off"), F.col("rarest.gn").alias("gn"), F.col("rarest.h").alias("h"), F.monotonically_increasing_id().alias("w")), "decon-prefixes")
+
+    def contained(part: DataFrame, sizes: list[int]) -> DataFrame:
+        g = F.broadcast(part.select("w", "wid", F.col("n").alias("wn"), "off", "gn", F.col("h").alias("gh")))
+        places = word_places(docs, sizes).join(g, F.col("h") == F.col("gh"), "left").withColumn("start", F.col("p") - F.col("off"))
+        bound = (F.col("n") == F.col("gn")) & (F.col("start") >= 0) & (F.col("start") + F.col("wn") <= F.col("n_words"))
+        places = places.filter((F.col("p") == -1) | (bound & (words_at(F.col("start"), F.col("wn")) == F.col("wid"))))
+        return places.select("doc_id", "th", "n_words", "p", "start", F.col("wn").alias("n"), "w")
+
+    places = written(_in_blocks(each, F.octet_length("wid") + 96, contained, shingle, "gn"), "decon-places")
+    rows, hits = places.filter("p = -1").select("doc_id", "th", "n_words"), places.filter("p >= 0").select("doc_id", "th", "start", "n", "w").distinct()
+    hits = written(hits, "decon-hits")
 
     key = ["doc_id", "th"]
     reach = Window.partitionBy(*key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)

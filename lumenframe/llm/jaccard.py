@@ -14,17 +14,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bulk
-from .common import bucketed, trimmed, written
+from .common import grouped, trimmed, written
 from .components import roots
-from .spans import _ids, _one, _two, pack, unpack
+from .spans import GROUP_MB, _ids, _one, _two, pack, unpack
 
 #: Counters of shingle frequencies; a shingle's level says how often its counter exceeds the mean, in half powers of two.
 COUNTERS = 1 << 21
 SLICES = 64
 #: Prefix tokens, or sets, that one shard of a shuffle gathers on average.
 SHARD_TOKENS, SHARD_SETS = 100_000, 500
-#: A group with more members is split into equal parts, each a group of its own.
-MOST_MEMBERS = 4_000
+#: A group with more members, or more tokens in their sets, is split into equal parts, each a group of its own.
+MOST_MEMBERS, MOST_TOKENS = 4_000, 4_000_000
+#: Hot tokens, at most, whose list is broadcast; beyond it documents and list meet by token.
+MOST_HOT = 1_000_000
+#: The documents of a token that more of them have in their prefix are dealt to several shards.
+HOT_TOKEN = 2_000
 LEVEL_BITS = 5
 #: Prefixes are longer than need be by this share of the set, and linked pairs share as many tokens more.
 EXTRA = 0.03
@@ -56,8 +60,8 @@ class JaccardJoin:
         size = COUNTERS // SLICES
         yield pa.RecordBatch.from_pydict({"k": pa.array(range(SLICES), pa.int32()), "data": pa.array([pack(c=counts[k * size : (k + 1) * size].astype(np.int32)) for k in range(SLICES)], pa.binary())})
 
-    def levels(self, table: DataFrame) -> np.ndarray:
-        """The level of each counter, from all documents: as many bytes as counters, whatever the input."""
+    def levels(self, table: DataFrame) -> tuple[np.ndarray, int]:
+        """The level of each counter, from all documents: as many bytes as counters, whatever the input; and the least level of which a token can be hot."""
 
         def total(t: pa.Table) -> pa.Table:
             return pa.table({"k": t["k"][:1], "data": pa.array([pack(c=sum(unpack(x)["c"].astype(np.int64) for x in t["data"].to_pylist()))], pa.binary())})
@@ -67,7 +71,8 @@ class JaccardJoin:
         size = COUNTERS // SLICES
         for r in got:
             counts[r["k"] * size : (r["k"] + 1) * size] = unpack(bytes(r["data"]))["c"]
-        return np.clip(2 * np.log2(np.maximum(counts, 1) / max(1.0, counts.mean())), 0, (1 << LEVEL_BITS) - 1).astype(np.uint8)
+        level = lambda n: np.clip(2 * np.log2(np.maximum(n, 1) / max(1.0, counts.mean())), 0, (1 << LEVEL_BITS) - 1).astype(np.uint8)
+        return level(counts), int(level(HOT_TOKEN))
 
     def sets(self, column, levels: np.ndarray):
         """(first row, last row, tokens, rows): distinct tokens of each row in the order of rarity. A token is the shingle's level and hash."""
@@ -116,31 +121,34 @@ class JaccardJoin:
         return pa.table({"q": pa.array(pairs[:, 0]), "leader": pa.array(pairs[:, 1]), "n": pa.array(n.astype(np.int64)), "need": pa.array(need)})
 
     def candidates(self, table: pa.Table) -> pa.Table:
-        """g, q, n, need: how many of one shard's tokens (token, rid, size, g, gn) document q shares with the union of group g, and how many it must share
-        over all shards to be linked with a member. Of two groups the one of fewer members (gn) asks, so a document alone asks a large group once and
-        not each of its members the document."""
-        token, rid, size, g, gn = (table[c].to_numpy() for c in ("token", "rid", "size", "g", "gn"))
+        """g, q, size, n, need: how many of one shard's tokens (token, rid, size, high, g, gn) document q shares with the union of group g, and how many it must
+        share over all shards to be linked with a member. Of two groups the one of fewer members (gn) asks, so a document alone asks a large group
+        once and not each of its members the document. Rows without a document (rid -1) are groups that hold a hot token, with their least and
+        largest size there; the documents of such a token are dealt to several shards, each of which has all its groups."""
+        token, rid, size, high, g, gn = (table[c].to_numpy() for c in ("token", "rid", "size", "high", "g", "gn"))
         order = np.lexsort((g, token))
-        token, rid, size, g, gn = (x[order].astype(np.int64) for x in (token, rid, size, g, gn))
+        token, rid, size, high, g, gn = (x[order].astype(np.int64) for x in (token, rid, size, high, g, gn))
         run = np.cumsum(np.concatenate([[True], token[1:] != token[:-1]])) - 1
         keep = np.bincount(run)[run] > 1
-        token, rid, size, g, gn = (x[keep] for x in (token, rid, size, g, gn))
+        token, rid, size, high, g, gn = (x[keep] for x in (token, rid, size, high, g, gn))
+        names = ("g", "q", "size", "n", "need")
         if not len(token):
-            return pa.table({c: pa.array([], pa.int64()) for c in ("g", "q", "n", "need")})
+            return pa.table({c: pa.array([], pa.int64()) for c in names})
         new = np.concatenate([[True], token[1:] != token[:-1]])
         run = np.cumsum(new) - 1
         # The groups of each run and their least and largest size there.
         head = np.flatnonzero(new | np.concatenate([[True], g[1:] != g[:-1]]))
-        low, high = np.minimum.reduceat(size, head), np.maximum.reduceat(size, head)
+        low, high = np.minimum.reduceat(size, head), np.maximum.reduceat(high, head)
         groups_of = np.bincount(run[head])
         first_group = np.cumsum(groups_of) - groups_of
-        out, p = [], self.percent
-        n_each = groups_of[run]
+        out, p = [np.zeros((0, 4), np.int64)], self.percent
+        askers = np.flatnonzero(rid >= 0)
+        n_each = groups_of[run[askers]]
         blocks = np.cumsum(n_each) // 2_000_000
         for k in np.unique(blocks):
-            e = np.flatnonzero(blocks == k)
-            q = np.repeat(e, n_each[e])
-            h = bulk.ranges(first_group[run[e]], n_each[e])
+            e, each = askers[blocks == k], n_each[blocks == k]
+            q = np.repeat(e, each)
+            h = bulk.ranges(first_group[run[e]], each)
             # The order of two groups is the same at every token, so all tokens of a pair are counted on one side. Members of a group are compared there.
             there, here = head[h], q
             ok = (gn[there] > gn[here]) | ((gn[there] == gn[here]) & (g[there] > g[here]))
@@ -149,7 +157,14 @@ class JaccardJoin:
             out.append(np.column_stack([pairs, n]))
         out = np.concatenate(out)
         need = 1 + (EXTRA * ceil_share(p, out[:, 2])).astype(np.int64)
-        return pa.table({"g": pa.array(out[:, 0]), "q": pa.array(out[:, 1]), "n": pa.array(out[:, 3]), "need": pa.array(need)})
+        return pa.table([pa.array(np.ascontiguousarray(x)) for x in (out[:, 0], out[:, 1], out[:, 2], out[:, 3], need)], names=names)
+
+    @staticmethod
+    def salted(tokens: DataFrame, hot: DataFrame, shards: int, *columns: str) -> DataFrame:
+        """s, token and columns of prefix tokens. The documents of a hot token are dealt to its parts, each a token of its own from here on."""
+        t = tokens.join(hot, "token", "left")
+        t = t.withColumn("token", F.when(F.col("parts").isNull(), F.col("token")).otherwise(F.xxhash64("token", F.pmod(F.xxhash64("rid"), F.col("parts")))))
+        return t.select(F.pmod(F.xxhash64("token"), F.lit(shards)).cast("int").alias("s"), "token", *columns)
 
     def fetched(self, levels: np.ndarray):
         """s, rid, gs, members, tokens of the wanted documents (s, th, doc_id, rid, gs, members) of one bucket."""
@@ -222,21 +237,28 @@ class JaccardJoin:
 
     def run(self, docs: DataFrame, tag: str) -> DataFrame:
         """doc_id, size (of the shingle set), component_id: the smallest doc_id reachable by links, one row for each input row. Documents without
-        words link with nothing. Equal sets are one node from the start; a null doc_id counts as larger than any other and, alone, stays null."""
+        words (null, empty or blank texts) link with nothing. Equal sets are one node from the start, so repeated rows and exact copies cost no comparison;
+        a null doc_id counts as larger than any other and, alone, stays null. Texts are taken whole, whatever their length; an empty table gives no
+        rows; columns other than doc_id and text are not read."""
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("th", F.xxhash64("text"))
-        table, _ = bucketed(rows, "b", tag, mb=4)
-        levels = self.levels(table)
-        schema = "doc_id long, th long, b int, size long, s1 long, s2 long, prefix array<long>"
+        table, _ = grouped(rows, "b", tag, GROUP_MB)
+        levels, warm = self.levels(table)
+        schema = "doc_id long, th long, b long, size long, s1 long, s2 long, prefix array<long>"
         signed = written(table.select("doc_id", "th", "b", "text").mapInArrow(trimmed(self.signed(levels)), schema), f"{tag}-sets")
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "b", "prefix")).alias("x")
         nodes = signed.filter("size > 0").groupBy("size", "s1", "s2").agg(first).select("size", "s1", "s2", "x.doc_id", "x.th", "x.b", "x.prefix")
         like = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / self.percent)))
         nodes = written(nodes.withColumn("rid", F.monotonically_increasing_id()).withColumn("like", like), f"{tag}-nodes")
         n = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
-        shard = F.pmod(F.xxhash64("token"), F.lit(1 + n // SHARD_TOKENS)).cast("int").alias("s")
+        shards = 1 + n // SHARD_TOKENS
         # Groups: each set follows the leader with which it shares the most tokens, if they could be linked by that, else it leads itself.
-        tokens = nodes.select("rid", "size", "like", F.explode("prefix").alias("token")).select("*", shard)
-        lead = tokens.groupBy("s").applyInArrow(_one(self.leaders), "q long, leader long, n long, need long")
+        tokens = nodes.select("rid", "size", "like", F.explode("prefix").alias("token"))
+        often = tokens.filter(F.shiftrightunsigned("token", 63 - LEVEL_BITS) >= warm).groupBy("token").count().filter(F.col("count") > HOT_TOKEN)
+        # Powers of two, so that the documents of two hot tokens are dealt alike and mostly meet the same leaders.
+        hot = written(often.select("token", F.pow(F.lit(2.0), F.ceil(F.log2(F.col("count") / HOT_TOKEN))).cast("long").alias("parts")), f"{tag}-hot")
+        if hot.count() <= MOST_HOT:
+            hot = F.broadcast(hot)
+        lead = self.salted(tokens, hot, shards, "rid", "size", "like").groupBy("s").applyInArrow(_one(self.leaders), "q long, leader long, n long, need long")
         lead = lead.groupBy("q", "leader").agg(F.sum("n").alias("n"), F.max("need").alias("need")).filter("n >= need")
         lead = written(lead, f"{tag}-met")
         alive = lead.filter("leader < 0").select("q", F.lit(True).alias("alive"))
@@ -247,19 +269,25 @@ class JaccardJoin:
         above = groups.select(F.col("rid").alias("leader"), F.col("leader").alias("above")).filter("leader != above")
         groups = groups.join(above, "leader", "left").select("rid", F.coalesce("above", "leader").alias("leader"), "alive")
         groups = written(groups, f"{tag}-leaders")
-        many = groups.groupBy("leader").count().filter(F.col("count") > MOST_MEMBERS).withColumn("parts", F.ceil(F.col("count") / MOST_MEMBERS))
+        weight = groups.join(nodes.select("rid", "size"), "rid").groupBy("leader").agg(F.greatest(F.count("*") / MOST_MEMBERS, F.sum("size") / MOST_TOKENS).alias("weight"))
+        many = weight.filter("weight > 1").select("leader", F.ceil("weight").alias("parts"))
         part = F.pmod(F.xxhash64("rid"), F.coalesce("parts", F.lit(1)))
         groups = groups.join(many, "leader", "left").select("rid", "alive", F.xxhash64("leader", part).alias("g"))
         groups = written(groups, f"{tag}-parts")
         groups = groups.join(groups.groupBy("g").agg(F.count("*").alias("gn")), "g")
         nodes = written(nodes.join(groups, "rid"), f"{tag}-grouped")
         # Documents that meet too few tokens anywhere can link with nobody: they are done.
-        tokens = nodes.filter("alive").select("rid", "size", "g", "gn", F.explode("prefix").alias("token")).select("*", shard)
-        found = tokens.groupBy("s").applyInArrow(_one(self.candidates), "g long, q long, n long, need long")
-        found = found.groupBy("g", "q").agg(F.sum("n").alias("n"), F.max("need").alias("need")).filter("n >= need").select("g", "q")
+        tokens = nodes.filter("alive").select("rid", "size", F.col("size").alias("high"), "g", "gn", F.explode("prefix").alias("token"))
+        columns = ("rid", "size", "high", "g", "gn")
+        holders = tokens.join(hot, "token").groupBy("token", "parts", "g").agg(F.min("size").alias("size"), F.max("size").alias("high"), F.max("gn").alias("gn"))
+        holders = holders.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumn("token", F.xxhash64("token", "part"))
+        holders = holders.select(F.pmod(F.xxhash64("token"), F.lit(shards)).cast("int").alias("s"), "token", F.lit(-1).cast("long").alias("rid"), *columns[1:])
+        asks = self.salted(tokens, hot, shards, *columns).unionByName(holders)
+        found = asks.groupBy("s").applyInArrow(_one(self.candidates), "g long, q long, size long, n long, need long")
+        found = found.groupBy("g", "q").agg(F.max("size").alias("size"), F.sum("n").alias("n"), F.max("need").alias("need")).filter("n >= need").select("g", "q", "size")
         found = written(found, f"{tag}-candidates")
         # A group that many ask is opened several times, each time for an equal part of the askers.
-        asked = found.groupBy("g").agg(F.ceil(F.count("*") / MOST_MEMBERS).alias("times"))
+        asked = found.groupBy("g").agg(F.ceil(F.greatest(F.count("*") / MOST_MEMBERS, F.sum("size") / MOST_TOKENS)).alias("times"))
         once = F.coalesce("times", F.lit(1))
         members = nodes.select("g", "gn", F.col("rid").alias("q")).join(asked, "g", "left").filter("gn > 1 OR times IS NOT NULL")
         members = members.withColumn("time", F.explode(F.sequence(F.lit(0).cast("long"), once.cast("long") - 1)))

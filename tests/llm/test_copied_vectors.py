@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumenframe.llm import neighbours
 
@@ -42,3 +43,41 @@ def test_one_key_is_dealt_out(spark):
 def test_few_vectors_are_all_searched(spark):
     r = np.random.default_rng(4)
     assert (recall(spark, np.arange(30), r.normal(size=(30, 64)).astype(np.float32)) == 1).all()
+
+
+SCHEMA = "vec_id long, embedding array<float>"
+
+
+def test_ties_repeats_clashes_and_nothing(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(50, 6)).astype(np.float32)
+    x[20:40] = x[20]  # ties go to the smaller vec_id
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(7, x[7].tolist())] * 3 + [(None, x[0].tolist()), (60, []), (80, [1.0, None, 0.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("block", F.lit("clash")).withColumn("v", F.lit(1)).withColumn("score", F.lit(None).cast("string"))
+    got = defaultdict(list)
+    for q in neighbours.nearest(df, lambda i: i % 20 == 0, 5).collect():
+        got[q.query_id].append((q["rank"], q.vec_id, q.score))
+    y = x.astype(float)
+    assert sorted(got) == [0, 20, 40]
+    for q, found in got.items():
+        s = (y * y[q]).sum(1)
+        want = sorted((-s[k], k) for k in range(50) if k != q)[:5]
+        assert [(k, -v) for v, k in want] == [(k, v) for _, k, v in sorted(found)]
+    assert neighbours.nearest(df.limit(0), lambda i: i % 20 == 0).count() == 0
+    assert neighbours.nearest(df, lambda i: i < 0).count() == 0
+    wide = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(y)], "vec_id int, embedding array<double>")
+    assert neighbours.nearest(wide, lambda i: i == 0, 3).count() == 3
+
+
+def test_structured_vectors_need_a_narrow_window(spark, monkeypatch):
+    """Vectors around many centres: the measured window is a small part of the curves, and its recall holds."""
+    seen, fitted = [], neighbours.least_window
+    monkeypatch.setattr(neighbours, "RANGE_ROWS", 100)
+    monkeypatch.setattr(neighbours, "least_window", lambda *a: seen.append((fitted(*a), a[1])) or fitted(*a))
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(60, 16))
+    x = (centres[r.integers(0, 60, 4000)] + 0.05 * r.normal(size=(4000, 16))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert recall(spark, r.permutation(4000), x).mean() >= 0.9
+    (curves, wide), blocks = seen[0]
+    assert curves * wide < 0.6 * blocks[0]

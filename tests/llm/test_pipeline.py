@@ -1,10 +1,13 @@
 """The pipeline and its stages against plain versions, with null ids, repeated rows and null texts."""
 
+import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
-from lumenframe.llm import mixing
+from lumenframe.llm import mixing, secret_scan
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -62,3 +65,59 @@ def test_decontamination_stage_judges_each_row(spark, tmp_path):
     got = pipeline.decontamination_stage(spark, table(spark, rows), str(tmp_path)).collect()
     assert Counter((r.doc_id, r.text) for r in got) == Counter((d, t) for d, t, _ in rows if item not in (t or ""))
     assert pipeline.decontamination_stage(spark, table(spark, rows).limit(0), str(tmp_path)).count() == 0
+
+
+KEY = "token = 'q8ZkX0vT3mLw9RbYcN5d'"
+
+
+def toxic_rows():
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvw") for _ in range(6)) for _ in range(150)]
+    prose = lambda n=25: " ".join(r.choice(words) for _ in range(n))
+    rows = [(k, f"{prose()} you zyzzyva {prose(5)}" if k % 3 == 0 else prose(), "ab"[k % 2]) for k in range(240)]
+    return rows, prose
+
+
+def test_toxicity_stage_drops_what_the_model_rejects(spark, tmp_path):
+    rows, prose = toxic_rows()
+    rows += [(None, f"{prose()} zyzzyva zyzzyva", "a"), (None, prose(), "a"), (500, None, "a"), (501, "", None), (7, prose(), "b")]
+    spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(240)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = pipeline.toxicity_stage(spark, table(spark, rows).withColumn("score", F.lit("clash")), str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((d, t) for d, t, _ in rows if "zyzzyva" not in (t or ""))
+    assert len({r[pipeline.ROW] for r in got}) == len(got)
+    assert pipeline.toxicity_stage(spark, table(spark, rows).limit(0), str(tmp_path)).count() == 0
+
+
+def test_secrets_stage_redacts_and_keeps_rows(spark):
+    rows = [(1, f"see {KEY} there", "a"), (None, "AKIA" + "Q" * 16, "b"), (1, "plain words", "a"), (2, None, "a"), (3, "", "a"), (4, "deadbeef" * 4 + " x " + KEY, "b"), (4, "plain words", "a")]
+    got = pipeline.secrets_stage(spark, table(spark, rows), None).collect()
+    plain = lambda t: t if t is None else _marked(t)
+    assert Counter((r.doc_id, r.text, r.n_chars) for r in got) == Counter((d, plain(t), None if t is None else len(plain(t))) for d, t, _ in rows)
+    assert pipeline.secrets_stage(spark, table(spark, rows).limit(0), None).count() == 0
+
+
+def _marked(text):
+    for a, z, _ in reversed(secret_scan.base_spans(text)):
+        if "[SECRET]" not in text[a:z]:
+            text = text[:a] + "[SECRET]" + text[z:]
+    return text
+
+
+def test_the_whole_pipeline(spark, tmp_path):
+    rows, prose = toxic_rows()
+    item = prose(14)
+    rows += [(300 + k, rows[1][1] + (" end" if k % 2 else ""), "a") for k in range(12)] + [(400, f"{prose()} {item} {prose()}", "b"), (401, f"{prose()} {KEY} {prose()}", "a")]
+    rows += [(None, rows[2][1], "a"), (None, prose(), None), (500, None, "a"), (1, prose(), "b")]
+    spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(240)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    table(spark, rows).withColumn("pipeline_note", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
+    kept = deduplicated([x for x in rows if "zyzzyva" not in (x[1] or "")])
+    kept = [(d, t and _marked(t), s) for d, t, s in kept if item not in (t or "")]
+    want = mixing.mixed(table(spark, kept), carry=("text",)).filter("copies > 0").select("doc_id", "text", "copies", "taken").collect()
+    got = pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.text, r.copies, r.taken) for r in got) == Counter(map(tuple, want)) and len(got) > 100
+    assert {r.doc_id for r in got} >= {401, None} and not {300, 400} & {r.doc_id for r in got}
+    empty = tmp_path / "empty"
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
+    assert pipeline.run(spark, str(empty)).count() == 0
