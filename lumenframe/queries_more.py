@@ -341,3 +341,23 @@ def batch_convert(spark, d):
     odd = spark.createDataFrame([("broken.exr", bytearray(b"not an image")), ("notes.txt", bytearray(b"text"))], "path string, content binary")
     out = images.batch_converted(files.unionByName(files.filter("length(path) > 5")).unionByName(odd), "hdr")
     return out.select("source", "path", F.when(F.col("error").isNotNull(), "unreadable").alias("problem"))
+
+
+_LINE = "px AS (SELECT i AS p, (0.1::DOUBLE + (i % 64)/63.0::DOUBLE*7.9::DOUBLE)::FLOAT::DOUBLE AS r FROM (SELECT unnest(range(512))::INT AS i)), e0 AS (SELECT *, greatest(128, ceil(log2(r)) + 128) AS e FROM px), e1 AS (SELECT p, r, CASE WHEN floor(r/pow(2::DOUBLE, e-128)*255) > 255 THEN e + 1 ELSE e END AS e FROM e0)"
+
+
+@query(f"WITH {_LINE} SELECT p, round(((floor(r/pow(2::DOUBLE, e-128)*255) + 0.5::DOUBLE)*pow(2::DOUBLE, e-128)/255)::FLOAT::DOUBLE, 6) AS r, round((0.5::DOUBLE*pow(2::DOUBLE, e-128)/255)::FLOAT::DOUBLE, 6) AS g FROM e1")
+def hdr_packed_roundtrip(spark, d):
+    """A gradient as a Radiance file with run-length lines, and read back."""
+    px = views.gradient(spark, 64, 8, "horizontal", 0.1, 8.0, "r").withColumn("image_id", F.lit("g"))
+    back = images.pixels(images.decoded(images.encoded(images.from_pixels(px, 64, 8), "hdr", packed=True)))
+    return back.select("p", *(F.round(F.col(c).cast("double"), 6).alias(c) for c in "rg"))
+
+
+@query(f"WITH {gain_sql(gainmap.DEFAULT, 1, True)} SELECT image_id, true AS pictures, round(log2(max_boost), 4) AS capacity FROM gb")
+def gainmap_separate_files(spark, d):
+    """Picture, map and metadata apart."""
+    parts = images.separate_files(views.embedding_pixels(spark, d), 4, 4)
+    soi = F.lit(bytearray(b"\xff\xd8"))
+    both = F.startswith(F.col("sdr"), soi) & F.startswith(F.col("gain_map"), soi)
+    return parts.select(F.col("image_id").cast("long").alias("image_id"), both.alias("pictures"), F.round(F.get_json_object("metadata", "$.hdrCapacityMax").cast("double"), 4).alias("capacity"))

@@ -78,7 +78,7 @@ def from_pixels(px: DataFrame, width: int, height: int, space: str = "linear-rec
 
 
 def encoded(images: DataFrame, kind: str, **options) -> DataFrame:
-    """image_id, path (a name with the extension) and content of images as files: exr (compression=...), hdr, png (8-bit values already displayed, 0 to 1)."""
+    """image_id, path (a name with the extension) and content of images as files: exr (compression=...), hdr (packed=...), png (8-bit values already displayed, 0 to 1)."""
     if kind not in ("exr", "hdr", "png"):
         raise ValueError(f"cannot write {kind}")
 
@@ -89,7 +89,7 @@ def encoded(images: DataFrame, kind: str, **options) -> DataFrame:
                 if kind == "exr":
                     out = exr.write(width, height, data, options.get("compression", "zip"), batch["space"][k].as_py() or "linear-rec709")
                 elif kind == "hdr":
-                    out = rgbe.write(width, height, data)
+                    out = rgbe.write(width, height, data, options.get("packed", False))
                 else:
                     out = png.write(width, height, np.floor(np.clip(np.nan_to_num(data), 0, 1) * 255 + 0.5))
                 name = batch["image_id"][k].as_py()

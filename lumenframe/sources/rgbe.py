@@ -151,9 +151,35 @@ def read(data: bytes, strict: bool = True, physical: bool = False) -> dict:
     return {"width": width, "height": height, "data": out.ravel(), "space": "linear-rec709", "metadata": {k: str(v) for k, v in fields.items() if k not in ("width", "height")}}
 
 
-def write(width: int, height: int, data: np.ndarray) -> bytes:
-    """A flat picture of RGBA floats in Rec.709."""
+def _packed_line(line: np.ndarray) -> bytes:
+    """One channel of a scanline: runs of four and more bytes as a count above 128 and the byte, the others as a count and the bytes."""
+    edge = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1], [True]]))
+    out, plain = bytearray(), bytearray()
+
+    def flush():
+        for k in range(0, len(plain), 128):
+            out.append(len(plain[k : k + 128]))
+            out.extend(plain[k : k + 128])
+        plain.clear()
+
+    for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        if z - a < 4:
+            plain += line[a:z].tobytes()
+            continue
+        flush()
+        for k in range(a, z, 127):
+            out += bytes((128 + min(127, z - k), int(line[a])))
+    flush()
+    return bytes(out)
+
+
+def write(width: int, height: int, data: np.ndarray, packed: bool = False) -> bytes:
+    """A picture of RGBA floats in Rec.709, flat; packed stores lines of 8 to 32767 pixels as runs, channel by channel."""
     if len(data) != width * height * 4:
         raise ImageError("invalid image dimensions")
     head = f"#?RADIANCE\n# lumenframe\nFORMAT=32-bit_rle_rgbe\n\n-Y {height} +X {width}\n".encode()
-    return head + to_rgbe(np.asarray(data).reshape(-1, 4)[:, :3]).tobytes()
+    rgbe = to_rgbe(np.asarray(data).reshape(-1, 4)[:, :3])
+    if not packed or not 8 <= width <= 32767:
+        return head + rgbe.tobytes()
+    mark = bytes((2, 2, width >> 8, width & 255))
+    return head + b"".join(mark + b"".join(_packed_line(np.ascontiguousarray(line[:, c])) for c in range(4)) for line in rgbe.reshape(height, width, 4))

@@ -30,7 +30,7 @@ def plain(df):
 
 NAMES = ["space_matrices", "classify_color_space", "is_rec709", "space_lookup", "xyy_to_rgb", "hdr_to_ldr", "gainmap_encode_options", "gainmap_decode_options", "gainmap_float_roundtrip", "gainmap_capacity",
          "sdr_gainmap_join", "compare_sizes", "channel_isolate", "old_rle_expand", "exr_offsets_fixed", "exr_offsets_variable", "exr_total_size", "channel_order", "xmp_primary", "xmp_secondary", "xmp_parse", "png_encode",
-         "batch_convert", "physical_radiance", "rgbe_roundtrip", "worst_columns", "gainmap_boost", "lut_apply"]
+         "batch_convert", "physical_radiance", "rgbe_roundtrip", "worst_columns", "gainmap_boost", "lut_apply", "hdr_packed_roundtrip", "gainmap_separate_files"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -115,6 +115,15 @@ def test_exposures_of_a_header(spark):
     assert a.r > b.r and tone.hdr_to_ldr(px, F.col("e"), exposure=2.0).select("r").distinct().count() == 1
 
 
+@pytest.mark.parametrize("width", [7, 8, 130, 700])
+def test_packed_radiance_lines(width):
+    r = np.random.default_rng(width)
+    px = np.repeat(r.uniform(0, 4, (5, width, 4)).astype(np.float32), 1, axis=1)
+    px[1], px[2, : width // 2], px[3] = 0.5, 0.25, np.repeat(px[3, ::5], 5, axis=0)[:width]
+    flat, packed = (rgbe.write(width, 5, px.ravel(), p) for p in (False, True))
+    assert (rgbe.read(flat)["data"] == rgbe.read(packed)["data"]).all() and (len(packed) < len(flat) if width > 100 else True)
+
+
 def test_tone_mapping_refuses_other_primaries(spark):
     xy = [v for p in color.CHROMATICITIES["p3"] for v in p]
     df = spark.createDataFrame([(1.0, *xy)], "v double, " + ", ".join(f"c{k} double" for k in range(8)))
