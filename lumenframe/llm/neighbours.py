@@ -133,10 +133,14 @@ def least_window(pairs: list[tuple], blocks: list[int], recall: float = RECALL)
     at = np.array(pairs, np.int64).reshape(len(pairs), -1, 2)
     need = np.empty(at.shape[:2], np.int64)  # ranges that the window must have to reach the neighbour
     for c, n in enumerate(blocks):
-        need[:, c] = n
-        for wide in range(n, 0, -1):
-            first = np.clip(at[:, c, 0] - wide // 2, 0, n - wide)
-            need[(at[:, c, 1] >= first) & (at[:, c, 1] < first + wide), c] = wide
+        own, near = at[:, c, 0], at[:, c, 1]
+        low, high = np.ones(len(at), np.int64), np.full(len(at), n)
+        while (low < high).any():  # a wider window holds each narrower one
+            wide = (low + high) // 2
+            first = np.clip(own - wide // 2, 0, n - wide)
+            inside = (near >= first) & (near < first + wide)
+            low, high = np.where(inside, low, wide + 1), np.where(inside, wide, high)
+        need[:, c] = low
     best = (len(blocks) and 1, blocks[0])
     for curves in range(1, len(blocks) + 1):
         least = np.sort(need[:, :curves].min(1))

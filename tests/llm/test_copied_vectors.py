@@ -81,3 +81,17 @@ def test_structured_vectors_need_a_narrow_window(spark, monkeypatch):
     assert recall(spark, r.permutation(4000), x).mean() >= 0.9
     (curves, wide), blocks = seen[0]
     assert curves * wide < 0.6 * blocks[0]
+
+
+def test_least_window_against_trying_each():
+    r = np.random.default_rng(9)
+    for n in (1, 2, 7, 40):
+        pairs = [[int(v) for v in r.integers(0, n, 2)] for _ in range(60)]
+
+        def inside(own, near, wide, n=n):
+            first = max(0, min(own - wide // 2, n - wide))
+            return first <= near < first + wide
+
+        got = neighbours.least_window(pairs, [n], 0.9)
+        want = next(w for w in range(1, n + 1) if sum(inside(*p, w) for p in pairs) >= 54)
+        assert got == (1, want)
