@@ -106,11 +106,11 @@ def _ids(table) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Repeats:
-    """parse: (bytes, offsets) of rows to (symbol hashes, offsets of the rows' symbols, payload of the symbols). flagged: (payload, offsets of contexts,
+    """parse: (bytes, offsets) of rows to (symbol hashes, offsets of the rows' symbols, payload of the symbols). symbols: payload to symbol hashes. flagged: (payload, offsets of contexts,
     windows of each, keys, smallest ids) to one boolean a window, whether it also starts in a context of a smaller id; contexts are distinct."""
 
-    def __init__(self, parse: Callable, flagged: Callable, window: int, gram: int, hot_groups: int = HOT_GROUPS):
-        self.parse, self.flagged, self.window, self.gram, self.hot_groups = parse, flagged, window, gram, hot_groups
+    def __init__(self, parse: Callable, symbols: Callable, flagged: Callable, window: int, gram: int, hot_groups: int = HOT_GROUPS):
+        self.parse, self.symbols, self.flagged, self.window, self.gram, self.hot_groups = parse, symbols, flagged, window, gram, hot_groups
 
     def sent_keys(self, n: int):
         """s, b, once, more: for each key shard the keys that stand in one and in several documents of group b."""
@@ -221,9 +221,9 @@ class Repeats:
             rows = []
             for a, z in zip(first_of.tolist(), [*first_of[1:].tolist(), len(shard)], strict=True):
                 text = payload[bulk.ranges(kept[a:z], wins[a:z] + self.window - 1)]
-                rows.append((int(shard[a]), pack(key=key[a:z], h=h[a:z], wins=wins[a:z], id=least[a:z], payload=text)))
+                rows.append((int(shard[a]), pack(key=(key[a:z] & LOW).astype(np.uint32), wins=wins[a:z], id=least[a:z], payload=text)))
             used, doc = np.unique(doc, return_inverse=True)
-            rows.append((-1, pack(cls=cls, doc=doc.astype(np.int32), lo=lo, ids=ids[used], th=th[used], least=least, wins=wins, shards=shard[first_of], first=first_of)))
+            rows.append((-1, pack(cls=cls, doc=doc.astype(np.int32), lo=np.diff(lo, prepend=0), ids=ids[used], th=th[used], least=least, wins=wins, shards=shard[first_of], first=first_of)))
             return rows
 
         def run(docs: pa.Table, keys: pa.Table) -> pa.Table:
@@ -236,6 +236,11 @@ class Repeats:
     def marks(self, table: pa.Table) -> pa.Table:
         """s, b, data: of one shard's classes, for each group, which also start in a smaller document elsewhere, and the windows of the others that do."""
         blobs = [unpack(x) for x in table["data"].to_pylist()]
+        for x in blobs:
+            size = x["wins"].astype(np.int64) + self.window - 1
+            end = np.cumsum(size)
+            x["h"] = bulk.span_hashes(bulk.prefix_sums(self.symbols(x["payload"])), end - size, end)
+        # Keys are their low bits here; two anchors that look alike are compared, which does no harm.
         key, h, wins, ids, payload = (np.concatenate([x[c] for x in blobs]) for c in ("key", "h", "wins", "id", "payload"))
         counts = [len(x["key"]) for x in blobs]
         blobs.clear()
@@ -283,7 +288,7 @@ class Repeats:
             start[c] = end + np.cumsum(size) - size
             bits.append(np.unpackbits(x["bits"])[: int(size.sum())].astype(bool))
             end += len(bits[-1])
-        flags, cls, doc, at = np.concatenate(bits), p["cls"], p["doc"], p["lo"]
+        flags, cls, doc, at = np.concatenate(bits), p["cls"], p["doc"], np.cumsum(p["lo"])
         whole = less[cls] | (p["ids"][doc] > p["least"][cls])
         # The flagged windows of each class as runs: first window and last one.
         edge = np.zeros(len(flags) + 1, bool)

@@ -134,7 +134,7 @@ def flagged(payload, offsets, wins, keys, smallest, window: int = WINDOW, shard:
 
 class ByteRepeats(Repeats):
     def __init__(self, window: int = WINDOW, gram: int = GRAM, **options):
-        super().__init__(lambda data, offsets: (bulk.BYTE[data], offsets, data), lambda *a: flagged(*a, window=window), window, gram, **options)
+        super().__init__(lambda data, offsets: (bulk.BYTE[data], offsets, data), lambda data: bulk.BYTE[data], lambda *a: flagged(*a, window=window), window, gram, **options)
 
     def without(self, raw: bytes, lo, hi) -> bytes:
         edges = [0, *(x for r in zip(lo, hi, strict=True) for x in r), len(raw)]

@@ -122,7 +122,7 @@ def parse(data, offsets):
 
 class WordRepeats(Repeats):
     def __init__(self, window: int = WINDOW, gram: int = GRAM, **options):
-        super().__init__(parse, lambda *a: flagged(*a, window=window), window, gram, **options)
+        super().__init__(parse, lambda hashes: hashes, lambda *a: flagged(*a, window=window), window, gram, **options)
 
     def without(self, raw: bytes, lo, hi) -> bytes:
         words = raw.split()
