@@ -67,9 +67,11 @@ def test_shards_merge():
     assert one.any() and (one == many).all() and (one == auto).all()
 
 
-@pytest.mark.parametrize("n, percent, most", [(3, 90, 4_000), (5, 80, 4_000), (3, 70, 2)])
-def test_jaccard(spark, docs, empty, monkeypatch, n, percent, most):
+@pytest.mark.parametrize("n, percent, most, hot", [(3, 90, 4_000, 2_000), (5, 80, 4_000, 2), (3, 70, 2, 2_000), (3, 80, 3, 3)])
+def test_jaccard(spark, docs, empty, monkeypatch, n, percent, most, hot):
     monkeypatch.setattr(jaccard, "MOST_MEMBERS", most)  # small: groups are split, and opened once for a few askers each
+    monkeypatch.setattr(jaccard, "MOST_TOKENS", 100 * most)
+    monkeypatch.setattr(jaccard, "HOT_TOKEN", hot)  # small: the documents of nearly every shared token are dealt to several shards
     rows = [(d, t) for d, t, _ in ROWS if d is not None] + [(100 + k, " ".join(f"t{i}" if i != k else "zz" for i in range(60 + k))) for k in range(8)]
     rows += [(200 + k, " ".join(f"u{i}" if i not in (3 * k, 40) else f"y{k}" for i in range(60 + k % 5))) for k in range(14)]
     sets = {}
