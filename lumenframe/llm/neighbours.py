@@ -130,6 +130,8 @@ def first_block(block, wide: int, blocks: int):
 
 def least_window(pairs: list[tuple], blocks: list[int], recall: float = RECALL) -> tuple[int, int]:
     """(curves, ranges of the window) of least work for that recall; pairs has for each true neighbour the query's range and its own on each curve."""
+    if not pairs:  # a vector alone has no neighbours
+        return 1, blocks[0]
     at = np.array(pairs, np.int64).reshape(len(pairs), -1, 2)
     need = np.empty(at.shape[:2], np.int64)  # ranges that the window must have to reach the neighbour
     for c, n in enumerate(blocks):
@@ -141,7 +143,7 @@ def least_window(pairs: list[tuple], blocks: list[int], recall: float = RECALL)
             inside = (near >= first) & (near < first + wide)
             low, high = np.where(inside, low, wide + 1), np.where(inside, wide, high)
         need[:, c] = low
-    best = (len(blocks) and 1, blocks[0])
+    best = (1, blocks[0])
     for curves in range(1, len(blocks) + 1):
         least = np.sort(need[:, :curves].min(1))
         wide = int(least[min(len(least) - 1, int(np.ceil(recall * len(least))) - 1)]) if len(least) else 1

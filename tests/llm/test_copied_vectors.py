@@ -65,6 +65,7 @@ def test_ties_repeats_clashes_and_nothing(spark):
         assert [(k, -v) for v, k in want] == [(k, v) for _, k, v in sorted(found)]
     assert neighbours.nearest(df.limit(0), lambda i: i % 20 == 0).count() == 0
     assert neighbours.nearest(df, lambda i: i < 0).count() == 0
+    assert neighbours.nearest(df.filter("vec_id = 20"), lambda i: i == 20).count() == 0
     wide = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(y)], "vec_id int, embedding array<double>")
     assert neighbours.nearest(wide, lambda i: i == 0, 3).count() == 3
 
