@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm import decontamination, jaccard, mixing, secret_scan, toxicity
-from lumenframe.llm.common import shared_dir, written
+from lumenframe.llm.common import MADE, release, shared_dir, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Names one row, also where doc_id is null or repeated. The first stage adds it, the last one drops it.
@@ -41,11 +41,9 @@ def jaccard_stage(spark, docs, sf_dir) -> DataFrame:
     docs = rowed(docs)
     groups = jaccard.JaccardJoin(5, 80).run(docs.select(F.col(ROW).alias("doc_id"), "text"), "pipeline_jaccard").filter("size > 0")
     groups = written(groups.select(F.col("doc_id").alias(ROW), F.col("component_id").alias("component")), "pipeline-groups")
-    linked = groups.filter(F.col(ROW) != F.col("component")).select("component").distinct()
-    groups = groups.join(linked, "component")
     order = docs.select(ROW, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text", "lang", "source", "n_chars").alias("hash"), ROW).alias("place"))
-    groups = written(groups.join(order, ROW), "pipeline-linked")
-    first = groups.groupBy("component").agg(F.min("place").alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    # One least place a component, found before rows move; then rows meet by their own key, so a large component is in no one task.
+    first = groups.join(order, ROW).groupBy("component").agg(F.min("place").alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
     return docs.join(groups.select(ROW).join(first, ROW, "left_anti"), ROW, "left_anti").select(*COLUMNS, ROW)
 
 
@@ -86,6 +84,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
+        before = len(MADE)
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
+        release(spark, before)  # what the stage wrote on the way
     return docs
