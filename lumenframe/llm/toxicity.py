@@ -173,7 +173,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
     rows = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id")  # bounded by max_train rows of 12 bytes
     rows = written(rows.mapInArrow(_signed, "doc_id long, text string, toxic int, copies_of string"), "toxicity-signed")
     copies = rows.groupBy("copies_of", "toxic").agg((F.lit(float(UNIT)) / F.count("*")).cast("long").alias("weight"))
-    return rows.join(copies, ["copies_of", "toxic"]).select("doc_id", "text", "toxic", "weight")
+    # The weights are max_train short rows at most: broadcast, so that a large group of copies stays where it is.
+    return rows.join(F.broadcast(copies), ["copies_of", "toxic"]).select("doc_id", "text", "toxic", "weight")
 
 
 def learned(train: DataFrame) -> Model:
