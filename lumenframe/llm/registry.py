@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can say the same, their SQL."""
 
-from . import decontamination, jaccard, licenses, mixing, neighbours, secret_scan, suffix_arrays, suffix_automata, toxicity, urls
+from . import decontamination, jaccard, licenses, merkle, mixing, neighbours, secret_scan, suffix_arrays, suffix_automata, toxicity, urls
 
 QUERIES = {
     "op1_decontaminate": decontamination.op1_decontaminate,
@@ -13,9 +13,11 @@ QUERIES = {
     "op8_mix": mixing.op8_mix,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_substring_dedup": suffix_automata.op10_substring_dedup,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 ORACLE_SQL = {
     "op1_decontaminate": decontamination.OP1_SQL,
     "op6_licenses": licenses.OP6_SQL,
     "op8_mix": mixing.OP8_SQL,
+    "op13_merkle_manifest": merkle.OP13_SQL,
 }

@@ -62,6 +62,8 @@ def encoded(texts: list[tuple[str, int, int]]) -> np.ndarray:
     the piece."""
     out = np.zeros((len(texts), WIDTH + 2 * CONTEXT, 2), np.int64)
     for k, (text, a, z) in enumerate(texts):
+        if z - a > WIDTH:
+            raise ValueError(f"{z - a} characters: cut candidates by pieces() first")
         left = text[max(0, a - CONTEXT) : a].rjust(CONTEXT, "\x00")
         right = text[z : z + CONTEXT].ljust(CONTEXT, "\x00")
         raw = np.frombuffer((left + text[a:z].ljust(WIDTH, "\x00") + right).encode("latin-1", "replace"), np.uint8)
