@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can say the same, their SQL."""
 
-from . import decontamination, jaccard, licenses, merkle, mixing, neighbours, secret_scan, suffix_arrays, suffix_automata, toxicity, urls, whitening
+from . import decontamination, jaccard, language_model, licenses, merkle, mixing, neighbours, secret_scan, suffix_arrays, suffix_automata, toxicity, urls, whitening
 
 QUERIES = {
     "op1_decontaminate": decontamination.op1_decontaminate,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_mix": mixing.op8_mix,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_substring_dedup": suffix_automata.op10_substring_dedup,
+    "op11_language_model": language_model.op11_language_model,
     "op12_whitening": whitening.op12_whitening,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
