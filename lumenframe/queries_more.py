@@ -234,22 +234,6 @@ def channel_order(spark, d):
     return relational.channel_order(df).select("image_id", "name", F.col("place").cast("long").alias("place"), "at")
 
 
-@query(None)
-def huffman_lengths(spark, d):
-    """image_id, v, n, length: code lengths of each image's values. SQL does not merge queues; tests hold it against the least cost."""
-    import pyarrow as pa
-
-    from .sources.blocks import code_lengths
-
-    def lengths(t: pa.Table) -> pa.Table:
-        counts = dict(zip(t["v"].to_pylist(), t["n"].to_pylist(), strict=True))
-        got = code_lengths(counts)
-        return t.append_column("length", pa.array([got[v] for v in t["v"].to_pylist()], pa.int32()))
-
-    counts = views.event_pixels(spark, d).groupBy("image_id", F.floor(F.col("v") / 256).alias("v")).agg(F.count("*").alias("n"))
-    return counts.groupBy("image_id").applyInArrow(lengths, "image_id long, v long, n long, length int")
-
-
 # XMP text.
 def _sql_escape(c):
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&apos;")):
