@@ -45,30 +45,58 @@ def mean_of(three: Column) -> Column:
     return F.aggregate(three, F.lit(0.0), lambda a, x: a + x) / F.size(three)
 
 
-def block(text: Column) -> Column:
-    """The first packet of a text that has a version and a largest capacity; null without one."""
-    packets = F.regexp_extract_all(text, F.lit(r"(?s)(<x:xmpmeta.*?x:xmpmeta>)"), 1)
-    wanted = F.filter(packets, lambda p: (F.length(attribute(p, "Version")) > 0) & (F.length(F.regexp_extract(p, r'(?i)hdrgm:HDRCapacityMax="([^"]*)"', 1)) > 0))
-    return F.get(wanted, F.lit(0))
+#: Markup and the text between it; name="value" pairs inside of markup.
+PIECES = r"<[^<>]*>|[^<>]+"
+PAIRS = r"""([A-Za-z][\w.:-]*)\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+PACKET = r"(?s)<x:xmpmeta\b.*?</x:xmpmeta>"
+PREFIX = "hdrgm:"
 
 
-def attribute(packet: Column, name: str) -> Column:
-    """An attribute's text, or that of the element of this name; empty without either."""
-    own = F.regexp_extract(packet, rf'(?i)hdrgm:{name}="([^"]*)"', 1)
-    return F.when(own != "", own).otherwise(F.trim(F.regexp_extract(packet, rf"(?is)<hdrgm:{name}[^>]*>(.*?)</", 1)))
+def bared(text: Column) -> Column:
+    """Without the blanks around it."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def triple(packet: Column, name: str, default: float) -> Column:
-    """Three numbers: an attribute three times over, or the three list items of an element, or the default."""
-    inner = F.regexp_extract(packet, rf"(?is)<hdrgm:{name}[^>]*>(.*?)</hdrgm:{name}>", 1)
-    items = F.transform(F.regexp_extract_all(inner, F.lit(r"(?is)<rdf:li[^>]*>([^<]*)</rdf:li>"), 1), lambda x: F.trim(x).try_cast("double"))
-    one = F.coalesce(attribute(packet, name).try_cast("double"), F.lit(default))
-    return F.when(F.size(items) == 3, items).otherwise(F.array(one, one, one))
+def properties(packet: Column) -> Column:
+    """An array of (name, value) of a packet's gain-map properties, names in lower case without their prefix: its attributes, and every text that stands
+    inside of an element of that prefix, so a list gives one of each item. One pass over the pieces of markup, which remembers the open element."""
+    ours = F.lower(F.lit(PREFIX))
+    entry = "array<struct<name:string,value:string>>"
+
+    def seen(state, piece):
+        tag = F.lower(F.regexp_extract(piece, r"^</?\s*([^\s/>]+)", 1))
+        closes, alone = F.startswith(piece, F.lit("</")), F.endswith(piece, F.lit("/>"))
+        own = F.startswith(tag, ours)
+        names, plain, quoted = (F.regexp_extract_all(piece, F.lit(PAIRS), F.lit(k)) for k in (1, 2, 3))
+        pairs = F.transform(names, lambda n, k: F.struct(F.lower(n).alias("name"), F.concat(F.get(plain, k), F.get(quoted, k)).alias("value")))
+        bare = lambda x: F.struct(F.substr(x["name"], F.lit(len(PREFIX) + 1)).alias("name"), x["value"].alias("value"))
+        attributes = F.transform(F.filter(pairs, lambda x: F.startswith(x["name"], ours)), bare)
+        text = bared(piece)
+        is_tag = F.startswith(piece, F.lit("<"))
+        inner = F.when((state.open != "") & (text != ""), F.array(F.struct(state.open.alias("name"), text.alias("value")))).otherwise(F.array().cast(entry))
+        opened = F.when(~is_tag | ~own | alone, state.open).when(closes, F.lit("")).otherwise(F.substr(tag, F.lit(len(PREFIX) + 1)))
+        return F.struct(opened.alias("open"), F.concat(state.found, F.when(is_tag, attributes).otherwise(inner)).alias("found"))
+
+    start = F.struct(F.lit("").alias("open"), F.array().cast(entry).alias("found"))
+    return F.aggregate(F.regexp_extract_all(packet, F.lit(PIECES), F.lit(0)), start, seen)["found"]
+
+
+def values_of(found: Column, name: str) -> Column:
+    return F.transform(F.filter(found, lambda x: x["name"] == name.lower()), lambda x: bared(x["value"]))
 
 
 def parsed(text: Column) -> Column:
-    """A struct of the map's parameters, arrays of three but for the capacities; null if no packet has them."""
-    p = block(text)
-    fields = [triple(p, name, default).alias(ours) for name, ours, default in FIELDS[:5]]
-    fields += [F.coalesce(attribute(p, name).try_cast("double"), F.lit(default)).alias(ours) for name, ours, default in FIELDS[5:]]
+    """A struct of the map's parameters, arrays of three but for the capacities; null if no packet of the text has a version and a largest capacity, of
+    which the first counts. Three values are those of the channels, one is that of all of them; what is no number counts as missing."""
+    packets = F.transform(F.regexp_extract_all(text, F.lit(PACKET), F.lit(0)), properties)
+    first = lambda found, name: F.get(F.filter(values_of(found, name), lambda v: v != ""), F.lit(0))
+    p = F.get(F.filter(packets, lambda found: first(found, "Version").isNotNull() & first(found, "HDRCapacityMax").isNotNull()), F.lit(0))
+
+    def channels(name, default):
+        numbers = F.transform(values_of(p, name), lambda v: v.try_cast("double"))
+        one = F.coalesce(F.get(numbers, F.lit(0)), F.lit(default))
+        return F.when(F.size(numbers) == 3, F.transform(numbers, lambda v: F.coalesce(v, F.lit(default)))).otherwise(F.array(one, one, one))
+
+    fields = [channels(name, default).alias(ours) for name, ours, default in FIELDS[:5]]
+    fields += [F.coalesce(first(p, name).try_cast("double"), F.lit(default)).alias(ours) for name, ours, default in FIELDS[5:]]
     return F.when(p.isNotNull(), F.struct(*fields))

@@ -250,21 +250,21 @@ def _version():
     return F.when(F.col("i") % 2 == 0, _VERSIONS[0]).otherwise(_VERSIONS[1])
 
 
-@query(f"SELECT i, {_PRIMARY} AS packet FROM (SELECT unnest(range(200))::BIGINT AS i)")
+@query(f"SELECT i, {_PRIMARY} AS packet FROM (SELECT vec_id AS i FROM embeddings)")
 def xmp_primary(spark, d):
-    return spark.range(200).withColumnRenamed("id", "i").select("i", xmp.primary(F.col("i") * 37, _version()).alias("packet"))
+    return views.table(spark, d, "embeddings").select(F.col("vec_id").alias("i")).select("i", xmp.primary(F.col("i") * 37, _version()).alias("packet"))
 
 
 _SECOND = [("GainMapMin", "i*0.25"), ("GainMapMax", "(i*0.25 + i*0.25 + i*0.25 + 3)/3"), ("Gamma", "1.0"), ("OffsetSDR", "0.015625"), ("OffsetHDR", "0.03125"), ("HDRCapacityMin", "0"), ("HDRCapacityMax", "1 + i*0.5")]
 _SECONDARY = f"'{xmp.HEAD} hdrgm:Version=\"' || {_sql_escape(_V)} || '\"" + "".join(f" hdrgm:{n}=\"' || printf('%.6f', ({e})::DOUBLE) || '\"" for n, e in _SECOND) + f" hdrgm:BaseRenditionIsHDR=\"False\">{xmp.TAIL}'"
 
 
-@query(f"SELECT i, {_SECONDARY} AS packet FROM (SELECT unnest(range(200))::BIGINT AS i)")
+@query(f"SELECT i, {_SECONDARY} AS packet FROM (SELECT vec_id AS i FROM embeddings)")
 def xmp_secondary(spark, d):
     i = F.col("i").cast("double")
     values = {"gain_map_min": i * 0.25, "gain_map_max": xmp.mean_of(F.array(i * 0.25 + 1, i * 0.25, i * 0.25 + 2)), "gamma": F.lit(1.0), "offset_sdr": F.lit(0.015625),
               "offset_hdr": F.lit(0.03125), "hdr_capacity_min": F.lit(0.0), "hdr_capacity_max": i * 0.5 + 1}
-    return spark.range(200).withColumnRenamed("id", "i").select("i", xmp.secondary(values, _version()).alias("packet"))
+    return views.table(spark, d, "embeddings").select(F.col("vec_id").alias("i")).select("i", xmp.secondary(values, _version()).alias("packet"))
 
 
 _PARSED = "i % 4 <> 2"
@@ -272,7 +272,7 @@ _PARSED = "i % 4 <> 2"
 
 @query(f"SELECT i, CASE WHEN {_PARSED} THEN CASE i % 4 WHEN 0 THEN i*0.25::DOUBLE ELSE 0.0::DOUBLE END END AS low_g, CASE WHEN {_PARSED} THEN CASE i % 4 WHEN 0 THEN i*0.25::DOUBLE + 1 WHEN 1 THEN i + 0.5::DOUBLE ELSE 1.0::DOUBLE END END AS high_r, "
        f"CASE WHEN {_PARSED} THEN CASE i % 4 WHEN 0 THEN i*0.25::DOUBLE + 1 WHEN 1 THEN 2.5::DOUBLE ELSE 1.0::DOUBLE END END AS high_b, CASE WHEN {_PARSED} THEN CASE i % 4 WHEN 0 THEN 0.03125::DOUBLE ELSE 0.015625::DOUBLE END END AS offset_hdr, "
-       f"CASE WHEN {_PARSED} THEN CASE i % 4 WHEN 0 THEN 1 + i*0.5::DOUBLE ELSE 3.0::DOUBLE END END AS capacity FROM (SELECT unnest(range(200))::BIGINT AS i)")
+       f"CASE WHEN {_PARSED} THEN CASE i % 4 WHEN 0 THEN 1 + i*0.5::DOUBLE ELSE 3.0::DOUBLE END END AS capacity FROM (SELECT vec_id AS i FROM embeddings)")
 def xmp_parse(spark, d):
     """Both packets of a file one after the other, lists of three, no capacity, and only what must be there."""
     i = F.col("i").cast("double")
@@ -282,7 +282,7 @@ def xmp_parse(spark, d):
                      F.lit("</rdf:li><rdf:li>1.5</rdf:li>\n<rdf:li>2.5</rdf:li></rdf:Seq></hdrgm:GainMapMax></rdf:Description></x:xmpmeta>"))
     none = F.lit('<x:xmpmeta><rdf:Description hdrgm:Version="1.0" hdrgm:GainMapMax="4"/></x:xmpmeta>')
     least = F.concat(none, F.lit('<x:xmpmeta><rdf:Description hdrgm:Version="1.0" hdrgm:HDRCapacityMax="3"/></x:xmpmeta>'))
-    df = spark.range(200).withColumnRenamed("id", "i")
+    df = views.table(spark, d, "embeddings").select(F.col("vec_id").alias("i"))
     df = df.withColumn("m", xmp.parsed(F.when(F.col("i") % 4 == 0, whole).when(F.col("i") % 4 == 1, lists).when(F.col("i") % 4 == 2, none).otherwise(least)))
     return df.select("i", F.get("m.gain_map_min", F.lit(1)).alias("low_g"), F.get("m.gain_map_max", F.lit(0)).alias("high_r"), F.get("m.gain_map_max", F.lit(2)).alias("high_b"),
                      F.get("m.offset_hdr", F.lit(0)).alias("offset_hdr"), F.col("m.hdr_capacity_max").alias("capacity"))

@@ -7,6 +7,7 @@ import struct
 
 import numpy as np
 
+from ..functions import xmp
 from . import jpeg
 from .rgbe import ImageError
 
@@ -15,54 +16,67 @@ ICC = b"ICC_PROFILE\0"
 MPF = b"MPF\0"
 NO_MAP = "Not a valid JPEG with gain map"
 #: XMP names, our names and defaults; None must be given.
-FIELDS = {
-    "GainMapMin": ("gainMapMin", 0.0), "GainMapMax": ("gainMapMax", 1.0), "Gamma": ("gamma", 1.0), "OffsetSDR": ("offsetSdr", 1 / 64),
-    "OffsetHDR": ("offsetHdr", 1 / 64), "HDRCapacityMin": ("hdrCapacityMin", 0.0), "HDRCapacityMax": ("hdrCapacityMax", None),
-}
-SPACES = 'xmlns:hdrgm="http://ns.adobe.com/hdr-gain-map/1.0/"'
+FIELDS = {name: (re.sub(r"_(.)", lambda m: m[1].upper(), ours), default) for name, ours, default in xmp.FIELDS}
 
 
 def escape(value) -> str:
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+    for a, b in xmp.ESCAPES:
         value = str(value).replace(a, b)
     return value
 
 
-def _packet(attributes: str, inner: str = "") -> str:
-    return (f'<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">'
-            f'<rdf:Description rdf:about="" {SPACES} {attributes}>{inner}</rdf:Description></rdf:RDF></x:xmpmeta>')
-
-
 def primary_xmp(second_length: int, version: str = "1.0") -> str:
     """The directory of both pictures."""
-    names = 'xmlns:Container="http://ns.google.com/photos/1.0/container/" xmlns:Item="http://ns.google.com/photos/1.0/container/item/"'
-    items = "".join(f'<rdf:li rdf:parseType="Resource"><Container:Item Item:Semantic="{s}" Item:Mime="image/jpeg"{more}/></rdf:li>' for s, more in (("Primary", ""), ("GainMap", f' Item:Length="{second_length}"')))
-    return _packet(f'{names} hdrgm:Version="{escape(version)}"', f"<Container:Directory><rdf:Seq>{items}</rdf:Seq></Container:Directory>")
+    items = "".join(xmp.ITEM.format(s) + f"{more}/></rdf:li>" for s, more in (("Primary", ""), ("GainMap", f' Item:Length="{second_length}"')))
+    return f'{xmp.HEAD}{xmp.CONTAINER} hdrgm:Version="{escape(version)}"><Container:Directory><rdf:Seq>{items}</rdf:Seq></Container:Directory>{xmp.TAIL}'
 
 
 def secondary_xmp(metadata: dict, version: str = "1.0") -> str:
     """The map's parameters; three channels count as their mean."""
     values = {x: float(np.mean(metadata[ours])) for x, (ours, _) in FIELDS.items()}
     text = " ".join(f'hdrgm:{x}="{escape(v)}"' for x, v in values.items())
-    return _packet(f'hdrgm:Version="{escape(version)}" {text} hdrgm:BaseRenditionIsHDR="False"')
+    return f'{xmp.HEAD} hdrgm:Version="{escape(version)}" {text} hdrgm:BaseRenditionIsHDR="False">{xmp.TAIL}'
+
+
+def properties(packet: str) -> dict[str, list[str]]:
+    """What functions.xmp.properties finds, by name."""
+    out: dict[str, list[str]] = {}
+    inside = ""
+    for piece in re.findall(xmp.PIECES, packet):
+        if not piece.startswith("<"):
+            if inside and piece.strip():
+                out.setdefault(inside, []).append(piece.strip())
+            continue
+        for name, plain, quoted in re.findall(xmp.PAIRS, piece, re.A):
+            if name.lower().startswith(xmp.PREFIX):
+                out.setdefault(name.lower()[len(xmp.PREFIX) :], []).append((plain + quoted).strip())
+        tag = re.match(r"</?\s*([^\s/>]*)", piece)[1].lower()
+        if tag.startswith(xmp.PREFIX) and not piece.endswith("/>"):
+            inside = "" if piece.startswith("</") else tag[len(xmp.PREFIX) :]
+    return out
+
+
+def _number(text: str | None):
+    try:
+        return float(text)
+    except (TypeError, ValueError):
+        return None
 
 
 def read_xmp(data: bytes) -> dict:
-    """Parameters of the first XMP block that has a version and a largest capacity, as attributes or as lists of three."""
-    text = data.decode("latin-1")
-    for block in re.findall(r"<x:xmpmeta.*?</x:xmpmeta>", text, re.S):
-        found = dict(re.findall(r'hdrgm:(\w+)\s*=\s*"([^"]*)"', block))
-        lists = {n: re.findall(r"<rdf:li>\s*([^<]+?)\s*</rdf:li>", inner) for n, inner in re.findall(r"<hdrgm:(\w+)>(.*?)</hdrgm:\1>", block, re.S)}
-        if "Version" not in found or not ("HDRCapacityMax" in found or lists.get("HDRCapacityMax")):
+    """Parameters of the first packet that has a version and a largest capacity, by the rules of functions.xmp.parsed."""
+    for packet in re.findall(xmp.PACKET, data.decode("latin-1")):
+        found = {k: [x for x in v if x] for k, v in properties(packet).items()}
+        if not found.get("version") or not found.get("hdrcapacitymax"):
             continue
         out = {}
-        try:
-            for x, (ours, default) in FIELDS.items():
-                v = [float(e) for e in lists.get(x, ())] or [float(found.get(x, default))]
-                out[ours] = v[0] if ours.startswith("hdrCapacity") else (v * 3 if len(v) == 1 else v[:3])
-        except ValueError:
-            continue
-        return out
+        for name, (ours, default) in FIELDS.items():
+            numbers = [_number(v) for v in found.get(name.lower(), ())]
+            one = numbers[0] if numbers and numbers[0] is not None else default
+            three = [default if v is None else v for v in numbers] if len(numbers) == 3 else [one] * 3
+            out[ours] = one if ours.startswith("hdrCapacity") else three
+        if out["hdrCapacityMax"] is not None:
+            return out
     raise ImageError(NO_MAP)
 
 

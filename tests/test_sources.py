@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.__main__ import main
 from lumenframe.plans import views
+from lumenframe.functions import xmp
 from lumenframe.sources import blocks, exr, images, jpeg, png, rgbe, ultrahdr
 from lumenframe.streaming.images import stream_images
 
@@ -216,6 +217,26 @@ def test_xmp_lists_and_defaults():
     assert m["gainMapMax"] == [1, 2, 3] and m["offsetSdr"] == [1 / 64] * 3 and m["hdrCapacityMax"] == 3
 
 
+def test_both_xmp_readers_agree(spark):
+    """Attributes in either quotes, any case, lists of one to four, text, nothing, damaged numbers and packets, and what both writers write."""
+    wrap = lambda inner, more="": f'<x:xmpmeta x="y"><rdf:Description hdrgm:Version="1.0" {more}>{inner}</rdf:Description></x:xmpmeta>'
+    li = lambda *v: "<rdf:Seq>" + "".join(f"<rdf:li> {x} </rdf:li>\n" for x in v) + "</rdf:Seq>"
+    cap = 'hdrgm:HDRCapacityMax="3"'
+    texts = [wrap("", cap), wrap("", "HDRGM:hdrcapacitymax = '2.5' hdrgm:Gamma='1.5'"), wrap("<hdrgm:HDRCapacityMax>4</hdrgm:HDRCapacityMax>"), wrap("<hdrgm:GainMapMax>" + li(1, 2, 3) + "</hdrgm:GainMapMax>", cap),
+             wrap("<hdrgm:GainMapMin>" + li(1, 2) + "</hdrgm:GainMapMin>", cap), wrap("<hdrgm:Gamma>" + li(1, "x", 3) + "</hdrgm:Gamma>", cap), wrap("", 'hdrgm:HDRCapacityMax=""'), wrap("", 'hdrgm:Gamma="x" ' + cap), "", "no packet",
+             wrap("") + "\x01<x:xmpmeta>" + wrap("<hdrgm:OffsetSDR rdf:parseType='Seq'>" + li(7) + "</hdrgm:OffsetSDR>", cap), wrap("<hdrgm:Gamma/><rdf:li>9</rdf:li>", cap), wrap("", cap)[:-5],
+             ultrahdr.secondary_xmp({ours: [0.5, 0.25, 0.75] for ours, _ in ultrahdr.FIELDS.values()}, 'a<b & "c"'), ultrahdr.primary_xmp(5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    written = df.limit(1).select(F.lit(len(texts)).alias("i"), xmp.secondary({ours: F.lit(0.5) for _, ours, _ in xmp.FIELDS}, F.lit("1.0")).alias("t"))
+    for r in df.unionByName(written).select("t", xmp.parsed(F.col("t")).alias("m")).collect():
+        try:
+            want = ultrahdr.read_xmp(r.t.encode())
+        except rgbe.ImageError:
+            assert r.m is None or r.m.hdr_capacity_max is None, r.t
+            continue
+        assert [r.m[ours] for _, ours, _ in xmp.FIELDS] == [want[ours] for ours, _ in ultrahdr.FIELDS.values()], r.t
+
+
 def test_gain_map_files(spark):
     px = views.gradient(spark, 8, 8, low=0.2, high=2.0).withColumn("image_id", F.lit("g"))
     back = images.pixels(images.decoded(images.gain_map_files(px, 8, 8, quality=100)))
