@@ -1,12 +1,15 @@
 """Registered queries of the codecs' inner steps on given tables: Huffman codes, packed bits, run-length packets, wavelet levels, byte planes. Each SQL
 goes another way than the Columns: lists merged one by one, bits one by one, a walk over positions, pairs joined line by line."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .operators import entropy, planes, runlength, stretches, wavelet
 from .plans import views
-from .plans.stored import stored
-from .queries import EV, ORACLE_SQL, QUERIES, query
+from .plans.stored import shared_folder, stored
+from .queries import EV, ORACLE_SQL, QUERIES, _half_or_0, query, rounded
+from .sources import datasource
 
 # Huffman codes of each user's event values, in steps of 256.
 _SYM = f"{EV}, sym AS (SELECT image_id, p, v // 256 AS v FROM ev), cnt AS (SELECT image_id, v, count(*) AS n FROM sym GROUP BY ALL)"
@@ -170,3 +173,43 @@ def byte_planes(spark, d):
 def byte_planes_merged(spark, d):
     values = _segments(spark, d)
     return planes.merged(planes.split(values), values)
+
+
+# All events as one image 64 pixels wide, coded block by block and put together from parts, then read by byte ranges.
+def _one_image(spark, d, compression):
+    """Where the image's folder is."""
+    datasource.register(spark)
+    events = views.table(spark, d, "events").select("event_id", "value", "user_id")
+    height = (events.agg(F.max("event_id")).first()[0] or 0) // 64 + 1
+    px = events.select(F.lit("events").alias("image_id"), (F.col("event_id") % 64).alias("x"), F.floor(F.col("event_id") / 64).alias("y"), (F.col("value") / 100).alias("r"), (F.col("user_id") / 64).alias("g"), F.lit(0.5).alias("b"), F.lit(1.0).alias("a"))
+    at = f"{shared_folder(spark)}/image-{uuid.uuid4().hex}"
+    parts = datasource.exr_parts(px, 64, height, compression)
+    parts.repartition("path").sortWithinPartitions("path", "part").write.format("parts").mode("append").save(at)
+    return at
+
+
+_ALL = "px AS (SELECT event_id, (value/100)::FLOAT::DOUBLE AS r, (user_id/64.0)::FLOAT::DOUBLE AS g FROM events)"
+
+
+def _assembled(compression):
+    value = _half_or_0 if compression != "none" else str
+    sql = f"WITH {_ALL} SELECT event_id % 64 AS x, event_id // 64 AS y, round({value('r')}, 5) AS r, round({value('g')}, 5) AS g, 0.5::DOUBLE AS b FROM px"
+
+    @query(sql)
+    def run(spark, d):
+        blocks = spark.read.format("exr").option("path", _one_image(spark, d, compression)).option("split", 1 << 16).load()
+        px = datasource.block_pixels(blocks).filter("a > 0")  # the last line's end has no events
+        return rounded(px.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), *(F.col(c).cast("double").alias(c) for c in "rgb")), "x", "y")
+
+    QUERIES[f"exr_assembled_{compression}"], ORACLE_SQL[f"exr_assembled_{compression}"] = QUERIES.pop("run"), ORACLE_SQL.pop("run")
+
+
+for _c in ("none", "zip", "piz"):
+    _assembled(_c)
+
+
+@query("SELECT 64 AS width, (max(event_id) // 64 + 1)::INT AS height, 'zip' AS compression, 'A,B,G,R' AS channels, ((max(event_id) // 64 + 1 + 15) // 16)::INT AS blocks, true AS head_only FROM events")
+def exr_headers(spark, d):
+    """What the header says, from the file's first bytes."""
+    rows = spark.read.format("exr").option("path", _one_image(spark, d, "zip")).option("what", "headers").load()
+    return rows.select("width", "height", "compression", "channels", "blocks", (F.col("bytes_read") <= datasource.HEAD).alias("head_only"))

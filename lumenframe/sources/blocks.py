@@ -225,23 +225,19 @@ def pack_bits(values: np.ndarray, widths: np.ndarray) -> tuple[bytes, int]:
 
 
 def pack_lengths(lengths: np.ndarray) -> bytes:
-    values, widths, k = [], [], 0
-    each = lengths.tolist()
-    while k < len(each):
-        zeros = 0
-        while k + zeros < len(each) and not each[k + zeros] and zeros < 255 + 6:
-            zeros += 1
-        if zeros >= 6:
-            values += [LONG_ZEROS, zeros - 6]
-            widths += [6, 8]
-        elif zeros >= 2:
-            values.append(SHORT_ZEROS + zeros - 2)
+    """From one used symbol to the next, with the zero lengths between them in as few codes as there are."""
+    values, widths, at = [], [], 0
+    for k in [*np.flatnonzero(lengths).tolist(), len(lengths)]:
+        zeros = k - at
+        while zeros:
+            n = min(zeros, 255 + 6)
+            values += [LONG_ZEROS, n - 6] if n >= 6 else [SHORT_ZEROS + n - 2] if n >= 2 else [0]
+            widths += [6, 8] if n >= 6 else [6]
+            zeros -= n
+        if k < len(lengths):
+            values.append(int(lengths[k]))
             widths.append(6)
-        else:
-            values.append(each[k])
-            widths.append(6)
-            zeros = 1
-        k += zeros
+        at = k + 1
     return pack_bits(np.array(values), np.array(widths))[0]
 
 
