@@ -36,22 +36,30 @@ def grid(spark, width: int, height: int) -> DataFrame:
     return spark.range(width * height).select(F.col("id").cast("int").alias("p"), (F.col("id") % width).cast("int").alias("x"), F.floor(F.col("id") / width).cast("int").alias("y"))
 
 
+def places(spark, sf_dir, width: int) -> tuple[DataFrame, int]:
+    """p, x, y of an image with a pixel for each event, and its height."""
+    p = table(spark, sf_dir, "events").select(F.col("event_id").alias("p"))
+    height = (p.agg(F.max("p")).first()[0] or 0) // width + 1
+    return p.select("p", (F.col("p") % width).cast("int").alias("x"), F.floor(F.col("p") / width).cast("int").alias("y")), height
+
+
 def unit(axis: str, size: int):
     return F.col(axis).cast("double") / (size - 1) if size > 1 else F.lit(0.0)
 
 
-def gradient(spark, width, height, mode="horizontal", low=0.0, high=1.0, channel="rgb") -> DataFrame:
+def gradient(spark, width, height, mode="horizontal", low=0.0, high=1.0, channel="rgb", at=None) -> DataFrame:
+    """at: places (p, x, y), where not the whole grid is wanted; so below."""
     t = {"horizontal": unit("x", width), "vertical": unit("y", height)}.get(mode)
     if t is None:
         t = (F.col("x") + F.col("y")).cast("double") / (width + height - 2) if width + height > 2 else F.lit(0.0)
     v = (F.lit(low) + t * (high - low)).cast("float")
     pick = lambda c: v if channel in ("rgb", c) else F.lit(0.0).cast("float")
-    return grid(spark, width, height).select("p", "x", "y", *(pick(c).alias(c) for c in "rgb"), F.lit(1.0).cast("float").alias("a"))
+    return (at or grid(spark, width, height)).select("p", "x", "y", *(pick(c).alias(c) for c in "rgb"), F.lit(1.0).cast("float").alias("a"))
 
 
-def rainbow(spark, width, height, value=1.0, intensity=1.0) -> DataFrame:
+def rainbow(spark, width, height, value=1.0, intensity=1.0, at=None) -> DataFrame:
     """Hue by row, saturation by column; a channel falls off with its distance on the hue circle."""
-    df = grid(spark, width, height).withColumn("hue", unit("y", height) * 6).withColumn("s", unit("x", width))
+    df = (at or grid(spark, width, height)).withColumn("hue", unit("y", height) * 6).withColumn("s", unit("x", width))
 
     def channel(n):
         k = (F.col("hue") + n) % 6
@@ -60,17 +68,17 @@ def rainbow(spark, width, height, value=1.0, intensity=1.0) -> DataFrame:
     return df.select("p", "x", "y", channel(5).alias("r"), channel(3).alias("g"), channel(1).alias("b"), F.lit(1.0).cast("float").alias("a"))
 
 
-def radial(spark, width, height) -> DataFrame:
+def radial(spark, width, height, at=None) -> DataFrame:
     far = ((width - 1) ** 2 + (height - 1) ** 2) ** 0.5 or 1.0
     v = (1 - F.sqrt((F.col("x") * F.col("x") + F.col("y") * F.col("y")).cast("double")) / far).cast("float")
-    return grid(spark, width, height).select("p", "x", "y", *(v.alias(c) for c in "rgb"), F.lit(1.0).cast("float").alias("a"))
+    return (at or grid(spark, width, height)).select("p", "x", "y", *(v.alias(c) for c in "rgb"), F.lit(1.0).cast("float").alias("a"))
 
 
-def cie_wedge(spark, width, height, luminance: float = 1.0, channel: str = "rgb") -> DataFrame:
+def cie_wedge(spark, width, height, luminance: float = 1.0, channel: str = "rgb", at=None) -> DataFrame:
     """The chromaticity plane up to x 0.735 and y 0.834, y upwards, as linear Rec.2020; channel keeps one of r, g, b."""
     x, y = unit("x", width) * 0.735, (1 - unit("y", height)) * 0.834
     rgb = color.xyy_to_rgb(x, y, F.lit(float(luminance)), "rec2020")
-    px = grid(spark, width, height).select("p", "x", "y", *(F.greatest(F.lit(0.0), v).alias(c) for v, c in zip(rgb, "rgb", strict=True)), F.lit(1.0).cast("float").alias("a"))
+    px = (at or grid(spark, width, height)).select("p", "x", "y", *(F.greatest(F.lit(0.0), v).alias(c) for v, c in zip(rgb, "rgb", strict=True)), F.lit(1.0).cast("float").alias("a"))
     return isolated(px, channel)
 
 

@@ -385,39 +385,44 @@ def exr_offsets_variable(spark, d):
 _LINES = ", ".join(f"('{k}', {v})" for k, v in relational.BLOCK_LINES.items())
 
 
-@query(f"SELECT codec, h, ((h + lines - 1) // lines)::BIGINT AS blocks FROM (VALUES {_LINES}) t(codec, lines), (SELECT unnest(range(1, 101))::INT AS h)")
+@query(f"SELECT codec, h, ((h + lines - 1) // lines)::BIGINT AS blocks FROM (VALUES {_LINES}) t(codec, lines), (SELECT DISTINCT p_size AS h FROM part)")
 def exr_block_layout(spark, d):
-    t = spark.sql(f"SELECT * FROM VALUES {_LINES} AS t(codec, lines)").withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(100))))
+    codecs = F.explode(F.array(*(F.struct(F.lit(c).alias("codec"), F.lit(n).alias("lines")) for c, n in relational.BLOCK_LINES.items())))
+    t = views.table(spark, d, "part").select(F.col("p_size").alias("h")).distinct().select("h", codecs.alias("c")).select("h", "c.codec", "c.lines")
     return t.select("codec", "h", F.ceil(F.col("h") / F.col("lines")).alias("blocks"))
 
 
-_G = "g AS (SELECT i AS p, i % {w} AS x, i // {w} AS y FROM (SELECT unnest(range({n}))::INT AS i))"
+_G = "g AS (SELECT event_id AS p, event_id % {w} AS x, event_id // {w} AS y, (max(event_id) OVER () // {w})::DOUBLE AS top FROM events)"
 
 
-@query("WITH " + _G.format(w=16, n=128) + " SELECT p, round((0.1::DOUBLE + x/15.0::DOUBLE*7.9::DOUBLE)::FLOAT::DOUBLE,6) AS r, 0.0::DOUBLE AS g FROM g")
+@query("WITH " + _G.format(w=16) + " SELECT p, round((0.1::DOUBLE + x/15.0::DOUBLE*7.9::DOUBLE)::FLOAT::DOUBLE,6) AS r, 0.0::DOUBLE AS g FROM g")
 def gen_gradient(spark, d):
-    return views.gradient(spark, 16, 8, "horizontal", 0.1, 8.0, "r").select("p", F.round(F.col("r").cast("double"), 6).alias("r"), F.col("g").cast("double").alias("g"))
+    at, height = views.places(spark, d, 16)
+    return views.gradient(spark, 16, height, "horizontal", 0.1, 8.0, "r", at).select("p", F.round(F.col("r").cast("double"), 6).alias("r"), F.col("g").cast("double").alias("g"))
 
 
 _HUE = "CASE WHEN h < 60 THEN [c, k, 0] WHEN h < 120 THEN [k, c, 0] WHEN h < 180 THEN [0, c, k] WHEN h < 240 THEN [0, k, c] WHEN h < 300 THEN [k, 0, c] ELSE [c, 0, k] END"
 
 
-@query("WITH " + _G.format(w=16, n=256) + f", s AS (SELECT p, y/15.0::DOUBLE*360 AS h, x/15.0::DOUBLE*0.9::DOUBLE AS c FROM g), k AS (SELECT *, c*(1-abs((h/60) % 2 - 1)) AS k, 0.9::DOUBLE-c AS m FROM s), v AS (SELECT p, m, {_HUE} AS v FROM k) SELECT p, " + ", ".join(f"round(((v[{i + 1}]+m)*4)::FLOAT::DOUBLE,5) AS {c}" for i, c in enumerate(RGB)) + " FROM v")
+@query("WITH " + _G.format(w=16) + f", s AS (SELECT p, y/top*360 AS h, x/15.0::DOUBLE*0.9::DOUBLE AS c FROM g), k AS (SELECT *, c*(1-abs((h/60) % 2 - 1)) AS k, 0.9::DOUBLE-c AS m FROM s), v AS (SELECT p, m, {_HUE} AS v FROM k) SELECT p, " + ", ".join(f"round(((v[{i + 1}]+m)*4)::FLOAT::DOUBLE,5) AS {c}" for i, c in enumerate(RGB)) + " FROM v")
 def gen_rainbow(spark, d):
-    return views.rainbow(spark, 16, 16, 0.9, 4.0).select("p", *(F.round(F.col(c).cast("double"), 5).alias(c) for c in RGB))
+    at, height = views.places(spark, d, 16)
+    return views.rainbow(spark, 16, height, 0.9, 4.0, at).select("p", *(F.round(F.col(c).cast("double"), 5).alias(c) for c in RGB))
 
 
-@query("WITH " + _G.format(w=12, n=120) + " SELECT p, round((1 - sqrt((x*x+y*y)::DOUBLE)/sqrt(202::DOUBLE))::FLOAT::DOUBLE,6) AS r FROM g")
+@query("WITH " + _G.format(w=12) + " SELECT p, round((1 - sqrt((x*x+y*y)::DOUBLE)/sqrt(121+top*top))::FLOAT::DOUBLE,6) AS r FROM g")
 def gen_sdf(spark, d):
-    return views.radial(spark, 12, 10).select("p", F.round(F.col("r").cast("double"), 6).alias("r"))
+    at, height = views.places(spark, d, 12)
+    return views.radial(spark, 12, height, at).select("p", F.round(F.col("r").cast("double"), 6).alias("r"))
 
 
 _INV = np.linalg.inv(color.rgb_to_xyz("rec2020")).tolist()
 
 
-@query("WITH " + _G.format(w=16, n=256) + ", c AS (SELECT p, x/15.0::DOUBLE*0.735::DOUBLE AS cx, (1-y/15.0::DOUBLE)*0.834::DOUBLE AS cy FROM g), z AS (SELECT p, CASE WHEN cy < 1e-6 THEN 0 ELSE cx/cy END AS r, CASE WHEN cy < 1e-6 THEN 0 ELSE 1 END::DOUBLE AS g, CASE WHEN cy < 1e-6 THEN 0 ELSE (1-cx-cy)/cy END AS b FROM c) SELECT p, " + ", ".join(f"round(greatest(0, {e}),4) AS {c}" for e, c in zip(dots(_INV), RGB, strict=True)) + " FROM z")
+@query("WITH " + _G.format(w=16) + ", c AS (SELECT p, x/15.0::DOUBLE*0.735::DOUBLE AS cx, (1-y/top)*0.834::DOUBLE AS cy FROM g), z AS (SELECT p, CASE WHEN cy < 1e-6 THEN 0 ELSE cx/cy END AS r, CASE WHEN cy < 1e-6 THEN 0 ELSE 1 END::DOUBLE AS g, CASE WHEN cy < 1e-6 THEN 0 ELSE (1-cx-cy)/cy END AS b FROM c) SELECT p, " + ", ".join(f"round(greatest(0, {e}),4) AS {c}" for e, c in zip(dots(_INV), RGB, strict=True)) + " FROM z")
 def gen_cie_wedge(spark, d):
-    return views.cie_wedge(spark, 16, 16).select("p", *(F.round(F.col(c), 4).alias(c) for c in RGB))
+    at, height = views.places(spark, d, 16)
+    return views.cie_wedge(spark, 16, height, at=at).select("p", *(F.round(F.col(c), 4).alias(c) for c in RGB))
 
 
 @query("SELECT ext, count(*) AS n FROM (SELECT DISTINCT url, lower(regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '\\.([A-Za-z0-9]+)$', 1)) AS ext FROM pages) WHERE ext IN ('html', 'htm') GROUP BY ext")

@@ -35,51 +35,56 @@ def space_matrices(spark, d):
 SHIFTS = (-0.011, -0.005, 0.0, 0.004, 0.011)
 
 
-def _shifted(spark):
-    """Chromaticities of the known spaces with one of the eight numbers moved: space, c, shift and xy0 to xy7."""
-    df = spark.createDataFrame([(s, [float(v) for t, _, v in POINTS if t == s]) for s in color.CHROMATICITIES], "space string, v array<double>")
-    df = df.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("shift", F.explode(F.array(*map(F.lit, SHIFTS))))
-    return df.select("space", "c", "shift", *((F.get("v", F.lit(i)) + F.when(F.col("c") == i, F.col("shift")).otherwise(0.0)).alias(f"xy{i}") for i in range(8)))
+def _shifted(spark, d):
+    """One candidate a customer: the chromaticities of a known space with one of the eight numbers moved: k, space, c, shift and xy0 to xy7."""
+    df = views.table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    pick = lambda values, i: F.element_at(F.array(*values), (i + 1).cast("int"))
+    known = [F.array(*(F.lit(float(v)) for t, _, v in POINTS if t == s)) for s in color.CHROMATICITIES]
+    k = F.col("k")
+    df = df.select("k", pick(map(F.lit, color.CHROMATICITIES), k % 3).alias("space"), pick(known, k % 3).alias("v"), (F.floor(k / 3) % 8).cast("int").alias("c"), pick(map(F.lit, SHIFTS), F.floor(k / 24) % 5).alias("shift"))
+    return df.select("k", "space", "c", "shift", *((F.get("v", F.lit(i)) + F.when(F.col("c") == i, F.col("shift")).otherwise(0.0)).alias(f"xy{i}") for i in range(8)))
 
 
 XY = [f"xy{i}" for i in range(8)]
-_CAND = f"cand AS (SELECT space, c, shift FROM (SELECT DISTINCT space FROM known), (SELECT unnest(range(8))::INT AS c), (SELECT unnest([{', '.join(f'{s}::DOUBLE' for s in SHIFTS)}]) AS shift))"
-_NEAR = ("near AS (SELECT cand.space, c, shift, k.space AS found FROM cand JOIN known o ON o.space = cand.space JOIN known k ON k.i = o.i GROUP BY 1, 2, 3, 4 "
-         "HAVING bool_and(abs(o.v + CASE WHEN o.i = c THEN shift ELSE 0 END - k.v) <= 0.01))")
+_CAND = f"cand AS (SELECT c_custkey AS k, [{', '.join(f"'{s}'" for s in color.CHROMATICITIES)}][c_custkey % 3 + 1] AS space, (c_custkey // 3 % 8)::INT AS c, [{', '.join(f'{s}::DOUBLE' for s in SHIFTS)}][c_custkey // 24 % 5 + 1] AS shift FROM customer)"
+_NEAR = ("near AS (SELECT cand.k, t.space AS found FROM cand JOIN known o ON o.space = cand.space JOIN known t ON t.i = o.i GROUP BY 1, 2 "
+         "HAVING bool_and(abs(o.v + CASE WHEN o.i = c THEN shift ELSE 0 END - t.v) <= 0.01))")
 
 
-@query(f"WITH {KNOWN}, {_CAND}, {_NEAR} SELECT space, c, shift, (SELECT arg_min(found, {ORDER.replace('space', 'found', 1)}) FROM near WHERE near.space = cand.space AND near.c = cand.c AND near.shift = cand.shift) AS found FROM cand")
+@query(f"WITH {KNOWN}, {_CAND}, {_NEAR} SELECT k, space, c, shift, (SELECT arg_min(found, {ORDER.replace('space', 'found', 1)}) FROM near WHERE near.k = cand.k) AS found FROM cand")
 def classify_color_space(spark, d):
-    return _shifted(spark).select("space", "c", "shift", color.space_of(*(F.col(x) for x in XY)).alias("found"))
+    return _shifted(spark, d).select("k", "space", "c", "shift", color.space_of(*(F.col(x) for x in XY)).alias("found"))
 
 
-@query(f"WITH {KNOWN}, {_CAND}, {_NEAR}, f AS (SELECT cand.*, near.found IS NOT NULL AS ok FROM cand LEFT JOIN near ON near.space = cand.space AND near.c = cand.c AND near.shift = cand.shift AND near.found = 'rec709') "
-       "SELECT space, c, shift, ok, CASE WHEN NOT ok THEN 'not Rec.709' END AS problem, CASE WHEN NOT ok THEN 'not Rec.709' END AS strict_problem FROM f "
-       "UNION ALL SELECT 'absent', 0, 0.0, false, NULL, 'no chromaticities'")
+@query(f"WITH {KNOWN}, {_CAND}, {_NEAR}, f AS (SELECT cand.*, near.found IS NOT NULL AS ok FROM cand LEFT JOIN near ON near.k = cand.k AND near.found = 'rec709') "
+       "SELECT k, space, c, shift, ok, CASE WHEN NOT ok THEN 'not Rec.709' END AS problem, CASE WHEN NOT ok THEN 'not Rec.709' END AS strict_problem FROM f "
+       "UNION ALL SELECT -1, 'absent', 0, 0.0, false, NULL, 'no chromaticities'")
 def is_rec709(spark, d):
-    df = _shifted(spark)
-    df = df.unionByName(spark.createDataFrame([("absent", 0, 0.0)], "space string, c int, shift double"), allowMissingColumns=True)
+    df = _shifted(spark, d)
+    df = df.unionByName(spark.createDataFrame([(-1, "absent", 0, 0.0)], "k long, space string, c int, shift double"), allowMissingColumns=True)
     xy = [F.col(x) for x in XY]
-    return df.select("space", "c", "shift", F.coalesce(color.is_rec709(*xy), F.lit(False)).alias("ok"), color.tone_mapping_problem(*xy).alias("problem"), color.tone_mapping_problem(*xy, strict=True).alias("strict_problem"))
+    return df.select("k", "space", "c", "shift", F.coalesce(color.is_rec709(*xy), F.lit(False)).alias("ok"), color.tone_mapping_problem(*xy).alias("problem"), color.tone_mapping_problem(*xy, strict=True).alias("strict_problem"))
 
 
-@query("SELECT * FROM (VALUES ('linear-rec709', 'display-srgb', 'linear-rec709', 'srgb'), ('linear-p3', 'display-p3', 'linear-p3', 'display-p3'), "
-       "('linear-rec2020', 'display-rec2020', 'linear-rec2020', NULL), ('other', NULL, NULL, NULL)) t(linear, display, back, canvas)")
+@query("SELECT n_nationkey AS k, linear, display, back, canvas FROM nation JOIN (VALUES (0, 'linear-rec709', 'display-srgb', 'linear-rec709', 'srgb'), (1, 'linear-p3', 'display-p3', 'linear-p3', 'display-p3'), "
+       "(2, 'linear-rec2020', 'display-rec2020', 'linear-rec2020', NULL), (3, 'other', NULL, NULL, NULL)) t(i, linear, display, back, canvas) ON i = n_nationkey % 4")
 def space_lookup(spark, d):
-    df = spark.createDataFrame([(s,) for s in (*color.LINEAR.values(), "other")], "linear string")
+    names = F.array(*(F.lit(s) for s in (*color.LINEAR.values(), "other")))
+    df = views.table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.element_at(names, (F.col("n_nationkey") % 4 + 1).cast("int")).alias("linear"))
     df = df.withColumn("display", color.looked_up(F.col("linear"), color.LINEAR_TO_DISPLAY))
-    return df.select("linear", "display", color.looked_up(F.col("display"), color.DISPLAY_TO_LINEAR).alias("back"), color.looked_up(F.col("display"), color.DISPLAY_TO_CANVAS).alias("canvas"))
+    return df.select("k", "linear", "display", color.looked_up(F.col("display"), color.DISPLAY_TO_LINEAR).alias("back"), color.looked_up(F.col("display"), color.DISPLAY_TO_CANVAS).alias("canvas"))
 
 
-_XYY = "g AS (SELECT i, j, l, i/10.0::DOUBLE AS cx, j/10.0::DOUBLE AS cy FROM (SELECT unnest(range(9))::INT AS i), (SELECT unnest(range(9))::INT AS j), (SELECT unnest([0.5::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE]) AS l))"
-_XYY += ", z AS (SELECT i, j, l, CASE WHEN cy < 1e-6 THEN 0 ELSE cx/cy*l END AS r, CASE WHEN cy < 1e-6 THEN 0 ELSE l END AS g, CASE WHEN cy < 1e-6 THEN 0 ELSE (1-cx-cy)/cy*l END AS b FROM g)"
+_XYY = "g AS (SELECT k, i, j, l, i/10.0::DOUBLE AS cx, j/10.0::DOUBLE AS cy FROM (SELECT p_partkey AS k, (p_partkey % 9)::INT AS i, (p_size % 9)::INT AS j, [0.5::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][p_partkey % 3 + 1] AS l FROM part))"
+_XYY += ", z AS (SELECT k, i, j, l, CASE WHEN cy < 1e-6 THEN 0 ELSE cx/cy*l END AS r, CASE WHEN cy < 1e-6 THEN 0 ELSE l END AS g, CASE WHEN cy < 1e-6 THEN 0 ELSE (1-cx-cy)/cy*l END AS b FROM g)"
 
 
-@query(f"WITH {_XYY} SELECT i, j, l, " + ", ".join(f"round({e}, 4) + 0.0 AS {c}" for e, c in zip(dots(_INV), RGB, strict=True)) + " FROM z")
+@query(f"WITH {_XYY} SELECT k, i, j, l, " + ", ".join(f"round({e}, 4) + 0.0 AS {c}" for e, c in zip(dots(_INV), RGB, strict=True)) + " FROM z")
 def xyy_to_rgb(spark, d):
-    df = spark.range(81).select(F.floor(F.col("id") / 9).cast("int").alias("i"), (F.col("id") % 9).cast("int").alias("j")).withColumn("l", F.explode(F.array(*map(F.lit, (0.5, 1.0, 2.0)))))
+    k = F.col("p_partkey")
+    df = views.table(spark, d, "part").select(k.alias("k"), (k % 9).cast("int").alias("i"), (F.col("p_size") % 9).cast("int").alias("j"), F.element_at(F.array(*map(F.lit, (0.5, 1.0, 2.0))), (k % 3 + 1).cast("int")).alias("l"))
     rgb = color.xyy_to_rgb(F.col("i") / 10, F.col("j") / 10, F.col("l"), "rec2020")
-    return df.select("i", "j", "l", *((F.round(v, 4) + 0.0).alias(c) for v, c in zip(rgb, RGB, strict=True)))
+    return df.select("k", "i", "j", "l", *((F.round(v, 4) + 0.0).alias(c) for v, c in zip(rgb, RGB, strict=True)))
 
 
 _EXPOSED = "ex AS (SELECT *, CASE WHEN image_id % 5 = 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE*(1 + image_id % 4) END AS e FROM emb)"
@@ -174,12 +179,13 @@ def compare_sizes(spark, d):
     return stats.compared(left, right).select("image_id", "match", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("mismatched", "max_abs", "rmse")))
 
 
-_WEDGE = "g AS (SELECT i AS p, i % 16 AS x, i // 16 AS y FROM (SELECT unnest(range(256))::INT AS i)), c AS (SELECT p, x/15.0::DOUBLE*0.735::DOUBLE AS cx, (1-y/15.0::DOUBLE)*0.834::DOUBLE AS cy FROM g), z AS (SELECT p, CASE WHEN cy < 1e-6 THEN 0 ELSE cx/cy*0.5 END AS r, CASE WHEN cy < 1e-6 THEN 0 ELSE 0.5 END::DOUBLE AS g, CASE WHEN cy < 1e-6 THEN 0 ELSE (1-cx-cy)/cy*0.5 END AS b FROM c)"
+_WEDGE = "g AS (SELECT event_id AS p, event_id % 16 AS x, event_id // 16 AS y, (max(event_id) OVER () // 16)::DOUBLE AS top FROM events), c AS (SELECT p, x/15.0::DOUBLE*0.735::DOUBLE AS cx, (1-y/top)*0.834::DOUBLE AS cy FROM g), z AS (SELECT p, CASE WHEN cy < 1e-6 THEN 0 ELSE cx/cy*0.5 END AS r, CASE WHEN cy < 1e-6 THEN 0 ELSE 0.5 END::DOUBLE AS g, CASE WHEN cy < 1e-6 THEN 0 ELSE (1-cx-cy)/cy*0.5 END AS b FROM c)"
 
 
 @query(f"WITH {_WEDGE} SELECT p, 0.0::DOUBLE AS r, round(greatest(0, {dots(_INV)[1]}), 4) AS g, 0.0::DOUBLE AS b FROM z")
 def channel_isolate(spark, d):
-    return views.cie_wedge(spark, 16, 16, luminance=0.5, channel="g").select("p", *(F.round(F.col(c), 4).alias(c) for c in RGB))
+    at, height = views.places(spark, d, 16)
+    return views.cie_wedge(spark, 16, height, luminance=0.5, channel="g", at=at).select("p", *(F.round(F.col(c), 4).alias(c) for c in RGB))
 
 
 # Codec steps.
@@ -204,14 +210,15 @@ for _bits in (24, 32):
     QUERIES[f"pxr24_undelta_{_bits}"], ORACLE_SQL[f"pxr24_undelta_{_bits}"] = QUERIES.pop("_undelta"), ORACLE_SQL.pop("_undelta")
 
 _LINES = ", ".join(f"('{k}', {v})" for k, v in relational.BLOCK_LINES.items())
-_SHAPES = "(SELECT unnest([1, 7, 640])::INT AS width), (SELECT unnest([1, 15, 16, 33, 100])::INT AS height)"
+_SHAPES = "(SELECT DISTINCT (1 + p_partkey % 5)::INT AS width, p_size AS height FROM part)"
 
 
 @query(f"WITH s AS (SELECT codec, lines AS n, width, height, (height + lines - 1) // lines AS blocks FROM (VALUES {_LINES}) t(codec, lines), {_SHAPES}), "
        "b AS (SELECT *, unnest(range(blocks))::BIGINT AS block FROM s) SELECT codec, width, height, block, (block*n)::BIGINT AS first_y, least(n, height - block*n)::BIGINT AS lines, "
        "(400 + blocks*8 + (SELECT coalesce(sum(8 + b.width*least(b.n, b.height - k*b.n)*16), 0) FROM (SELECT unnest(range(b.block)) AS k)))::BIGINT AS \"at\" FROM b")
 def exr_offsets_fixed(spark, d):
-    shapes = spark.createDataFrame([(c, w, h) for c in relational.BLOCK_LINES for w in (1, 7, 640) for h in (1, 15, 16, 33, 100)], "codec string, width int, height int")
+    shapes = views.table(spark, d, "part").select((1 + F.col("p_partkey") % 5).cast("int").alias("width"), F.col("p_size").alias("height")).distinct()
+    shapes = shapes.withColumn("codec", F.explode(F.array(*map(F.lit, relational.BLOCK_LINES))))
     out = relational.offsets_fixed(shapes, 400)
     return out.select("codec", "width", "height", "block", "first_y", F.col("lines").cast("long").alias("lines"), "at")
 
@@ -226,11 +233,12 @@ def exr_total_size(spark, d):
 _NAMES = [("R", 2), ("G", 2), ("B", 4), ("A", 2), ("Z", 4), ("depth.V", 4), ("U", 4)]
 
 
-@query("WITH n(k, name, bytes) AS (VALUES " + ", ".join(f"({k}, '{n}', {b})" for k, (n, b) in enumerate(_NAMES)) + "), c AS (SELECT i AS image_id, name, bytes FROM n, (SELECT unnest(range(1, 128))::BIGINT AS i) WHERE (i >> k) & 1 = 1) "
+@query("WITH n(k, name, bytes) AS (VALUES " + ", ".join(f"({k}, '{n}', {b})" for k, (n, b) in enumerate(_NAMES)) + "), c AS (SELECT i AS image_id, name, bytes FROM n, (SELECT DISTINCT 1 + p_partkey % 127 AS i FROM part) WHERE (i >> k) & 1 = 1) "
        "SELECT c.image_id, c.name, (SELECT count(*) FROM c o WHERE o.image_id = c.image_id AND o.name < c.name) AS place, (SELECT coalesce(sum(o.bytes), 0)::BIGINT FROM c o WHERE o.image_id = c.image_id AND o.name < c.name) AS \"at\" FROM c")
 def channel_order(spark, d):
     rows = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(n).alias("name"), F.lit(b).alias("bytes")) for k, (n, b) in enumerate(_NAMES)))
-    df = spark.range(1, 128).select(F.col("id").alias("image_id"), F.explode(rows).alias("x")).filter("shiftright(image_id, x.k) & 1 = 1").select("image_id", "x.name", "x.bytes")
+    masks = views.table(spark, d, "part").select((1 + F.col("p_partkey") % 127).alias("image_id")).distinct()
+    df = masks.select("image_id", F.explode(rows).alias("x")).filter("shiftright(image_id, x.k) & 1 = 1").select("image_id", "x.name", "x.bytes")
     return relational.channel_order(df).select("image_id", "name", F.col("place").cast("long").alias("place"), "at")
 
 
@@ -327,15 +335,17 @@ def batch_convert(spark, d):
     return out.select("source", "path", F.when(F.col("error").isNotNull(), "unreadable").alias("problem"))
 
 
-_LINE = "px AS (SELECT i AS p, (0.1::DOUBLE + (i % 64)/63.0::DOUBLE*7.9::DOUBLE)::FLOAT::DOUBLE AS r FROM (SELECT unnest(range(512))::INT AS i)), e0 AS (SELECT *, greatest(128, ceil(log2(r)) + 128) AS e FROM px), e1 AS (SELECT p, r, CASE WHEN floor(r/pow(2::DOUBLE, e-128)*255) > 255 THEN e + 1 ELSE e END AS e FROM e0)"
+_LINE = "px AS (SELECT event_id AS p, (0.1::DOUBLE + (event_id % 64)/63.0::DOUBLE*7.9::DOUBLE)::FLOAT::DOUBLE AS r FROM events WHERE event_id < (SELECT (max(event_id) + 1) // 64 * 64 FROM events)), e0 AS (SELECT *, greatest(128, ceil(log2(r)) + 128) AS e FROM px), e1 AS (SELECT p, r, CASE WHEN floor(r/pow(2::DOUBLE, e-128)*255) > 255 THEN e + 1 ELSE e END AS e FROM e0)"
 
 
 @query(f"WITH {_LINE} SELECT p, round(((floor(r/pow(2::DOUBLE, e-128)*255) + 0.5::DOUBLE)*pow(2::DOUBLE, e-128)/255)::FLOAT::DOUBLE, 6) AS r, round((0.5::DOUBLE*pow(2::DOUBLE, e-128)/255)::FLOAT::DOUBLE, 6) AS g FROM e1")
 def hdr_packed_roundtrip(spark, d):
     """A gradient as a Radiance file with run-length lines, and read back."""
-    px = views.gradient(spark, 64, 8, "horizontal", 0.1, 8.0, "r").withColumn("image_id", F.lit("g"))
-    back = images.pixels(images.decoded(images.encoded(images.from_pixels(px, 64, 8), "hdr", packed=True)))
-    return back.select("p", *(F.round(F.col(c).cast("double"), 6).alias(c) for c in "rg"))
+    at, height = views.places(spark, d, 64)
+    whole = at.count() // 64  # full lines
+    px = views.gradient(spark, 64, height, "horizontal", 0.1, 8.0, "r", at).filter(F.col("y") < whole).withColumn("image_id", F.lit("g"))
+    back = images.pixels(images.decoded(images.encoded(images.from_pixels(px, 64, whole), "hdr", packed=True)))
+    return back.select(F.col("p").cast("long").alias("p"), *(F.round(F.col(c).cast("double"), 6).alias(c) for c in "rg"))
 
 
 @query(f"WITH {gain_sql(gainmap.DEFAULT, 1, True)} SELECT image_id, true AS pictures, round(log2(max_boost), 4) AS capacity FROM gb")

@@ -36,7 +36,7 @@ NAMES = ["space_matrices", "classify_color_space", "is_rec709", "space_lookup",
 @pytest.mark.parametrize("name", NAMES)
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("embeddings", "lineitem", "events", "documents"):
+    for t in ("embeddings", "lineitem", "events", "documents", "part", "customer", "nation"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     assert plain(queries.QUERIES[name](spark, SF).toPandas()) == plain(con.sql(queries.ORACLE_SQL[name]).df())
 
