@@ -35,7 +35,7 @@ LOW = U((1 << 32) - 1)
 SHARDS = 1
 #: Megabytes of text in a group. Its texts are in memory while it is worked on, in Arrow buffers that grow by doubling: a little under 16 MB wastes least.
 GROUP_MB = 12
-#: An anchor is hot if more than so many groups, and more than a sixteenth of them, hold it.
+#: An anchor is hot if more than so many groups hold it, however large the input: what its shard gathers has a bound in bytes, so many groups' contexts.
 HOT_GROUPS = 256
 #: Keys of one group that are gathered before they are sent.
 MOST_KEYS = 8_000_000
@@ -146,10 +146,8 @@ class Repeats:
 
         return run
 
-    def shared_keys(self, groups: int):
+    def shared_keys(self):
         """s, b, keys, hot: of one shard's lists, for each group its keys that stand in several documents, and those among them that are hot."""
-        hot_groups = max(self.hot_groups, groups // 16) if self.hot_groups >= HOT_GROUPS else self.hot_groups
-
         def run(table: pa.Table) -> pa.Table:
             lists = [from_short(table[c]) for c in ("once", "more")]
             keys, row = (np.concatenate([x[k] for x in lists]) for k in (0, 1))
@@ -159,7 +157,7 @@ class Repeats:
             at = heads(keys)
             count = np.diff(np.append(at, len(keys)))
             shared = np.repeat(np.add.reduceat(weight, at) > 1, count) if len(at) else np.zeros(0, bool)
-            hot = shared & np.repeat(count > hot_groups, count) if len(at) else shared
+            hot = shared & np.repeat(count > self.hot_groups, count) if len(at) else shared
             out = []
             for pick in (shared, hot):
                 k, r = keys[pick], row[pick]
@@ -330,7 +328,7 @@ class Repeats:
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("th", F.xxhash64("text"))
         table, n = grouped(rows, "b", tag, group_mb)
         sent = table.select("b", "text").mapInArrow(self.sent_keys(n), "s int, b long, once binary, more binary")
-        shared = sent.groupBy("s").applyInArrow(_one(self.shared_keys(n)), "s int, b long, keys binary, hot binary")
+        shared = sent.groupBy("s").applyInArrow(_one(self.shared_keys()), "s int, b long, keys binary, hot binary")
         context = table.groupBy("b").cogroup(shared.groupBy("b")).applyInArrow(_two(self.contexts(n, n * SHARDS)), "s int, b long, data binary")
         context = written(context, f"{tag}-contexts")
         marks = context.filter("s >= 0").groupBy("s").applyInArrow(_one(self.marks), "s int, b long, data binary")
