@@ -8,13 +8,14 @@ import re
 import sys
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import color, tone
 from .operators import gainmap
 from .plans import views
-from .sources import exr, images
+from .plans.stored import stored
+from .sources import datasource, exr, images
 
 
 def displayed_image(px: DataFrame, mapper: str, exposure: float) -> DataFrame:
@@ -88,19 +89,22 @@ def batch(spark, args) -> None:
     out.mkdir(parents=True, exist_ok=True)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([str(Path(p).resolve()) for p in args.input])
     files = files.filter(images.extension(F.col("path")).isin(*images.EXTENSIONS)).select("path", "content")
-    failed = 0
-    for r in images.batch_converted(files, args.to, **({"compression": args.compression or "zip"} if args.to == "exr" else {})).toLocalIterator():
-        if r.error is None:
-            (out / Path(r.path).name).write_bytes(bytes(r.content))
-        else:
-            failed += 1
-            print(f"{r.source}: {r.error}", file=sys.stderr)
+    datasource.register(spark)
+    made = images.batch_converted(files, args.to, **({"compression": args.compression or "zip"} if args.to == "exr" else {}))
+    # Of files of one name from several folders the first is written.
+    made = made.withColumn("path", F.regexp_extract("path", r"[^/]*$", 0))
+    first = F.row_number().over(Window.partitionBy("path").orderBy("source")) > 1
+    made = stored(made.withColumn("error", F.when(F.col("path").isNotNull() & first, "another file has this name").otherwise(F.col("error"))), "batch")
+    made.filter("error IS NULL").select("path", F.lit(0).cast("long").alias("part"), "content").write.format("parts").mode("append").save(str(out.resolve()))
+    failed = made.filter("error IS NOT NULL").select("source", "error").orderBy("source").collect()
+    for r in failed:
+        print(f"{r.source}: {r.error}", file=sys.stderr)
     if failed:
-        raise SystemExit(f"{failed} files could not be converted")
+        raise SystemExit(f"{len(failed)} files could not be converted")
 
 
 def info(spark, args) -> None:
-    r = images.image_info(images.load_images(spark, str(Path(args.input).resolve()))).first()
+    r = images.file_info(spark.read.format("binaryFile").load(str(Path(args.input).resolve()))).first()
     out = {"file": args.input, "width": r.width, "height": r.height, "colorSpace": r.space, "metadata": json.loads(r.metadata)}
     if args.json:
         print(json.dumps(out, indent=2))

@@ -47,11 +47,13 @@ def compared(a: DataFrame, b: DataFrame, **tolerance) -> DataFrame:
 
 def worst_columns(a: DataFrame, b: DataFrame, width: int, n: int, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """image_id, x, intensity, worst: of each image the n columns in which red differs most, the leftmost first among equals; intensity is where a
-    horizontal gradient from low to high stands there."""
-    one = a.select("image_id", "p", F.col("r").cast("double").alias("r")).join(b.select("image_id", "p", F.col("r").cast("double").alias("other")), ["image_id", "p"])
-    by = one.groupBy("image_id", (F.col("p") % width).cast("int").alias("x")).agg(F.round(F.max(F.abs(F.col("r") - F.col("other"))), 6).alias("worst"))
+    horizontal gradient from low to high stands there. A column of which one side lacks a pixel is worse than any other, and has no figure."""
+    left, right = (df.select("image_id", "p", F.col("r").cast("double").alias(c)) for df, c in ((a, "r"), (b, "other")))
+    one = left.join(right, ["image_id", "p"], "full").withColumn("delta", F.abs(F.col("r") - F.col("other")))
+    by = one.groupBy("image_id", (F.col("p") % width).cast("int").alias("x")).agg(F.count_if(F.col("delta").isNull()).alias("lacks"), F.round(F.max("delta"), 6).alias("worst"))
+    by = by.withColumn("worst", F.when(F.col("lacks") == 0, F.col("worst")))
     t = F.col("x") / (width - 1) if width > 1 else F.lit(0.0)
-    k = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("worst"), "x"))
+    k = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc_nulls_first("worst"), "x"))
     return by.withColumn("k", k).filter(F.col("k") <= n).select("image_id", "x", F.round(F.lit(low) + t * (high - low), 6).alias("intensity"), "worst")
 
 

@@ -497,7 +497,7 @@ QUERIES["gainmap_adobe_roundtrip"] = _gainmap_query("adobe-gainmap")
 @query("SELECT vec_id AS image_id, 4 AS width, 4 AS height, 'linear-rec709' AS space, 'A,B,G,R' AS channels, 'zip' AS compression FROM embeddings")
 def image_info(spark, d):
     whole = images.from_pixels(views.embedding_pixels(spark, d), 4, 4)
-    info = images.image_info(images.decoded(images.encoded(whole, "exr")))
+    info = images.file_info(images.encoded(whole, "exr"))
     field = lambda k: F.get_json_object("metadata", f"$.{k}").alias(k)
     return info.select(F.regexp_extract("image_id", r"(-?\d+)\.", 1).cast("long").alias("image_id"), "width", "height", "space", field("channels"), field("compression"))
 

@@ -212,6 +212,14 @@ def rgba(channels: list[np.ndarray], at: dict[str, int]) -> np.ndarray:
     return np.where(np.isfinite(out) & (out > 0), out, np.float32(0))
 
 
+def described(header: dict) -> dict:
+    """width, height, space, metadata, without a look at the pixels."""
+    _, _, width, height = window(header)
+    metadata = {k: str(v) for k, v in header.items() if k not in ("channels", "compression")}
+    metadata |= {"compression": compression_of(header), "channels": ",".join(c["name"] for c in header["channels"])}
+    return {"width": width, "height": height, "space": space_of(header.get("chromaticities")), "metadata": metadata}
+
+
 def read(data: bytes, interleaved: bool = False) -> dict:
     """width, height, data (float32, RGBA), space, metadata. Lines that no block holds are black."""
     header, table = read_header(data)
@@ -220,9 +228,7 @@ def read(data: bytes, interleaved: bool = False) -> dict:
     out = np.zeros((height, width, 4), np.float32)
     for first, lines, payload in block_list(data, header, table):
         out[first : first + lines] = rgba(decode_block(payload, compression_of(header), kinds, width, lines, interleaved), at)
-    metadata = {k: str(v) for k, v in header.items() if k not in ("channels", "compression")}
-    metadata |= {"compression": compression_of(header), "channels": ",".join(c["name"] for c in header["channels"])}
-    return {"width": width, "height": height, "data": out.ravel(), "space": space_of(header.get("chromaticities")), "metadata": metadata}
+    return described(header) | {"data": out.ravel()}
 
 
 def header_bytes(width: int, height: int, compression: str, space: str, kind: int) -> bytes:

@@ -119,6 +119,28 @@ def image_info(images: DataFrame) -> DataFrame:
     return images.select("image_id", "width", "height", "space", F.to_json("metadata").alias("metadata"), "error")
 
 
+def file_info(files: DataFrame, on_error: str = "raise") -> DataFrame:
+    """What image_info says, of files (path, content). Of EXR files only the header is looked at; their pixels may be damaged."""
+    exrs = extension(F.col("path")) == "exr"
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                row = {"image_id": [path.as_py()], "width": [None], "height": [None], "space": [None], "metadata": [None], "error": [None]}
+                try:
+                    got = exr.described(exr.read_header(content.as_py() or b"")[0])
+                    row |= {k: [got[k]] for k in ("width", "height", "space")} | {"metadata": [list(got["metadata"].items())]}
+                except ValueError as e:
+                    if on_error != "record":
+                        raise
+                    row["error"] = [str(e)]
+                yield pa.RecordBatch.from_pydict(row, pa.schema([f for f in SCHEMA if f.name != "data"]))
+
+    headers = files.filter(exrs).select("path", "content").mapInArrow(run, IMAGE.replace("data array<float>, ", ""))
+    others = decoded(files.filter(~exrs), on_error).drop("data")
+    return image_info(headers.unionByName(others))
+
+
 def gain_map_pictures(px: DataFrame, mapper: str = "aces", exposure: float = 1.0, options=None) -> DataFrame:
     """image_id, log_min, log_max and v, both pictures' bytes pixel by pixel, one row an image."""
     from ..operators import gainmap

@@ -14,7 +14,7 @@ from lumenframe import queries
 from lumenframe.__main__ import main
 from lumenframe.functions import bits, color, tone
 from lumenframe.operators import gainmap, relational, stats
-from lumenframe.sources import images, png, rgbe, ultrahdr
+from lumenframe.sources import exr, images, png, rgbe, ultrahdr
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,6 +52,21 @@ def test_unequal_images_do_not_match(spark):
     assert stats.compared(a.limit(0), b.limit(0)).count() == 0
 
 
+def test_columns_that_one_side_lacks_are_the_worst(spark):
+    a = spark.createDataFrame([(1, k, 0.1 * k, 0.0, 0.0, 1.0) for k in range(8)] + [(2, 0, 1.0, 0.0, 0.0, 1.0)], PX)
+    b = spark.createDataFrame([(1, k, 0.1 * k + (0.5 if k == 1 else 0.0), 0.0, 0.0, 1.0) for k in range(8) if k != 7], PX)
+    got = [(r.image_id, r.x, r.worst) for r in stats.worst_columns(a, b, 4, 2).orderBy("image_id", F.desc_nulls_first("worst")).collect()]
+    assert got == [(1, 3, None), (1, 1, 0.5), (2, 0, None)]
+
+
+def test_information_of_files_with_damaged_pixels(spark):
+    good = exr.write(20, 40, np.random.default_rng(1).uniform(0, 4, 3200).astype(np.float32))
+    rows = [("a.exr", good), ("b.exr", good[:-600] + b"x" * 600), ("c.exr", good[:60]), ("d.hdr", rgbe.write(4, 2, np.ones(32, np.float32))), ("e.hdr", b"?"), ("f.exr", None)]
+    got = {r.image_id: r for r in images.file_info(spark.createDataFrame(rows, "path string, content binary"), "record").collect()}
+    assert (got["a.exr"].width, got["a.exr"].metadata) == (20, got["b.exr"].metadata) and got["d.hdr"].height == 2
+    assert all(got[k].error and got[k].width is None for k in ("c.exr", "e.hdr", "f.exr"))
+
+
 def test_boost_takes_the_brightest_channel_before_exposure(spark):
     px = spark.createDataFrame([(1, 0, 8.0, 0.1, 0.1, 1.0), (1, 1, 0.1, 0.1, 0.1, 1.0)], PX)
     dim = gainmap.boosts(gainmap.with_tone(px, exposure=0.01)).first().max_boost
