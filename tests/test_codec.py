@@ -1,5 +1,7 @@
 """Huffman codes, packed bits, run-length packets, wavelet levels and byte planes against the file codecs, with stretches cut anywhere."""
 
+import os
+
 import duckdb
 import numpy as np
 import pytest
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenframe import queries
 from lumenframe.operators import entropy, planes, runlength, stretches, wavelet
+from lumenframe.plans import stored
 from lumenframe.sources import blocks
 
 SF = "/root/testdata/sf0.001"
@@ -118,6 +121,14 @@ def test_byte_planes(spark, stretch):
     assert {(r.image_id, r.p): r.v for r in planes.merged(data, v, stretch).collect()} == {(i, p): x for i, _, p, _, x in values}
 
 
+def test_stored_tables_are_released(spark):
+    df = stored.stored(spark.range(3), "t")
+    at = stored.MADE[-1].removeprefix("file:")
+    assert df.count() == 3 and os.path.isdir(at)
+    stored.release(spark)
+    assert not os.path.isdir(at) and not stored.MADE
+
+
 def test_stretches(spark):
     data = [(i, int(p), int(n)) for i in (1, 2, None) for p, n in zip(np.sort(R.choice(300, 60, replace=False)), R.integers(0, 9, 60), strict=True)]
     df = spark.createDataFrame(data, "image_id long, p long, n long")
