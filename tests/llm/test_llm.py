@@ -131,7 +131,7 @@ def test_secrets(docs, empty):
     assert kinds == [("password='abcdefghijkl", 0), ("AKIAABCDEFGHIJKLMN", 1), ("0123456789abcdef", 2)]
     net = secret_scan.trained(docs)
     test = secret_scan.made_up(99)
-    p = np.array([net.probability(secret_scan.encoded([(x, *piece) for piece in secret_scan.pieces(a, z)])).max() for x, a, z, _ in test])
+    p = np.array([net.probability(secret_scan.encoded([(x, *piece) for piece in secret_scan.pieces(a, z)])).max() for x, a, z, *_ in test])
     with pytest.raises(ValueError, match="pieces"):
         secret_scan.encoded([("x" * 65, 0, 65)])
     assert ((p >= net.threshold) == np.array([t[3] for t in test])).mean() > 0.9
