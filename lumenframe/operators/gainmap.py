@@ -102,3 +102,16 @@ def joined(sdr: DataFrame, gain_map: DataFrame, metadata: DataFrame) -> DataFram
     """A picture (image_id, p, sdr_*), its map (image_id, p, gm_*) of the same size, and the scalars of the image (log_min, log_max) as one table to decode;
     pixels that only one of them has are left out."""
     return sdr.join(gain_map, ["image_id", "p"]).join(metadata, "image_id")
+
+
+def joined_sizes(sdr: DataFrame, gain_map: DataFrame, sizes: DataFrame) -> DataFrame:
+    """joined for a map of another size than its picture: each pixel of the picture takes the nearest one of the map. sizes: image_id, width, height,
+    map_width, map_height, log_min, log_max; p counts line by line in either. The place in the map is worked out from the pixel's own, so both sides meet
+    by image and place and nothing is multiplied but what the picture repeats of the map."""
+    s = sizes.select(F.col("image_id").alias("_i"), "width", "height", "map_width", "map_height", "log_min", "log_max")
+    df = sdr.join(s, sdr["image_id"].eqNullSafe(F.col("_i"))).drop("_i")
+    near = lambda v, n, m: F.least(F.floor(v * F.col(m) / F.col(n)), F.col(m) - 1)
+    at = near(F.floor(F.col("p") / F.col("width")), "height", "map_height") * F.col("map_width") + near(F.col("p") % F.col("width"), "width", "map_width")
+    m = gain_map.select(F.col("image_id").alias("_i"), F.col("p").alias("_p"), *(f"gm_{c}" for c in RGB))
+    df = df.withColumn("_at", at.cast("long"))
+    return df.join(m, df["image_id"].eqNullSafe(F.col("_i")) & (df["_at"] == F.col("_p"))).drop("_i", "_p", "_at", "width", "height", "map_width", "map_height")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from .functions import color, tone, xmp
 from .operators import gainmap, relational, stats
 from .plans import views
+from .plans.stored import stored
 from .queries import _GAIN, _INV, EMB, EV, ORACLE_SQL, QUERIES, RGB, _decode_sql, dots, lin, query, rounded, san, srgb, three, tone_sql, u8
 from .sources import images
 
@@ -167,6 +168,19 @@ def sdr_gainmap_join(spark, d):
     return rounded(gainmap.decoded(gainmap.joined(sdr, gm.filter("NOT (image_id % 5 = 0 AND p = 3)"), scalars)), "image_id", "p", digits=4)
 
 
+_SMALL = "gm AS (SELECT a.* EXCLUDE (gm_r, gm_g, gm_b), b.gm_r, b.gm_g, b.gm_b FROM full_ a JOIN full_ b ON b.image_id = a.image_id AND b.p = (a.p // 4 // 2 * 2) * 4 + a.p % 4 // 2 * 2)"
+
+
+@query(f"WITH {_GAIN.replace('gm AS (', 'full_ AS (', 1)}, {_SMALL} SELECT image_id, p, {_decode_sql('1')} FROM gm")
+def small_gainmap_join(spark, d):
+    """Pictures of 4 x 4 with maps of 2 x 2: every second pixel of every second line."""
+    g = stored(_gain(spark, d, gainmap.DEFAULT), "gain")
+    x, y = F.col("p") % 4, F.floor(F.col("p") / 4)
+    gm = g.filter((x % 2 == 0) & (y % 2 == 0)).select("image_id", (y + x / 2).cast("int").alias("p"), *(f"gm_{c}" for c in RGB))
+    sizes = g.groupBy("image_id").agg(F.max("log_min").alias("log_min"), F.max("log_max").alias("log_max")).withColumns({"width": F.lit(4), "height": F.lit(4), "map_width": F.lit(2), "map_height": F.lit(2)})
+    return rounded(gainmap.decoded(gainmap.joined_sizes(g.select("image_id", "p", *(f"sdr_{c}" for c in RGB)), gm, sizes)), "image_id", "p", digits=4)
+
+
 _SIDES = "l AS (SELECT * FROM emb WHERE image_id % 11 <> 1), m AS (SELECT image_id, p, r, g, b, a FROM emb WHERE image_id % 11 <> 2 AND NOT (image_id % 7 = 0 AND p >= 12))"
 _SIZES = "SELECT coalesce(l.image_id, m.image_id) AS image_id, bool_and(l.p IS NOT NULL AND m.p IS NOT NULL) AS same, max(abs(l.r::DOUBLE - m.r::DOUBLE)) AS worst FROM l FULL JOIN m ON l.image_id = m.image_id AND l.p = m.p GROUP BY 1"
 

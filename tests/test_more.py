@@ -30,7 +30,7 @@ def plain(df):
 
 NAMES = ["space_matrices", "classify_color_space", "is_rec709", "space_lookup", "xyy_to_rgb", "hdr_to_ldr", "gainmap_encode_options", "gainmap_decode_options", "gainmap_float_roundtrip", "gainmap_capacity",
          "sdr_gainmap_join", "compare_sizes", "channel_isolate", "old_rle_expand", "exr_offsets_fixed", "exr_offsets_variable", "exr_total_size", "channel_order", "xmp_primary", "xmp_secondary", "xmp_parse", "png_encode",
-         "batch_convert", "physical_radiance", "rgbe_roundtrip", "worst_columns", "gainmap_boost", "lut_apply", "hdr_packed_roundtrip", "gainmap_separate_files"]
+         "batch_convert", "physical_radiance", "rgbe_roundtrip", "worst_columns", "gainmap_boost", "lut_apply", "hdr_packed_roundtrip", "gainmap_separate_files", "small_gainmap_join"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -67,6 +67,18 @@ def test_information_of_files_with_damaged_pixels(spark):
     assert all(got[k].error and got[k].width is None for k in ("c.exr", "e.hdr", "f.exr"))
 
 
+def test_maps_of_any_size_are_taken_by_the_nearest_pixel(spark):
+    r = np.random.default_rng(5)
+    (h, w), (mh, mw) = (7, 5), (3, 2)
+    gm = r.integers(0, 256, (mh, mw, 3))
+    sdr = spark.createDataFrame([(None if i else 1, k, 9, 9, 9) for i in (0, 1) for k in range(h * w)], "image_id long, p int, sdr_r int, sdr_g int, sdr_b int")
+    maps = spark.createDataFrame([(None if i else 1, k, *map(int, gm.reshape(-1, 3)[k])) for i in (0, 1) for k in range(mh * mw)], "image_id long, p int, gm_r int, gm_g int, gm_b int")
+    sizes = spark.createDataFrame([(1, w, h, mw, mh, 0.0, 1.0), (None, w, h, mw, mh, 0.0, 1.0)], "image_id long, width int, height int, map_width int, map_height int, log_min double, log_max double")
+    want = ultrahdr.resized(gm, h, w).reshape(-1, 3)
+    got = gainmap.joined_sizes(sdr, maps, sizes).collect()
+    assert len(got) == 2 * h * w and all([x.gm_r, x.gm_g, x.gm_b] == want[x.p].tolist() for x in got)
+
+
 def test_boost_takes_the_brightest_channel_before_exposure(spark):
     px = spark.createDataFrame([(1, 0, 8.0, 0.1, 0.1, 1.0), (1, 1, 0.1, 0.1, 0.1, 1.0)], PX)
     dim = gainmap.boosts(gainmap.with_tone(px, exposure=0.01)).first().max_boost
