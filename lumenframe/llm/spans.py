@@ -6,7 +6,8 @@
 3. Around such anchors a group cuts contexts (all windows of that anchor at that place). Equal contexts of a group become one class, which goes with
    its least id to the shard of the anchor; which places have which class stays with the group. Equal windows have equal anchors, so all classes
    that can hold a repeated window meet in one shard. The contexts of a hot anchor, one that very many groups hold, are cut into single windows,
-   each of which is an anchor of its own, so that text around a passage that half of all documents share is dealt out.
+   each of which is an anchor of its own, so that text around a passage that half of all documents share is dealt out. As most of that text stands
+   nowhere else, the hashes of these windows are counted first, like those of the anchors, and only windows of two documents or more are sent.
 4. A shard makes equal classes one, leaves out those that no other class shares an anchor with, and has a matcher (suffix arrays or suffix automata)
    find the windows of the others that also start in a smaller document.
 5. The groups hear of each class whether it starts in a smaller document elsewhere, as one bit, and which of its windows do; they cut the texts.
@@ -105,6 +106,17 @@ def _ids(table) -> tuple[np.ndarray, np.ndarray]:
     return pc.fill_null(table["doc_id"].cast(pa.int64()), LAST_ID).to_numpy(), table["th"].to_numpy()
 
 
+def message(b: int | None, parts: list[np.ndarray], n: int) -> pa.RecordBatch:
+    """s, b, once, more of group b's keys, by shard: parts have each key once a document."""
+    keys, counts = np.unique(np.concatenate(parts), return_counts=True)
+    used = np.unique(shard_of(keys, n))
+    lists = []
+    for some in (keys[counts == 1], keys[counts > 1]):
+        cuts = np.searchsorted(shard_of(some, n), used)
+        lists.append(short(some, np.append(cuts, len(some))))
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([b] * len(used), pa.int64()), *lists], names=["s", "b", "once", "more"])
+
+
 class Repeats:
     """parse: (bytes, offsets) of rows to (symbol hashes, offsets of the rows' symbols, payload of the symbols). symbols: payload to symbol hashes. flagged: (payload, offsets of contexts,
     windows of each, keys, smallest ids) to one boolean a window, whether it also starts in a context of a smaller id; contexts are distinct."""
@@ -115,15 +127,6 @@ class Repeats:
     def sent_keys(self, n: int):
         """s, b, once, more: for each key shard the keys that stand in one and in several documents of group b."""
 
-        def message(b: int, parts: list[np.ndarray]) -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-            used = np.unique(shard_of(keys, n))
-            lists = []
-            for some in (keys[counts == 1], keys[counts > 1]):
-                cuts = np.searchsorted(shard_of(some, n), used)
-                lists.append(short(some, np.append(cuts, len(some))))
-            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.full(len(used), b), pa.int64()), *lists], names=["s", "b", "once", "more"])
-
         @trimmed
         def run(batches):
             now, parts = None, []
@@ -133,7 +136,7 @@ class Repeats:
                 for first, last in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                     # Files are in the order of groups; were they not, a group would send several messages, which does no harm.
                     if parts and (now != bs[first] or sum(map(len, parts)) > MOST_KEYS):
-                        yield message(now, parts)
+                        yield message(now, parts, n)
                         parts = []
                     now = int(bs[first])
                     for _, _, data, offsets in bulk.chunks(batch["text"].slice(first, last - first)):
@@ -142,7 +145,35 @@ class Repeats:
                         if len(keys):
                             parts.append(bulk.distinct_by_row(keys, np.searchsorted(at, start, "right"))[0])
             if parts:
-                yield message(now, parts)
+                yield message(now, parts, n)
+
+        return run
+
+    def own_keys(self, symbols: np.ndarray, first: np.ndarray, wins: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The single windows of contexts and the key of each."""
+        single = bulk.ranges(first, wins)
+        return single, bulk.mix(bulk.span_hashes(sums, single, single + self.window) ^ U(0x2545F4914F6CDD1D))
+
+    def sent_windows(self, n: int):
+        """As sent_keys, the keys of the single windows of one group's hot anchors."""
+
+        def run(docs: pa.Table, keys: pa.Table) -> pa.Table:
+            low, row = from_short(keys["hot"])
+            hot, parts, out = np.sort(codes(keys["s"].to_numpy()[row], low)), [], []
+            b = docs["b"][0].as_py() if docs.num_rows else None
+            for _, _, data, offsets in bulk.chunks(docs["text"]) if docs.num_rows and len(hot) else ():
+                symbols, at, _ = self.parse(data, offsets)
+                key, first, last = bulk.anchors(symbols, at, self.window, self.gram)
+                pick = member(codes(shard_of(key, n), key & LOW), hot)
+                if pick.any():
+                    single, own = self.own_keys(symbols, first[pick], (last - first)[pick] + 1, bulk.prefix_sums(symbols))
+                    parts.append(bulk.distinct_by_row(own, np.searchsorted(at, single, "right"))[0])
+                    if sum(map(len, parts)) > MOST_KEYS:
+                        out.append(message(b, parts, n))
+                        parts = []
+            if parts or not out:
+                out.append(message(b, parts or [np.zeros(0, U)], n))
+            return pa.Table.from_batches(out)
 
         return run
 
@@ -169,11 +200,12 @@ class Repeats:
         return run
 
     def contexts(self, key_shards: int, n: int):
-        """s, b, data: the classes of one group for each context shard, and, with s = -1, which places of the group have them."""
+        """s, b, data: the classes of one group for each context shard, and, with s = -1, which places of the group have them. keys: of anchors, of hot ones,
+        and of the single windows of these that stand in several documents."""
 
         def cut(docs: pa.Table, keys: pa.Table):
             among = []
-            for c in ("keys", "hot"):
+            for c in ("keys", "hot", "single"):
                 low, row = from_short(keys[c])
                 among.append(np.sort(codes(keys["s"].to_numpy()[row], low)))
             ids, th = _ids(docs)
@@ -188,9 +220,12 @@ class Repeats:
                 key, first, wins, hot = key[pick], first[pick], (last - first)[pick] + 1, member(code[pick], among[1])
                 sums = bulk.prefix_sums(symbols)
                 if hot.any():
-                    single = bulk.ranges(first[hot], wins[hot])
-                    own = bulk.mix(bulk.span_hashes(sums, single, single + self.window) ^ U(0x2545F4914F6CDD1D))
+                    single, own = self.own_keys(symbols, first[hot], wins[hot], sums)
+                    pick = member(codes(shard_of(own, key_shards), own & LOW), among[2])
+                    single, own = single[pick], own[pick]
                     key, first, wins = np.concatenate([key[~hot], own]), np.concatenate([first[~hot], single]), np.concatenate([wins[~hot], np.ones(len(single), np.int64)])
+                    if not len(key):
+                        continue
                 size = wins + self.window - 1
                 h = bulk.span_hashes(sums, first, first + size)
                 order = np.lexsort((h, key))
@@ -232,7 +267,10 @@ class Repeats:
         return run
 
     def marks(self, table: pa.Table) -> pa.Table:
-        """s, b, data: of one shard's classes, for each group, which also start in a smaller document elsewhere, and the windows of the others that do."""
+        """s, b, data: of one shard's classes, for each group, which also start in a smaller document elsewhere, and the windows of the others that do. What a
+        group keeps to itself stays as it is."""
+        if table["s"][0].as_py() < 0:
+            return table.select(["s", "b", "data"])
         blobs = [unpack(x) for x in table["data"].to_pylist()]
         for x in blobs:
             size = x["wins"].astype(np.int64) + self.window - 1
@@ -328,11 +366,16 @@ class Repeats:
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("th", F.xxhash64("text"))
         table, n = grouped(rows, "b", tag, group_mb)
         sent = table.select("b", "text").mapInArrow(self.sent_keys(n), "s int, b long, once binary, more binary")
-        shared = sent.groupBy("s").applyInArrow(_one(self.shared_keys()), "s int, b long, keys binary, hot binary")
-        context = table.groupBy("b").cogroup(shared.groupBy("b")).applyInArrow(_two(self.contexts(n, n * SHARDS)), "s int, b long, data binary")
-        context = written(context, f"{tag}-contexts")
-        marks = context.filter("s >= 0").groupBy("s").applyInArrow(_one(self.marks), "s int, b long, data binary")
-        notes = marks.unionByName(context.filter("s < 0"))
+        shared = written(sent.groupBy("s").applyInArrow(_one(self.shared_keys()), "s int, b long, keys binary, hot binary"), f"{tag}-keys")
+        hot, none = shared.filter("length(hot) > 0"), F.lit(b"").cast("binary")
+        keys = shared.withColumn("single", none)
+        if hot.take(1):
+            sent = table.groupBy("b").cogroup(hot.select("s", "b", "hot").groupBy("b")).applyInArrow(_two(self.sent_windows(n)), "s int, b long, once binary, more binary")
+            again = sent.groupBy("s").applyInArrow(_one(self.shared_keys()), "s int, b long, keys binary, hot binary")
+            keys = keys.unionByName(again.select("s", "b", none.alias("keys"), none.alias("hot"), F.col("keys").alias("single")))
+        context = table.groupBy("b").cogroup(keys.groupBy("b")).applyInArrow(_two(self.contexts(n, n * SHARDS)), "s int, b long, data binary")
+        # A shard's classes are one group, what a group keeps to itself is another, so that contexts are shuffled and not stored as well.
+        notes = context.withColumn("own", F.when(F.col("s") < 0, F.col("b"))).groupBy("s", "own").applyInArrow(_one(self.marks), "s int, b long, data binary")
         return table.groupBy("b").cogroup(notes.groupBy("b")).applyInArrow(_two(self.cut), "doc_id long, n long, spans array<struct<start: long, end: long>>, kept binary")
 
 

@@ -28,6 +28,25 @@ def test_against_brute_force(spark, kind, split, hot):
     assert any(r.spans for r in got)
 
 
+def test_hot_windows_of_one_document_are_not_sent():
+    """A line of 43 bytes that all documents have, shorter than a window, in prose of its own: nothing is repeated, so no group sends a context."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    op, line = suffix_arrays.ByteRepeats(hot_groups=3), b"a line that each has, shorter than a window"
+    prose = lambda: bytes(r.integers(97, 123, 200).astype(np.uint8))
+    groups = [pa.table({"doc_id": pa.array([b]), "th": pa.array([b]), "b": pa.array([b]), "text": pa.array([(prose() + line + prose()).decode()])}) for b in range(8)]
+    sent = pa.Table.from_batches([m for g in groups for m in op.sent_keys(1)([g.to_batches()[0]])])
+    shared = op.shared_keys()(sent)
+    assert shared.num_rows == 8 and all(len(x) for x in shared["hot"].to_pylist())
+    by = lambda t, b: t.filter(pa.array([x == b for x in t["b"].to_pylist()]))
+    again = op.shared_keys()(pa.concat_tables([op.sent_windows(1)(g, by(shared, b)) for b, g in enumerate(groups)]))
+    assert again.num_rows == 0
+    empty = pa.array([b""] * shared.num_rows, pa.binary())
+    for b, g in enumerate(groups):
+        assert op.contexts(1, 1)(g, by(shared.append_column("single", empty), b)).num_rows == 0
+
+
 def test_kasai_against_plain_comparison():
     r = np.random.default_rng(2)
     for n in (1, 2, 9, 40, 700):
