@@ -70,7 +70,8 @@ def rainbow(spark, width, height, value=1.0, intensity=1.0, at=None) -> DataFram
 
 def radial(spark, width, height, at=None) -> DataFrame:
     far = ((width - 1) ** 2 + (height - 1) ** 2) ** 0.5 or 1.0
-    v = (1 - F.sqrt((F.col("x") * F.col("x") + F.col("y") * F.col("y")).cast("double")) / far).cast("float")
+    x, y = F.col("x").cast("long"), F.col("y").cast("long")  # the square of a line beyond 46,340 is no int
+    v = (1 - F.sqrt((x * x + y * y).cast("double")) / far).cast("float")
     return (at or grid(spark, width, height)).select("p", "x", "y", *(v.alias(c) for c in "rgb"), F.lit(1.0).cast("float").alias("a"))
 
 

@@ -14,6 +14,7 @@ from lumenframe import queries
 from lumenframe.__main__ import main
 from lumenframe.functions import bits, color, tone
 from lumenframe.operators import gainmap, relational, stats
+from lumenframe.plans import views
 from lumenframe.sources import exr, images, png, rgbe, ultrahdr
 
 SF = "/root/testdata/sf0.001"
@@ -127,6 +128,13 @@ def test_huffman_lengths_cost_least(spark):
         assert len(rows) == 1 or sum(2.0**-k for _, k in rows) == 1.0
 
 
+def test_distances_beyond_an_int(spark):
+    """Line 50,000 of an image as high as 600,000 events make it: its square is no int."""
+    at = spark.createDataFrame([(0, 0, 0), (600_010, 10, 50_000)], "p long, x int, y int")
+    got = {r.p: r.r for r in views.radial(spark, 12, 50_001, at).collect()}
+    assert got == {0: 1.0, 600_010: pytest.approx(1 - (10**2 + 50_000**2) ** 0.5 / (11**2 + 50_000**2) ** 0.5, abs=1e-7)}
+
+
 def test_exposures_of_a_header(spark):
     data = b"#?RADIANCE\nEXPOSURE=2.5\nEXPOSURE=4\nFORMAT=32-bit_rle_rgbe\n\n-Y 1 +X 1\n" + bytes([128, 64, 32, 129])
     got = rgbe.read(data)
