@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.xmp import let
 from ..plans.stored import stored
 from .stretches import STRETCH, walked, with_before
 
@@ -32,12 +33,16 @@ def code_lengths(counts: DataFrame) -> DataFrame:
     """image_id, v, n, length: a code of least cost for each image's symbols (image_id, v, n). An image has no more than 65,537 symbols, so they are one
     row; a lone symbol has one bit."""
     rows = counts.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("n", "v"))).alias("symbols"))
-    rows = rows.withColumn("m", F.size("symbols")).withColumn("tree", F.when(F.col("m") > 1, _merged(F.col("symbols.n"))))
+
     # The last step makes the root; inner nodes are given up in the order in which they were made, so depths follow backwards from it.
-    depth = lambda a, x: F.concat(a, F.array(F.get(a, F.col("m") - 2 - x) + 1))
-    rows = rows.withColumn("depths", F.aggregate(F.reverse("tree.inner"), F.array(F.lit(0)), depth))
-    length = F.transform("tree.leaves", lambda x: F.get("depths", F.col("m") - 2 - x) + 1)
-    rows = rows.withColumn("lengths", F.coalesce(length, F.array(F.lit(1))))
+    def of_tree(tree, m):
+        depth = lambda a, x: F.concat(a, F.array(F.get(a, m - 2 - x) + 1))
+        return let(F.aggregate(F.reverse(tree["inner"]), F.array(F.lit(0)), depth), lambda depths: F.transform(tree["leaves"], lambda x: F.get(depths, m - 2 - x) + 1))
+
+    def of_counts(counts):
+        return F.when(F.size(counts) > 1, let(_merged(counts), lambda tree: of_tree(tree, F.size(counts)))).otherwise(F.array(F.lit(1)))
+
+    rows = rows.withColumn("lengths", let(F.transform("symbols", lambda x: x["n"]), of_counts))
     return rows.select("image_id", F.explode(F.arrays_zip("symbols", "lengths")).alias("x")).select("image_id", "x.symbols.v", "x.symbols.n", F.col("x.lengths").alias("length"))
 
 
