@@ -52,6 +52,11 @@ PACKET = r"(?s)<x:xmpmeta\b.*?</x:xmpmeta>"
 PREFIX = "hdrgm:"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once however often body speaks of it: a Column in a plan is text, repeated wherever it is named."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def bared(text: Column) -> Column:
     """Without the blanks around it."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -68,7 +73,7 @@ def properties(packet: Column) -> Column:
         closes, alone = F.startswith(piece, F.lit("</")), F.endswith(piece, F.lit("/>"))
         own = F.startswith(tag, ours)
         names, plain, quoted = (F.regexp_extract_all(piece, F.lit(PAIRS), F.lit(k)) for k in (1, 2, 3))
-        pairs = F.transform(names, lambda n, k: F.struct(F.lower(n).alias("name"), F.concat(F.get(plain, k), F.get(quoted, k)).alias("value")))
+        pairs = F.zip_with(names, F.zip_with(plain, quoted, lambda a, b: F.concat(a, b)), lambda n, v: F.struct(F.lower(n).alias("name"), v.alias("value")))
         bare = lambda x: F.struct(F.substr(x["name"], F.lit(len(PREFIX) + 1)).alias("name"), x["value"].alias("value"))
         attributes = F.transform(F.filter(pairs, lambda x: F.startswith(x["name"], ours)), bare)
         text = bared(piece)
@@ -90,13 +95,17 @@ def parsed(text: Column) -> Column:
     which the first counts. Three values are those of the channels, one is that of all of them; what is no number counts as missing."""
     packets = F.transform(F.regexp_extract_all(text, F.lit(PACKET), F.lit(0)), properties)
     first = lambda found, name: F.get(F.filter(values_of(found, name), lambda v: v != ""), F.lit(0))
-    p = F.get(F.filter(packets, lambda found: first(found, "Version").isNotNull() & first(found, "HDRCapacityMax").isNotNull()), F.lit(0))
+    good = F.filter(packets, lambda found: first(found, "Version").isNotNull() & first(found, "HDRCapacityMax").isNotNull())
+
+    def channels(p, name, default):
+        def three(numbers):
+            one = F.coalesce(F.get(numbers, F.lit(0)), F.lit(default))
+            return F.when(F.size(numbers) == 3, F.transform(numbers, lambda v: F.coalesce(v, F.lit(default)))).otherwise(F.array(one, one, one))
+
+        return let(F.transform(values_of(p, name), lambda v: v.try_cast("double")), three)
 
-    def channels(name, default):
-        numbers = F.transform(values_of(p, name), lambda v: v.try_cast("double"))
-        one = F.coalesce(F.get(numbers, F.lit(0)), F.lit(default))
-        return F.when(F.size(numbers) == 3, F.transform(numbers, lambda v: F.coalesce(v, F.lit(default)))).otherwise(F.array(one, one, one))
+    def fields(p):
+        capacities = [F.coalesce(first(p, name).try_cast("double"), F.lit(default)).alias(ours) for name, ours, default in FIELDS[5:]]
+        return F.struct(*(channels(p, name, default).alias(ours) for name, ours, default in FIELDS[:5]), *capacities)
 
-    fields = [channels(name, default).alias(ours) for name, ours, default in FIELDS[:5]]
-    fields += [F.coalesce(first(p, name).try_cast("double"), F.lit(default)).alias(ours) for name, ours, default in FIELDS[5:]]
-    return F.when(p.isNotNull(), F.struct(*fields))
+    return F.get(F.transform(F.slice(good, 1, 1), fields), F.lit(0))

@@ -141,3 +141,10 @@ def test_stretches(spark):
         assert r.was == (max(earlier)[1] if earlier else None) and r["_first"] == (not earlier)
     chain = spark.createDataFrame([(1, 0, 3), (1, 3, 4), (1, 4, 9), (1, 5, 6), (2, 0, 5)], "image_id long, at long, next long")
     assert sorted((r.image_id, r["at"], r["rank"]) for r in stretches.walked(chain, "t").collect()) == [(1, 0, 0), (1, 3, 1), (1, 4, 2), (2, 0, 0)]
+
+
+@pytest.mark.parametrize("name, most", [("huffman_lengths", 2), ("xmp_parse", 1)])
+def test_folds_are_worked_out_once(spark, name, most):
+    """A fold that a plan repeats for each field, or for each element of a list, costs time for each."""
+    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("aggregate(") <= most
