@@ -32,6 +32,19 @@ def read_bytes(kind: str, content: bytes, **options) -> dict:
     raise rgbe.ImageError(f"unsupported extension: {kind or 'none'}")
 
 
+def gathered(rows, schema: pa.Schema, most: int = 64, size: int = 4 << 20):
+    """Record batches of at most so many rows, each a batch of one row, and about so many bytes: small images share one, large ones stand alone."""
+    held, total = [], 0
+    for row in rows:
+        held.append(row)
+        total += row.nbytes
+        if len(held) >= most or total >= size:
+            yield pa.Table.from_batches(held, schema).combine_chunks().to_batches()[0]
+            held, total = [], 0
+    if held:
+        yield pa.Table.from_batches(held, schema).combine_chunks().to_batches()[0]
+
+
 def decoded(files: DataFrame, on_error: str = "raise", **options) -> DataFrame:
     """files: path, content, of a batch or a stream. on_error="record" keeps a file that cannot be read as a row with its error and no pixels.
     A null content is such a file."""
@@ -51,13 +64,22 @@ def decoded(files: DataFrame, on_error: str = "raise", **options) -> DataFrame:
                     row["error"] = [str(e)]
                 yield pa.RecordBatch.from_pydict(row, SCHEMA)
 
-    return files.select("path", extension(F.col("path")).alias("kind"), "content").mapInArrow(run, IMAGE)
+    return files.select("path", extension(F.col("path")).alias("kind"), "content").mapInArrow(batched(run, SCHEMA), IMAGE)
 
 
 SCHEMA = pa.schema([("image_id", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("data", pa.list_(pa.float32())), ("space", pa.string()),
                     ("metadata", pa.map_(pa.string(), pa.string())), ("error", pa.string())])
 
 
+FILE = pa.schema([("image_id", pa.string()), ("path", pa.string()), ("content", pa.binary())])
+INFO = pa.schema([SCHEMA.field("image_id"), SCHEMA.field("metadata")])
+
+
+def batched(run, schema: pa.Schema):
+    """run, which gives a batch for each row, with its rows gathered."""
+    return lambda batches: gathered(run(batches), schema)
+
+
 def load_images(spark: SparkSession, path, on_error: str = "raise", **options) -> DataFrame:
     """All image files below path (one or a list), by extension; each file is read where its partition runs."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -151,7 +173,10 @@ def gain_map_pictures(px: DataFrame, mapper: str = "aces", exposure: float = 1.0
     full = gainmap.encoded(toned, gainmap.boosts(toned, options), options=options)
     both = F.array(*(F.col(f"{k}_{c}").cast("int") for k in ("sdr", "gm") for c in "rgb"))
     whole = full.groupBy("image_id").agg(F.max("log_min").alias("log_min"), F.max("log_max").alias("log_max"), F.array_sort(F.collect_list(F.struct("p", both.alias("v")))).alias("s"))
-    return whole.select(F.col("image_id").cast("string").alias("image_id"), "log_min", "log_max", F.flatten(F.transform("s", lambda s: s.v)).alias("v"))
+    whole = whole.select(F.col("image_id").cast("string").alias("image_id"), "log_min", "log_max", F.flatten(F.transform("s", lambda s: s.v)).alias("v"))
+    # Few bytes an image and much work: by bytes alone, all images would end up in a few tasks.
+    spark = px.sparkSession
+    return whole.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "image_id")
 
 
 def map_metadata(batch, k: int, options) -> dict:
@@ -174,7 +199,19 @@ def gain_map_files(px: DataFrame, width: int, height: int, kind: str = "ultrahdr
                 name = batch["image_id"][k].as_py()
                 yield pa.RecordBatch.from_pydict({"image_id": pa.array([name], pa.string()), "path": [f"{name}.jpg"], "content": pa.array([out], pa.binary())})
 
-    return gain_map_pictures(px, mapper, exposure, options).mapInArrow(run, "image_id string, path string, content binary")
+    return gain_map_pictures(px, mapper, exposure, options).mapInArrow(batched(run, FILE), "image_id string, path string, content binary")
+
+
+def gain_map_info(files: DataFrame) -> DataFrame:
+    """image_id and metadata, as decoded gives them, of gain-map JPEG files (path, content); their pictures are not decoded."""
+    from . import ultrahdr
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                yield pa.RecordBatch.from_pydict({"image_id": [path.as_py()], "metadata": [list(ultrahdr.described(content.as_py() or b"").items())]}, INFO)
+
+    return files.select("path", "content").mapInArrow(batched(run, INFO), "image_id string, metadata map<string,string>")
 
 
 def batch_converted(files: DataFrame, kind: str, **options) -> DataFrame:

@@ -232,3 +232,20 @@ def test_command_line(spark, tmp_path):
     for bad in (["convert", at("b.hdr"), at("x.png"), "--compression", "zip"], ["convert", at("b.hdr"), at("x.exr"), "--format", "ultrahdr"], ["reference", "sdf", at("x.png")]):
         with pytest.raises(SystemExit):
             main(bad, spark)
+
+
+def test_gain_map_files_are_many_tasks(spark):
+    """A few bytes an image: adaptive execution would put all of them into one task."""
+    files = images.gain_map_files(queries.views.embedding_pixels(spark, SF), 4, 4)
+    assert len({r.t for r in files.select(F.spark_partition_id().alias("t")).collect()}) > 1
+    want = {r.image_id: dict(r.metadata) for r in images.decoded(files).collect()}
+    assert {r.image_id: dict(r.metadata) for r in images.gain_map_info(files).collect()} == want
+    assert images.decoded(files).count() == len(want)
+
+
+def test_code_tables_are_filled_as_needed():
+    from lumenframe.sources import jpeg
+
+    table = jpeg._Lookup(bytes([0, 1, 2] + [0] * 13 + [7, 8, 9]))
+    assert not table and table.size == 19
+    assert [table[x << 13] for x in range(8)] == [(2, 7), (2, 7), (3, 8), (3, 9), (0, 0), (0, 0), (0, 0), (0, 0)]
