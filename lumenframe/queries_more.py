@@ -319,7 +319,7 @@ def _number(name):
 def jpeg_metadata(spark, d):
     """What the metadata of gain-map files says, read back from their bytes."""
     files = images.gain_map_files(views.embedding_pixels(spark, d), 4, 4)
-    m = images.decoded(files).select(_number("image_id").alias("image_id"), "metadata")
+    m = images.gain_map_info(files).select(_number("image_id").alias("image_id"), "metadata")
     first = lambda k: F.regexp_extract(F.col("metadata")[k], r"-?[0-9.]+(?:e-?\d+)?", 0).cast("double")
     return m.select("image_id", F.col("metadata")["format"].alias("format"), F.round(first("hdrCapacityMax"), 4).alias("capacity"), F.round(first("gainMapMax"), 4).alias("high"), first("offsetSdr").alias("offset_sdr"))
 
