@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ RULES = [
 #: Mining reads at most about so many distinct labelled urls, drawn by a hash of the url.
 MAX_LABELLED = 500_000
 MIN_SUPPORT = 0.005
-#: Labelled urls that a rule needs at least, and classes of tokens of one url that mining combines.
+#: Labelled urls that a rule needs at least, and classes of tokens of one url that FP-growth combines.
 MIN_COUNT, MOST_ITEMS = 3, 8
 MIN_CONFIDENCE = 0.9
 DEFAULT = "allow"
@@ -75,9 +77,9 @@ def in_classes(rows: DataFrame, classes: DataFrame, *keys: str) -> DataFrame:
 def mined_rules(labelled: DataFrame, classes: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """rid, verdict, antecedent (classes), confidence, support: rules whose consequent is a verdict, of labelled rows (url, tokens, verdict).
 
-    Spark's FP-growth runs with the verdict as one more item, over the MOST_ITEMS most telling classes of each row: it lists all subsets of what a row has,
-    so what a rule can speak of is bounded. Where rows had more, the rules' support and confidence are counted again over all their classes. Rules
-    need MIN_COUNT rows at least. A rule that a rule with fewer classes and no less confidence implies is pruned by the matcher's order."""
+    Spark's FP-growth runs with the verdict as one more item, over the MOST_ITEMS most telling classes of each row: it lists all subsets of what a row has.
+    Where rows had more, the rules' support and confidence are counted again over all their classes, and rules_beyond adds those of sets that only a row
+    with more has. Rules need MIN_COUNT rows at least. A rule that a rule with fewer classes and no less confidence implies is pruned by the matcher's order."""
     whole = written(labelled.select("url", "verdict").join(in_classes(labelled, classes, "url", "verdict"), ["url", "verdict"], "left"), "url-baskets")
     n = whole.count()
     support = max(min_support, MIN_COUNT / max(1, n))
@@ -93,9 +95,44 @@ def mined_rules(labelled: DataFrame, classes: DataFrame, min_support: float = MI
         counts = hits.groupBy("rid").agg(F.count("*").alias("n"), F.count_if(F.col("was") == F.col("verdict")).alias("ok"))
         rules = rules.join(counts, "rid").select("verdict", "antecedent", (F.col("ok") / F.col("n")).alias("confidence"), (F.col("ok") / n).alias("support"))
         rules = rules.filter((F.col("confidence") >= min_confidence) & (F.col("support") >= support))
+        rules = rules.unionByName(rules_beyond(whole, n, support, min_confidence)).dropDuplicates(["verdict", "antecedent"])
     return rules.select("verdict", "antecedent", F.round("confidence", 9).alias("confidence"), F.round("support", 9).alias("support")).withColumn("rid", F.monotonically_increasing_id())
 
 
+def rules_beyond(whole: DataFrame, n: int, support: float, min_confidence: float) -> DataFrame:
+    """verdict, antecedent, confidence, support: rules of sets of classes that some row (url, verdict, items) with more than MOST_ITEMS has, counted over all
+    n rows, however many classes they have.
+
+    Sets grow by a class at a time, in the rows that hold them. A set is left out, with all larger ones, where no verdict has support, where it has the
+    rows of a set with a class less, or where such a one is always right: for every url that meets it, that shorter rule comes first. So the classes of a
+    deep path, each with the rows of the next and some more, make no sets of two."""
+    rows = whole.filter("items IS NOT NULL").withColumn("long", F.size("items") > MOST_ITEMS)
+    held = rows.select("url", "verdict", "long", F.explode("items").alias("x")).select("url", "verdict", "long", F.array("x").alias("antecedent"))
+    size, before, found = 1, None, []
+    while True:
+        held = written(held, "url-sets")
+        per = held.groupBy("antecedent", "verdict").agg(F.count("*").alias("ok"), F.max("long").alias("long"))
+        sets = per.groupBy("antecedent").agg(F.sum("ok").alias("n"), F.max("ok").alias("top"), F.max("long").alias("long"), F.collect_list(F.struct("verdict", "ok")).alias("by"))
+        sets = sets.filter(F.col("long") & (F.col("top") / n >= support))
+        if before is not None:
+            without = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.filter("antecedent", lambda _, i: i != k))
+            parts = sets.select("antecedent", "n", F.explode(without).alias("part")).join(before.select(F.col("antecedent").alias("part"), F.col("n").alias("more")), "part")
+            new = parts.groupBy("antecedent").agg(F.count("*").alias("parts"), F.min(F.col("more") - F.col("n")).alias("fewer")).filter((F.col("parts") == size) & (F.col("fewer") > 0))
+            sets = sets.join(new.select("antecedent"), "antecedent")
+        sets = written(sets, "url-sets")
+        found.append(sets.select("antecedent", "n", F.explode("by").alias("x")).select("x.verdict", "antecedent", (F.col("x.ok") / F.col("n")).alias("confidence"), (F.col("x.ok") / n).alias("support")))
+        before = sets.filter("top < n")
+        if before.count() < 2:
+            break
+        lists = held.join(before.select("antecedent"), "antecedent").groupBy("url", "verdict", "long").agg(F.sort_array(F.collect_list("antecedent")).alias("sets"))
+        after = lambda i: F.slice("sets", i + 2, F.size("sets"))
+        start = lambda a: F.slice(a, 1, size - 1)  # noqa: B023, E731
+        joined = F.transform("sets", lambda a, i: F.transform(F.filter(after(i), lambda b: start(a) == start(b)), lambda b: F.concat(a, F.slice(b, -1, 1))))
+        held = lists.select("url", "verdict", "long", F.explode(F.flatten(joined)).alias("antecedent"))
+        size += 1
+    return reduce(DataFrame.unionByName, found).filter((F.col("confidence") >= min_confidence) & (F.col("support") >= support))
+
+
 def fitting(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """rows (tokens and others) with each of the rules that they meet. The index has each rule under its rarest token; a row opens the rules of its own
     tokens and checks the rest of them."""
