@@ -1,5 +1,8 @@
 """Huffman codes as Columns: lengths by merging two queues, canonical codes, and bits packed into words and read back."""
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from .stretches import STRETCH, walked, with_before
 
 LONGEST = 58
 WORD = 32
+#: Words of a stretch that is read by itself, and of what is worked on at once.
+WORDS, PIECE = 256, 8192
 
 
 def _merged(counts: Column) -> Column:
@@ -83,27 +88,97 @@ def packed(codes: DataFrame, stretch: int = STRETCH) -> DataFrame:
     return df.withColumn("_left", left).select("image_id", "word", part.alias("bits")).groupBy("image_id", "word").agg(F.bit_or("bits").alias("bits"))
 
 
-def unpacked(words: DataFrame, codes: DataFrame, sizes: DataFrame) -> DataFrame:
+def _followed(batch, starts: list[np.ndarray]):
+    """Of stretches (w, more, counts, firsts, bits) and the bits of each at which a code may begin: for each such begin, in order, its stretch, the bit behind
+    its last code and the codes, then all codes: which begin they follow from, which in order they are, and their place among the image's codes."""
+    rows = len(batch["w"])
+    words = batch["w"].flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
+    n = pc.list_value_length(batch["w"]).to_numpy(zero_copy_only=False).astype(np.int64)
+    end = np.cumsum(n)
+    row = np.repeat(np.arange(rows), n)
+    after = np.append(words[1:], np.uint64(0))
+    after[end - 1] = batch["more"].to_numpy(zero_copy_only=False).astype(np.uint64)
+    ahead = ((words << np.uint64(WORD) | after)[:, None] >> (WORD - np.arange(WORD)).astype(np.uint64)) & np.uint64((1 << WORD) - 1)
+    ahead = ahead.astype(np.int64)
+    counts, firsts = (batch[c].flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(rows, WORD) for c in ("counts", "firsts"))
+    earlier = np.cumsum(counts, axis=1) - counts
+    length, place = np.zeros(ahead.shape, np.int64), np.zeros(ahead.shape, np.int64)
+    for k in np.flatnonzero(counts.any(axis=0)).tolist():
+        rank = (ahead >> (WORD - 1 - k)) - firsts[row, k][:, None]
+        fits = (length == 0) & (rank >= 0) & (rank < counts[row, k][:, None])
+        length[fits] = k + 1
+        place[fits] = (rank + earlier[row, k][:, None])[fits]
+    first = (end - n) * WORD
+    bit = np.arange(len(words) * WORD) - np.repeat(first, n * WORD)
+    length = np.where(bit < np.repeat(batch["bits"].to_numpy(zero_copy_only=False).astype(np.int64), n * WORD), length.ravel(), 0)
+    place = place.ravel()
+    of = np.repeat(np.arange(rows), [len(x) for x in starts])
+    at, last = first[of] + np.concatenate(starts), (end * WORD)[of]
+    total, codes, live, step = np.zeros(len(of), np.int64), [], np.arange(len(of)), 0
+    while True:
+        live = live[at[live] < last[live]]
+        live = live[length[at[live]] > 0]
+        if not len(live):
+            break
+        codes.append((live, np.full(len(live), step), place[at[live]]))
+        total[live] += 1
+        at[live] += length[at[live]]
+        step += 1
+    codes.append((np.zeros(0, np.int64),) * 3)
+    return of, at - first[of], total, *(np.concatenate(x) for x in zip(*codes, strict=True))
+
+
+def _pieces(batches):
+    """Batches cut to about PIECE words."""
+    for batch in batches:
+        a, ends = 0, np.cumsum(pc.list_value_length(batch["w"]).to_numpy(zero_copy_only=False))
+        while a < batch.num_rows:
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PIECE, "right")))
+            yield batch.slice(a, z - a)
+            a = z
+
+
+def unpacked(words: DataFrame, codes: DataFrame, sizes: DataFrame, stretch: int = WORDS) -> DataFrame:
     """image_id, p (from 0), v: packed words read back. codes: image_id, v, length, code. sizes: image_id, size, the bits that count.
 
-    Each bit is asked which code would begin there: the shortest length whose next bits lie among the codes of that length. The bits at which codes do
-    begin are a chain from the first, followed by jumping pointers. Codes longer than 32 bits are not read."""
+    At a bit begins the code of the shortest length whose next bits lie among the codes of that length. Words are cut into stretches. Codes are followed
+    through each stretch from each of the 32 bits at which its first one can begin; what is left is a chain from stretch to stretch, followed by jumping
+    pointers, and the codes from the begin that it finds are read. Codes longer than 32 bits are not read."""
     same = lambda a, b: a.eqNullSafe(F.col(b))
-    more = words.select(F.col("image_id").alias("_i"), (F.col("word") - 1).alias("_w"), F.col("bits").alias("_next"))
-    two = words.join(more, same(words["image_id"], "_i") & (words["word"] == F.col("_w")), "left").drop("_i", "_w")
-    firsts = first_codes(codes).select(F.col("image_id").alias("_i"), "counts", "firsts")
-    two = two.join(firsts, same(two["image_id"], "_i")).drop("_i")
-    size = sizes.select(F.col("image_id").alias("_i"), "size")
-    two = two.join(size, same(two["image_id"], "_i")).drop("_i")
-    bits = two.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(WORD - 1)))).withColumn("at", F.col("word") * WORD + F.col("k")).filter("at < size")
-    ahead = F.expr("(shiftleft(bits, k) | shiftrightunsigned(coalesce(_next, 0L), 32 - k)) & 4294967295L")
-    bits = bits.withColumn("ahead", ahead)
-    fits = F.filter(F.sequence(F.lit(1), F.lit(WORD)), lambda n: (F.call_function("shiftright", F.col("ahead"), F.lit(WORD) - n) - F.get("firsts", n - 1)).between(F.lit(0), F.get("counts", n - 1) - 1))
-    bits = bits.withColumn("length", F.get(fits, F.lit(0))).filter("length IS NOT NULL")
-    bits = bits.withColumn("rank_of", F.expr("shiftright(ahead, 32 - length) - firsts[length - 1]")).select("image_id", "at", "length", "rank_of", (F.col("at") + F.col("length")).alias("next"))
-    bits = stored(bits, "bits")
-    starts = walked(bits.select("image_id", "at", "next"), "huffman").select(F.col("image_id").alias("_i"), F.col("at").alias("_a"), F.col("rank").alias("p"))
-    begun = bits.join(starts, same(bits["image_id"], "_i") & (bits["at"] == F.col("_a"))).select("image_id", "p", "length", "rank_of")
-    rank = F.row_number().over(Window.partitionBy("image_id", "length").orderBy("v")) - 1
-    table = codes.select(F.col("image_id").alias("_i"), "v", F.col("length").alias("_l"), rank.alias("_k"))
-    return begun.join(table, same(begun["image_id"], "_i") & (begun["length"] == F.col("_l")) & (begun["rank_of"] == F.col("_k"))).select("image_id", "p", "v")
+    kind = words.schema["image_id"].dataType.simpleString()
+    most = stretch * WORD
+    # The first word of a stretch is also seen by the stretch before.
+    own = F.floor(F.col("word") / stretch)
+    both = F.when((F.col("word") % stretch == 0) & (F.col("word") > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    cut = words.withColumn("s", F.explode(both)).withColumn("here", F.floor(F.col("word") / stretch) == F.col("s"))
+    cut = cut.groupBy("image_id", "s").agg(F.array_sort(F.collect_list(F.when(F.col("here"), F.struct("word", "bits")))).alias("w"), F.max(F.when(~F.col("here"), F.col("bits"))).alias("more"))
+    image = first_codes(codes).select("image_id", F.slice("counts", 1, WORD).alias("counts"), F.slice("firsts", 1, WORD).alias("firsts"))
+    image = image.join(sizes.select(F.col("image_id").alias("_j"), "size"), same(image["image_id"], "_j")).withColumnRenamed("image_id", "_i").drop("_j")
+    cut = cut.join(image, same(cut["image_id"], "_i"))
+    cut = stored(cut.select("image_id", "s", F.col("w.bits").alias("w"), F.coalesce("more", F.lit(0).cast("long")).alias("more"), "counts", "firsts", (F.col("size") - F.col("s") * most).alias("bits")), "stretches")
+
+    def entered(batches):
+        for batch in _pieces(batches):
+            s = batch["s"].to_numpy(zero_copy_only=False)
+            starts = [np.arange(WORD if k else 1) for k in s.tolist()]
+            of, at, total, *_ = _followed(batch, starts)
+            yield pa.RecordBatch.from_arrays([batch["image_id"].take(pa.array(of)), pa.array(s[of] * most + np.concatenate(starts)), pa.array(s[of] * most + at), pa.array(total)], ["image_id", "at", "next", "n"])
+
+    links = stored(cut.mapInArrow(entered, f"image_id {kind}, at long, next long, n long"), "links")
+    found = walked(links.select("image_id", "at", "next"), "huffman").select(F.col("image_id").alias("_i"), F.col("at").alias("_a"))
+    found = links.join(found, same(links["image_id"], "_i") & (links["at"] == F.col("_a"))).select("image_id", "at", "n")
+    found = with_before(found, {"first": F.col("n")}, order="at", stretch=STRETCH * most)
+    found = found.select(F.col("image_id").alias("_i"), F.floor(F.col("at") / most).alias("_s"), (F.col("at") % most).alias("start"), "first")
+    begun = cut.join(found, same(cut["image_id"], "_i") & (cut["s"] == F.col("_s"))).drop("_i", "_s")
+
+    def read(batches):
+        for batch in _pieces(batches):
+            starts = batch["start"].to_numpy(zero_copy_only=False)
+            of, _, _, begin, step, place = _followed(batch, [starts[k : k + 1] for k in range(len(starts))])
+            p = batch["first"].to_numpy(zero_copy_only=False)[of[begin]] + step
+            yield pa.RecordBatch.from_arrays([batch["image_id"].take(pa.array(of[begin])), pa.array(p), pa.array(place)], ["image_id", "p", "place"])
+
+    got = begun.mapInArrow(read, f"image_id {kind}, p long, place long")
+    rank = F.row_number().over(Window.partitionBy("image_id").orderBy("length", "v")) - 1
+    table = codes.select(F.col("image_id").alias("_i"), "v", rank.alias("_k"))
+    return got.join(table, same(got["image_id"], "_i") & (got["place"] == F.col("_k"))).select("image_id", "p", "v")

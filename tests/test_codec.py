@@ -83,6 +83,22 @@ def test_huffman(px):
         assert of(back, i).sort_values("p").v.tolist() == x.tolist()
 
 
+@pytest.mark.parametrize("stretch", [1, 3, 256])
+def test_codes_are_read_stretch_by_stretch(spark, monkeypatch, stretch):
+    """Pointers are followed from stretch to stretch, and not from bit to bit."""
+    images = {1: R.geometric(0.3, 5000) % 40, 2: np.array([7] * 300), 3: np.array([5]), None: R.integers(0, 200, 700)}
+    symbols = spark.createDataFrame([(i, p, int(v)) for i, x in images.items() for p, v in enumerate(x)], "image_id long, p long, v int")
+    codes = entropy.canonical_codes(entropy.code_lengths(symbols.groupBy("image_id", "v").agg(F.count("*").alias("n"))))
+    coded = entropy.coded(symbols, codes)
+    words, seen, walked = stored.stored(entropy.packed(coded), "t"), [], entropy.walked
+    monkeypatch.setattr(entropy, "walked", lambda links, tag: seen.append(links.count()) or walked(links, tag))
+    more = {} if stretch == 256 else {"stretch": stretch}
+    back = entropy.unpacked(words, codes, coded.groupBy("image_id").agg(F.sum("length").alias("size")), **more).toPandas()
+    for i, x in images.items():
+        assert of(back, i).sort_values("p").p.tolist() == list(range(len(x))) and of(back, i).sort_values("p").v.tolist() == x.tolist()
+    assert seen[0] <= 32 * sum(-(-r.n // stretch) for r in words.groupBy("image_id").agg(F.count("*").alias("n")).collect())
+
+
 def test_long_codes_are_packed(spark):
     codes = [(1, p, (1 << n) - 1 if p % 2 else 1, n) for p, n in enumerate([58, 1, 33, 58, 2, 31, 32, 40])]
     got = entropy.packed(spark.createDataFrame(codes, "image_id long, p long, code long, length int")).orderBy("word").collect()
