@@ -1,14 +1,16 @@
 """More registered queries: colour spaces, gain-map parameters, files and their parts. Each SQL is written apart from the Column code."""
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from .functions import color, tone, xmp
 from .operators import gainmap, relational, stats
 from .plans import views
-from .plans.stored import stored
+from .plans.stored import shared_folder, stored
 from .queries import _GAIN, _INV, EMB, EV, ORACLE_SQL, QUERIES, RGB, _decode_sql, dots, lin, query, rounded, san, srgb, three, tone_sql, u8
-from .sources import images
+from .sources import datasource, hdr, images
 
 POINTS = [(space, i, v) for space, p in color.CHROMATICITIES.items() for i, v in enumerate(v for xy in p for v in xy)]
 KNOWN = "known(space, i, v) AS (VALUES " + ", ".join(f"('{s}', {i}, {v}::DOUBLE)" for s, i, v in POINTS) + ")"
@@ -358,8 +360,10 @@ def hdr_packed_roundtrip(spark, d):
     at, height = views.places(spark, d, 64)
     whole = at.count() // 64  # full lines
     px = views.gradient(spark, 64, height, "horizontal", 0.1, 8.0, "r", at).filter(F.col("y") < whole).withColumn("image_id", F.lit("g"))
-    back = images.pixels(images.decoded(images.encoded(images.from_pixels(px, 64, whole), "hdr", packed=True)))
-    return back.select(F.col("p").cast("long").alias("p"), *(F.round(F.col(c).cast("double"), 6).alias(c) for c in "rg"))
+    folder = f"{shared_folder(spark)}/hdr-{uuid.uuid4().hex}"
+    hdr.written(hdr.hdr_parts(px, 64, whole), folder)
+    back = datasource.block_pixels(hdr.hdr_blocks(spark, folder))
+    return back.select((F.col("y").cast("long") * 64 + F.col("x")).alias("p"), *(F.round(F.col(c).cast("double"), 6).alias(c) for c in "rg"))
 
 
 @query(f"WITH {gain_sql(gainmap.DEFAULT, 1, True)} SELECT image_id, true AS pictures, round(log2(max_boost), 4) AS capacity FROM gb")

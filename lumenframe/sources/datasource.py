@@ -83,6 +83,8 @@ class ExrSource(DataSource):
 
 
 class ExrReader(DataSourceReader):
+    extension = "exr"
+
     def __init__(self, options: dict):
         self.path, self.headers, self.split = options["path"], options.get("what", "blocks") == "headers", int(options.get("split", SPLIT))
 
@@ -92,7 +94,7 @@ class ExrReader(DataSourceReader):
         info = fs.get_file_info(at)
         files = [info] if info.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(at, recursive=True))
         out, held, filled = [], [], 0
-        for f in sorted((f for f in files if f.type == pafs.FileType.File and f.extension.lower() == "exr"), key=lambda f: f.path):
+        for f in sorted((f for f in files if f.type == pafs.FileType.File and f.extension.lower() == self.extension), key=lambda f: f.path):
             for a in [0] if self.headers else range(0, max(1, f.size), self.split):
                 n = HEAD if self.headers else min(self.split, f.size - a)
                 if held and filled + n > self.split:
